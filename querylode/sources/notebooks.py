@@ -49,9 +49,12 @@ def read_files(spark: SparkSession, path, skip_unreadable: bool = False) -> Data
         return spark.createDataFrame([], RAW_SCHEMA)
 
 
-def stream_files(spark: SparkSession, path: str) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The same rows as a stream of new files."""
-    return _raw(_options(spark.readStream, False).load(path))
+    reader = _options(spark.readStream, False)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _raw(reader.load(path))
 
 
 def discovered(spark: SparkSession, path) -> DataFrame:
