@@ -74,12 +74,12 @@ def kb_embed_counts(spark, sf_dir):
 
 @register(
     "kb_get",
-    "SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d JOIN labels l USING (doc_id)",
+    "SELECT d.doc_id, d.lang, d.source, CAST(l.quality AS BIGINT) AS quality FROM documents d JOIN labels l USING (doc_id)",
 )
 def kb_get(spark, sf_dir):
     """Lookup by id for a whole table of ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    wanted = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int"))
+    wanted = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast(L).alias("quality"))
     return docs.join(wanted, "doc_id")
 
 
@@ -95,7 +95,7 @@ def kb_chunks(spark, sf_dir):
     )
 
 
-def built(spark, sf_dir, drops=1):
+def built(spark, sf_dir):
     """A knowledge base loaded from the fixture's notebooks."""
     kb = KnowledgeBase(spark, new_dir(spark, "kb"))
     bld.build(kb, raw_files(spark, sf_dir, "jupyter"), export(spark, sf_dir), force=True)
@@ -157,9 +157,25 @@ def kb_stats(spark, sf_dir):
     )
 
 
+def _write_files(raw, path):
+    """One notebook file per row, written by the tasks below a folder they all share."""
+
+    def write(rows):
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        for row in rows:
+            name = f"{base}/{row['notebook_path'].replace('#', '-')}"
+            target.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with target.open_output_stream(name) as out:
+                out.write(row["value"].encode())
+
+    raw.select("notebook_path", "value").foreachPartition(write)
+
+
 @register(
     "stream_ingest",
-    f"WITH {PARTS} SELECT doc_id, notebook_path, cell_index, sql_query, context_before, context_after FROM pdocs",
+    f"WITH {PARTS} SELECT npath AS notebook_path, ncell AS cell_index, sql_query, context_before, context_after FROM pdocs",
 )
 def stream_ingest(spark, sf_dir):
     """The fixture's notebooks arrive as files in three drops; the stream runs after each."""
@@ -170,14 +186,14 @@ def stream_ingest(spark, sf_dir):
         arrived = raw.filter(F.pmod(F.xxhash64("notebook_path"), F.lit(3)) == drop)
         _write_files(arrived, f"{root}/files/drop{drop}")
         ingest.start(kb, f"{root}/files", f"{root}/checkpoint").awaitTermination()
-    docs = kb.documents()
-    # Files are named by position; the fixture's own name travels in their metadata.
-    return docs
-
-
-def _write_files(raw, path):
-    """One notebook file per row, written by the tasks."""
-    raw.write.mode("overwrite").parquet(path)
+    name, part = (F.regexp_extract("notebook_path", r"(nb/\d+)-(\d+)\.ipynb$", i) for i in (1, 2))
+    return kb.documents().select(
+        F.concat(name, F.lit(".ipynb")).alias("notebook_path"),
+        (part.cast(L) * 256 + F.col("cell_index")).alias("cell_index"),
+        "sql_query",
+        "context_before",
+        "context_after",
+    )
 
 
 RAG = f"""{HYBRID},

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from querylode import fixed_values as fv
 from querylode.functions import sqlfeatures as sf
 from querylode.operators import patterns, render, schema_match
+from querylode.plans.build import pattern_lines
+from querylode.session import checkpointed
 from querylode.sources import catalog
 
 from . import oracle_parts as o
@@ -21,6 +23,10 @@ def features(spark, sf_dir):
     )
 
 
+def usage(spark, sf_dir):
+    return patterns.usage_counts(features(spark, sf_dir))
+
+
 BASE = f"WITH {o.SQLCELLS}, {o.FILTERS}, {o.JOINS}, {o.AGGS}, {o.DATEFNS}"
 USED = "used AS (SELECT notebook_path, cell_index, unnest(tables) AS table_name FROM sqlcells)"
 BP_FILTERS = f"""bp_filters AS (
@@ -48,7 +54,7 @@ BP_DATES = f"""bp_dates AS (
     f"{BASE} SELECT left_table, right_table, count(*) AS n FROM joins GROUP BY ALL",
 )
 def bp_relationships(spark, sf_dir):
-    return patterns.relationships(features(spark, sf_dir))
+    return patterns.relationships(usage(spark, sf_dir))
 
 
 @register(
@@ -56,17 +62,17 @@ def bp_relationships(spark, sf_dir):
     f"{BASE} SELECT left_table || '-' || right_table AS relationship, count(*) AS n FROM joins GROUP BY ALL",
 )
 def bp_join_counts(spark, sf_dir):
-    return patterns.join_counts(features(spark, sf_dir))
+    return patterns.join_counts(usage(spark, sf_dir))
 
 
 @register("bp_filters_top5", f"{BASE}, {USED}, {BP_FILTERS} SELECT * FROM bp_filters")
 def bp_filters_top5(spark, sf_dir):
-    return patterns.common_filters(features(spark, sf_dir))
+    return patterns.common_filters(usage(spark, sf_dir))
 
 
 @register("bp_aggs_top5", f"{BASE}, {USED}, {BP_AGGS} SELECT * FROM bp_aggs")
 def bp_aggs_top5(spark, sf_dir):
-    return patterns.common_aggregations(features(spark, sf_dir))
+    return patterns.common_aggregations(usage(spark, sf_dir))
 
 
 @register(
@@ -85,13 +91,8 @@ def bp_date_filters(spark, sf_dir):
 
 
 def bp_lines(spark, sf_dir):
-    f = features(spark, sf_dir)
-    return render.pattern_lines(
-        patterns.relationships(f),
-        patterns.common_filters(f),
-        patterns.common_aggregations(f),
-        patterns.date_filters(f),
-    )
+    """The counts feed three sections, so they are computed once and read back."""
+    return pattern_lines(checkpointed(usage(spark, sf_dir)), features(spark, sf_dir))
 
 
 def _chr(text):

@@ -21,6 +21,12 @@ _FIRST_CTE = r"(?iU)\bWITH\s+(?:RECURSIVE\s+)?(\w+)\s+AS\s*\("
 _NEXT_CTE = r"(?iU),\s*(\w+)\s*(?:\(\)\s*)?AS\s*(?:NOT\s+)?(?:MATERIALIZED\s*)?\(\)"
 _SUBQUERY_RAW = r"(?isU)\(\s*SELECT\s+.*?\)"
 _CALL = r"(?U)(\w+)\s*\("
+_AGGREGATION_CALL = r"(?U)\b(" + "|".join(fv.AGGREGATIONS) + r")\s*\("
+_CALLED_DATE = [n for n in fv.DATE_FUNCTIONS if n not in fv.BARE_DATE_FUNCTIONS]
+_DATE_FUNCTION = (
+    r"(?U)\b(" + "|".join(fv.BARE_DATE_FUNCTIONS)
+    + "|(?:" + "|".join(_CALLED_DATE) + r")(?=\s*\())\b"
+)
 _STEP = (
     r"(?iU)'[^']*'|\(|\)|\b(?:(FROM)|(?:(INNER|LEFT|RIGHT|FULL|CROSS)\s+)?(?:OUTER\s+)?JOIN)"
     r"\s+([\w.]+)"
@@ -44,7 +50,7 @@ def _sorted_set(items: Column) -> Column:
 
 
 def _words(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
 
 
 def query_type(clean: Column) -> Column:
@@ -248,25 +254,14 @@ def filters(clean: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _called(upper: Column, name: str) -> Column:
-    return F.when(upper.rlike(rf"(?U)\b{name}\s*\("), F.lit(name))
-
-
 def aggregations(clean: Column) -> Column:
-    upper = F.upper(clean)
-    return F.array_sort(F.array_compact(F.array(*[_called(upper, n) for n in fv.AGGREGATIONS])))
+    """Aggregation functions called."""
+    return _sorted_set(_all(F.upper(clean), _AGGREGATION_CALL))
 
 
 def date_functions(clean: Column) -> Column:
     """Date functions called, and those that need no parentheses."""
-    upper = F.upper(clean)
-    found = [
-        F.when(upper.rlike(rf"(?U)\b{n}\b"), F.lit(n))
-        if n in fv.BARE_DATE_FUNCTIONS
-        else _called(upper, n)
-        for n in fv.DATE_FUNCTIONS
-    ]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    return _sorted_set(_all(F.upper(clean), _DATE_FUNCTION))
 
 
 def functions(clean: Column, dates: Column) -> Column:

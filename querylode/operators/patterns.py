@@ -1,6 +1,6 @@
 """Corpus-wide usage patterns, mined from the feature columns of all extracts.
 
-Every result stays in long form: counts are combined on the map side, and the top lists use
+``usage_counts`` counts everything in one pass, combined on the map side. The top lists use
 ``row_number() <= n``, which Spark prunes per task before the shuffle, so one very popular table
 does not gather its rows in a single task.
 """
@@ -15,48 +15,67 @@ from .. import fixed_values as fv
 from ..functions.sqlfeatures import is_business_calculation, is_date_filter
 
 
-def relationships(features: DataFrame) -> DataFrame:
-    """left_table, right_table and how often they are joined."""
+def usage_counts(features: DataFrame) -> DataFrame:
+    """kind, key, item, n of all extracts, in one pass and one shuffle.
+
+    kind 'join': left and right table; 'filter': table and a filter that names it; 'agg': table and
+    aggregation.
+    """
+
+    def entry(kind, key, item):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), item.alias("item"))
+
+    def per_table(kind, items, keep=None):
+        def of(t):
+            found = F.filter(items, lambda i: keep(t, i)) if keep else items
+            return F.transform(found, lambda i: entry(kind, t, i))
+
+        return F.flatten(F.transform("tables", of))
+
+    named = per_table(
+        "filter", F.col("filters"), lambda t, f: F.lower(f).contains(F.lower(t))
+    )
+    joined = F.transform("joins", lambda j: entry("join", j["left_table"], j["right_table"]))
+    found = F.concat(joined, named, per_table("agg", F.col("aggregations")))
     return (
-        features.select(F.explode("joins").alias("j"))
-        .groupBy(F.col("j.left_table").alias("left_table"), F.col("j.right_table").alias("right_table"))
+        features.select(F.explode(found).alias("u"))
+        .groupBy("u.kind", "u.key", "u.item")
         .agg(F.count("*").alias("n"))
     )
 
 
-def join_counts(features: DataFrame) -> DataFrame:
+def relationships(counts: DataFrame) -> DataFrame:
+    """left_table, right_table and how often they are joined."""
+    return counts.filter(F.col("kind") == "join").select(
+        F.col("key").alias("left_table"), F.col("item").alias("right_table"), "n"
+    )
+
+
+def join_counts(counts: DataFrame) -> DataFrame:
     """The same counts under the key ``left-right``."""
-    return relationships(features).select(
+    return relationships(counts).select(
         F.concat("left_table", F.lit("-"), "right_table").alias("relationship"), "n"
     )
 
 
-def _top(counted: DataFrame, item: str, top: int) -> DataFrame:
-    w = W.partitionBy("table_name").orderBy(F.desc("n"), item)
-    return counted.withColumn("rk", F.row_number().over(w).cast("long")).filter(F.col("rk") <= top)
+def _top(counts: DataFrame, kind: str, name: str, top: int) -> DataFrame:
+    w = W.partitionBy("key").orderBy(F.desc("n"), "item")
+    return (
+        counts.filter(F.col("kind") == kind)
+        .withColumn("rk", F.row_number().over(w).cast("long"))
+        .filter(F.col("rk") <= top)
+        .select(F.col("key").alias("table_name"), F.col("item").alias(name), "n", "rk")
+    )
 
 
-def common_filters(features: DataFrame, top: int = fv.TOP_PATTERNS) -> DataFrame:
+def common_filters(counts: DataFrame, top: int = fv.TOP_PATTERNS) -> DataFrame:
     """Per table its most frequent filters among those that name it."""
-    counted = (
-        features.select(F.explode("tables").alias("table_name"), "filters")
-        .select("table_name", F.explode("filters").alias("filter"))
-        .filter(F.lower("filter").contains(F.lower("table_name")))
-        .groupBy("table_name", "filter")
-        .agg(F.count("*").alias("n"))
-    )
-    return _top(counted, "filter", top)
+    return _top(counts, "filter", "filter", top)
 
 
-def common_aggregations(features: DataFrame, top: int = fv.TOP_PATTERNS) -> DataFrame:
+def common_aggregations(counts: DataFrame, top: int = fv.TOP_PATTERNS) -> DataFrame:
     """Per table its most frequent aggregations."""
-    counted = (
-        features.select(F.explode("tables").alias("table_name"), "aggregations")
-        .select("table_name", F.explode("aggregations").alias("agg"))
-        .groupBy("table_name", "agg")
-        .agg(F.count("*").alias("n"))
-    )
-    return _top(counted, "agg", top)
+    return _top(counts, "agg", "agg", top)
 
 
 def business_calculations(features: DataFrame) -> DataFrame:

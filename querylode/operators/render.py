@@ -120,8 +120,12 @@ def pattern_lines(
         ),
         F.col("section"),
     )
-    heads = body.select("section").distinct()
-    return heads.select("section", F.lit("").alias("key"), heading.alias("line")).unionByName(body)
+    # Every line brings its heading along; the copies are dropped on the map side.
+    lines = F.array(
+        F.struct("section", F.lit("").alias("key"), heading.alias("line")),
+        F.struct("section", "key", "line"),
+    )
+    return body.select(F.inline(lines)).distinct()
 
 
 def check_size(lines: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> None:

@@ -70,15 +70,18 @@ class KnowledgeBase:
         rows = self._read("commits", tables.COMMITS)
         return (rows.agg(F.max("version")).first()[0] or 0) + 1
 
-    def _visible(self, name: str, ddl: str) -> DataFrame:
-        versions = [r["version"] for r in self.commits()]
+    def _visible(self, name: str, ddl: str, versions: list | None = None) -> DataFrame:
+        if versions is None:
+            versions = [r["version"] for r in self.commits()]
         return self._read(name, ddl).filter(F.col("version").isin(versions))
 
     def is_committed(self, source: str) -> bool:
         return any(r["source"] == source for r in self.commits())
 
-    def commit(self, version: int, source: str, documents: int, resets: bool = False) -> None:
-        row = self.spark.createDataFrame([(source, resets, documents)], tables.COMMITS)
+    def commit(self, version: int, source: str, documents: int, resets: bool = False,
+               modified=None) -> None:
+        """Make load ``version`` visible. ``modified``: when the newest file in it was written."""
+        row = self.spark.createDataFrame([(source, resets, documents, modified)], tables.COMMITS)
         self._write(row.coalesce(1), "commits", tables.COMMITS, version)
 
     # The index as a whole.
@@ -100,8 +103,11 @@ class KnowledgeBase:
 
     def documents(self) -> DataFrame:
         """The current documents, with the ``version`` that wrote them."""
-        docs = self._visible("docs", tables.DOCS)
-        stale = self._visible("stale", tables.STALE).select(
+        versions = [r["version"] for r in self.commits()]
+        docs = self._visible("docs", tables.DOCS, versions)
+        if len(versions) < 2:
+            return docs
+        stale = self._visible("stale", tables.STALE, versions).select(
             "doc_id", F.col("doc_version").alias("version")
         )
         few = _few(stale, MAX_SHIPPED_STALE)
@@ -207,6 +213,15 @@ class KnowledgeBase:
         newest = rows.agg(F.max("version")).first()[0]
         return rows.filter(F.col("version") == F.lit(newest)).select("ord", "line")
 
+    def write_usage(self, counts: DataFrame, version: int) -> None:
+        self._write(counts, "usage", tables.USAGE, version)
+
+    def usage(self, version: int | None = None) -> DataFrame:
+        """kind, key, item, n: the usage counts of one load, by default of the newest."""
+        if version is None:
+            version = max(r["version"] for r in self.commits())
+        return self._read("usage", tables.USAGE).filter(F.col("version") == version)
+
     def write_schema_context(self, rows: DataFrame, version: int) -> None:
         self._write(rows, "schema_context", tables.SCHEMA_CONTEXT, version)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class BuildReport:
     extracts: int = 0
     indexed: int = 0
     tables: int = 0
+    modified: datetime | None = None
 
 
 def documents(extracts: DataFrame, embedder=None) -> DataFrame:
@@ -50,28 +52,36 @@ def documents(extracts: DataFrame, embedder=None) -> DataFrame:
 
 
 def load(kb: KnowledgeBase, raw: DataFrame, version: int, embedder=None):
-    """Write the documents of raw notebook files; (notebooks, extracts, indexed).
+    """Write the documents of raw notebook files; (notebooks, extracts, indexed, newest change).
 
     One pass over the files without a shuffle; the counts are taken along the way. Extracts without
     a vector are counted but not indexed.
     """
     parsed, found = Observation(f"notebooks-{version}"), Observation(f"extracts-{version}")
-    notebooks = nb.parse(raw).observe(parsed, F.count(F.lit(1)).alias("n"))
+    notebooks = nb.parse(raw).observe(
+        parsed, F.count(F.lit(1)).alias("n"), F.max("modified").alias("modified")
+    )
     extracts = nb.extracts(notebooks).withColumn("cell_metadata", F.to_json("cell_metadata"))
     docs = documents(extracts, embedder).observe(found, F.count(F.lit(1)).alias("n"))
     indexed = kb.write_documents(docs.filter(F.col("embedding").isNotNull()), version)
-    return parsed.get["n"], found.get["n"], indexed
+    return parsed.get["n"], found.get["n"], indexed, parsed.get["modified"]
+
+
+def pattern_lines(counts: DataFrame, features: DataFrame) -> DataFrame:
+    """The lines of the pattern description, from usage counts and the features they came from."""
+    return render.pattern_lines(
+        patterns.relationships(counts),
+        patterns.common_filters(counts),
+        patterns.common_aggregations(counts),
+        patterns.date_filters(features),
+    )
 
 
 def describe(kb: KnowledgeBase, docs: DataFrame, version: int, catalog=None) -> int:
     """Store the pattern and schema descriptions for ``docs``; returns the number of tables."""
     mined = docs.withColumnRenamed("tables_used", "tables")
-    lines = render.pattern_lines(
-        patterns.relationships(mined),
-        patterns.common_filters(mined),
-        patterns.common_aggregations(mined),
-        patterns.date_filters(mined),
-    ).withColumn("section", F.col("section").cast("string"))
+    kb.write_usage(patterns.usage_counts(mined), version)
+    lines = pattern_lines(kb.usage(version), mined)
     kb.write_meta(fv.PATTERNS_DOC, lines, ["section", "key"], version)
     if catalog is None:
         return 0
@@ -107,24 +117,27 @@ def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False,
     """
     kb.create()
     version = kb.next_version()
-    n_notebooks, n_extracts, indexed = load(kb, raw, version, embedder)
+    n_notebooks, n_extracts, indexed, modified = load(kb, raw, version, embedder)
+    report = BuildReport(False, "", n_notebooks, n_extracts, indexed, 0, modified)
     if not n_notebooks:
-        return BuildReport(False, "No notebooks found")
-    if not n_extracts:
-        return BuildReport(False, "No SQL extracts found", n_notebooks)
-    if not indexed:
-        return BuildReport(False, "No documents with embeddings", n_notebooks, n_extracts)
-    fresh = kb.written(version)
+        report.message = "No notebooks found"
+    elif not n_extracts:
+        report.message = "No SQL extracts found"
+    elif not indexed:
+        report.message = "No documents with embeddings"
+    if report.message:
+        return report
     if force:
         kb.mark_none_stale(version)
-        current = fresh
+        current = kb.written(version)
     else:
         kb.mark_stale(version, raw.select("notebook_path"))
         current = kb.upcoming(version)
     kb.write_counts(version, list(fv.FIELD_BOOSTS))
-    n_tables = describe(kb, current, version, catalog)
-    kb.commit(version, source, indexed, resets=force)
-    return BuildReport(True, "built", n_notebooks, n_extracts, indexed, n_tables)
+    report.tables = describe(kb, current, version, catalog)
+    kb.commit(version, source, indexed, resets=force, modified=modified)
+    report.ok, report.message = True, "built"
+    return report
 
 
 def rebuild(kb: KnowledgeBase, raw: DataFrame, catalog=None, embedder=None) -> BuildReport:

@@ -36,13 +36,19 @@ def _raw(df: DataFrame) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, path, skip_unreadable: bool = False) -> DataFrame:
+def read_files(
+    spark: SparkSession, path, skip_unreadable: bool = False, modified_after: str | None = None
+) -> DataFrame:
     """One row per ``.ipynb`` or ``.json`` file below ``path`` (local, s3a or any Hadoop URI).
 
-    A missing path gives no rows. Unreadable files fail the job unless ``skip_unreadable``.
+    A missing path or an empty file gives no rows. Unreadable files fail the job unless ``skip_unreadable``.
+    ``modified_after`` (``yyyy-MM-ddTHH:mm:ss``, session time zone) leaves out older files unread.
     """
+    reader = _options(spark.read, skip_unreadable)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
     try:
-        return _raw(_options(spark.read, skip_unreadable).load(path))
+        return _raw(reader.load(path))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -57,17 +63,6 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
     return _raw(reader.load(path))
 
 
-def discovered(spark: SparkSession, path) -> DataFrame:
-    """Every candidate file with its size, empty ones included (the text reader gives them no row)."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", FILE_GLOB)
-        .load(path)
-    )
-    return files.select(F.col("path").alias("notebook_path"), "length")
-
-
 def _variant(node: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(node, path, kind)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 
 from ..fixed_values import FIELD_BOOSTS
 from ..operators.store import KnowledgeBase
 from ..plans.build import BuildReport, build
-from ..sources.notebooks import stream_files
+from ..sources.notebooks import read_files, stream_files
 
 
-def apply_batch(kb: KnowledgeBase, raw: DataFrame, source: str, catalog=None, embedder=None):
+def apply_batch(kb: KnowledgeBase, raw: DataFrame, source: str, catalog=None,
+                embedder=None) -> BuildReport | None:
     """Replace the documents of the notebooks in ``raw``, once per ``source``.
 
     A batch that was applied before is skipped, so a restarted stream repeats nothing. A batch
@@ -25,17 +28,17 @@ def apply_batch(kb: KnowledgeBase, raw: DataFrame, source: str, catalog=None, em
         kb.write_documents(kb.documents().limit(0), version)
         kb.mark_stale(version, raw.select("notebook_path"))
         kb.write_counts(version, list(FIELD_BOOSTS))
-        kb.commit(version, source, 0)
-        report = BuildReport(True, "nothing to index", report.notebooks, report.extracts)
+        kb.commit(version, source, 0, modified=report.modified)
+        report.ok, report.message = True, "nothing to index"
     return report
 
 
 def start(kb: KnowledgeBase, path: str, checkpoint: str, name: str = "ingest", catalog=None,
           embedder=None, files_per_batch: int | None = None, **trigger):
-    """Start a stream that ingests the files below ``path``; by default it stops when caught up.
+    """Start a stream that ingests the new files below ``path``; by default it stops when caught up.
 
-    The stream's own checkpoint remembers the files it has seen. Pass ``processingTime='1 minute'``
-    to keep it running.
+    The stream's own checkpoint remembers the files it has seen, by path; a file rewritten in place
+    is picked up by ``catch_up``. Pass ``processingTime='1 minute'`` to keep the stream running.
     """
     files = stream_files(kb.spark, path, files_per_batch)
 
@@ -48,3 +51,14 @@ def start(kb: KnowledgeBase, path: str, checkpoint: str, name: str = "ingest", c
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def catch_up(kb: KnowledgeBase, path: str, catalog=None, embedder=None) -> BuildReport | None:
+    """Ingest every file that changed since the newest one ingested so far.
+
+    Files of that very second are read again, which replaces their documents by the same ones.
+    """
+    known = [r["modified"] for r in kb.commits() if r["modified"] is not None]
+    since = (max(known) - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S") if known else None
+    raw = read_files(kb.spark, path, modified_after=since)
+    return apply_batch(kb, raw, f"catch-up:{kb.next_version()}", catalog, embedder)
