@@ -173,7 +173,8 @@ class KnowledgeBase:
         delta = added.unionByName(removed).groupBy("field", "term").agg(
             F.sum("df").alias("df"), F.sum("total").alias("total")
         )
-        self._write(delta.filter(F.col("df") != 0), "term_counts", tables.COUNTS, version)
+        changed = (F.col("df") != 0) | (F.coalesce("total", F.lit(0)) != 0)
+        self._write(delta.filter(changed), "term_counts", tables.COUNTS, version)
 
     def counts(self) -> DataFrame:
         """Term counts of the current documents, for text search."""

@@ -1,3 +1,5 @@
+import logging
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -14,4 +16,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("SQLQueryContextLogger").disabled = True
     return session
