@@ -33,7 +33,7 @@ def raw_files(spark, sf_dir, kind):
         one, key, ending = F.to_json(F.struct(text)), "paragraphs", ".json"
     part = F.floor(i / FILE_CELLS)
     ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct(i.alias("i"), one.alias("j")))), lambda c: c["j"]
+        F.sort_array(F.collect_list(F.struct(i.alias("i"), one.alias("j")))), lambda c: c["j"]
     )
     name = F.regexp_replace("notebook_path", r"\.ipynb$", "")
     return (

@@ -46,7 +46,7 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _sorted_set(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def _words(values) -> Column:

@@ -42,7 +42,7 @@ def bucket_counts(text: Column, dim: int = fv.EMBED_DIM) -> Column:
             ),
         ).otherwise(F.array().cast("array<struct<bucket:int,tf:int>>"))
 
-    return let(F.array_sort(F.transform(terms(text), lambda t: bucket(t, dim))), runs)
+    return let(F.sort_array(F.transform(terms(text), lambda t: bucket(t, dim))), runs)
 
 
 def norm(counts: Column) -> Column:

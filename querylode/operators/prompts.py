@@ -26,7 +26,7 @@ def examples(hits: DataFrame, top: int = fv.PROMPT_EXAMPLES) -> DataFrame:
         F.concat(F.lit("SQL: "), "sql_query"),
         line("Description: ", F.col("context_after")),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("rank", one.alias("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", one.alias("text"))))
     return (
         hits.filter(F.col("rank") <= top)
         .groupBy("qid")

@@ -77,7 +77,7 @@ def _section(rows: DataFrame, number: int, key: Column, line: Column) -> DataFra
 
 def _listing(rows: DataFrame, item: str, top: int) -> DataFrame:
     """table_name and its first ``top`` items by rank, joined."""
-    ranked = F.array_sort(F.collect_list(F.struct("rk", item)))
+    ranked = F.sort_array(F.collect_list(F.struct("rk", item)))
     names = F.transform(ranked, lambda r: r[item])
     return (
         rows.filter(F.col("rk") <= top)
@@ -94,7 +94,7 @@ def pattern_lines(
     A heading has the empty key. A section without lines has no heading.
     """
     related = relationships.groupBy("left_table").agg(
-        F.array_join(F.array_sort(F.collect_set("right_table")), ", ").alias("items")
+        F.array_join(F.sort_array(F.collect_set("right_table")), ", ").alias("items")
     )
     first_dates = (
         dates.orderBy("notebook_path", "cell_index", "pos")
@@ -141,7 +141,7 @@ def check_size(lines: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> None:
 def as_text(lines: DataFrame, order: list[str], max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
     """One row ``content`` with all lines in order; the total size is checked first."""
     check_size(lines, max_chars)
-    keyed = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    keyed = F.sort_array(F.collect_list(F.struct(*order, "line")))
     return lines.agg(
         F.array_join(F.transform(keyed, lambda r: r["line"]), "\n").alias("content")
     )

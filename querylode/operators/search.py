@@ -319,4 +319,4 @@ def citations(hits: DataFrame) -> DataFrame:
         F.coalesce("tables_used", F.array().cast("array<string>")).alias("tables_used"),
         text["query_type"].alias("query_type"),
     )
-    return hits.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("citations"))
+    return hits.groupBy("qid").agg(F.sort_array(F.collect_list(entry)).alias("citations"))
