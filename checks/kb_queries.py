@@ -19,8 +19,8 @@ from . import oracle_parts as o
 from .corpus_queries import raw_files
 from .fixture import cells, table
 from .pattern_queries import BP_LINES, _chr, bp_lines, export
-from .registry import register
-from .search_queries import HYBRID, cited_hits
+from .registry import ORACLES, register
+from .search_queries import HYBRID, bm25_sql, cited_hits
 
 L = "long"
 
@@ -296,14 +296,14 @@ def sql_tidy(spark, sf_dir):
     )
 
 
-def _danger(mode):
+def _danger(mode, sql="source"):
     def occurs(n):
-        return rf"regexp_matches(upper(source), '\b{n}\b')" if mode == "word" else f"contains(upper(source), '{n}')"
+        return rf"regexp_matches(upper({sql}), '\b{n}\b')" if mode == "word" else f"contains(upper({sql}), '{n}')"
 
     whens = " ".join(
         f"WHEN {occurs(n)} THEN '{fv.MSG_DANGEROUS}{n}'" for n in fv.DANGEROUS_OPERATIONS
     )
-    return f"CASE WHEN source = '' THEN '{fv.MSG_INVALID}' {whens} ELSE '{fv.MSG_VALID}' END"
+    return f"CASE WHEN {sql} = '' THEN '{fv.MSG_INVALID}' {whens} ELSE '{fv.MSG_VALID}' END"
 
 
 def _validated(spark, sf_dir, mode):
@@ -349,13 +349,70 @@ def _stored_reply(asked):
     )
 
 
-@register("kb_answer")
-def kb_answer(spark, sf_dir):
-    kb = built(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(
+_FIELDS = list(fv.FIELD_BOOSTS)
+_BUCKET = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {fv.EMBED_DIM}"
+
+
+def _vector_sql(name, source, ident, text):
+    """CTEs ending in ``name``: ident, bucket, w of the hashed unit vectors, as stored floats."""
+    return f"""
+{name}_w AS (SELECT {ident}, unnest({o.terms(f"substr({text}, 1, {fv.EMBED_MAX_CHARS})")}) AS w FROM {source}),
+{name}_tf AS (SELECT {ident}, {_BUCKET} AS bucket, count(*) AS tf FROM {name}_w GROUP BY ALL),
+{name}_n AS (SELECT {ident}, sqrt(sum(tf * tf)) AS norm FROM {name}_tf GROUP BY ALL),
+{name} AS (SELECT {ident}, bucket, CAST(CAST(tf / norm AS FLOAT) AS DOUBLE) AS w FROM {name}_tf JOIN {name}_n USING ({ident})),
+{name}_len AS (SELECT {ident}, sqrt(sum(w * w)) AS len FROM {name} GROUP BY ALL)"""
+
+
+QUESTION_TEXT = ORACLES["q_search_text"]
+RETRIEVED = f"""{PARTS},
+adocs AS (SELECT *, {o.embed_text()} AS business_context FROM pdocs),
+{bm25_sql(fv.FIELD_BOOSTS, "adocs")},
+qtext AS ({QUESTION_TEXT}),
+{_vector_sql("dv", "adocs", "doc_id", "business_context")},
+{_vector_sql("qv", "qtext", "qid", "search_text")},
+vecs AS (SELECT qid, doc_id, sum(qv.w * dv.w) / any_value(ql.len) / any_value(dl2.len) AS vec_raw
+  FROM qv JOIN dv USING (bucket) JOIN qv_len ql USING (qid) JOIN dv_len dl2 USING (doc_id) GROUP BY qid, doc_id),
+allvecs AS (SELECT q.qid, d.doc_id, coalesce(v.vec_raw, 0) AS vec_raw
+  FROM qv_len q CROSS JOIN dv_len d LEFT JOIN vecs v ON v.qid = q.qid AND v.doc_id = d.doc_id),
+vtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(vec_raw, 6) DESC, doc_id) AS vr FROM allvecs)
+         WHERE vr <= {fv.ANSWER_SIZE}),
+fused AS (
+  SELECT qid, doc_id,
+         round({1 - fv.HYBRID_ALPHA} * coalesce(t.text_raw, 0) + {fv.HYBRID_ALPHA} * coalesce(v.vec_raw, 0), 6) AS score
+  FROM txt t FULL JOIN vtop v USING (qid, doc_id)),
+hits AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused)
+  WHERE rank <= {fv.ANSWER_SIZE})"""
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("qid"), F.col("text").alias("question")
     )
-    done = ans.answer(kb, asked, _stored_reply)
+
+
+@register(
+    "kb_retrieve",
+    f"WITH {RETRIEVED} SELECT h.qid, h.rank, h.doc_id, h.score, d.sql_query FROM hits h JOIN adocs d USING (doc_id)",
+)
+def kb_retrieve(spark, sf_dir):
+    kb = built(spark, sf_dir)
+    hits = ans.retrieve(kb, ans.embedded(_asked(spark, sf_dir)))
+    return hits.select("qid", "rank", "doc_id", "score", "sql_query")
+
+
+@register(
+    "kb_answer",
+    f"""WITH {RETRIEVED},
+best AS (SELECT h.qid, {_tidy("d.sql_query")} AS sql_query FROM hits h JOIN adocs d USING (doc_id) WHERE h.rank = 1),
+cited AS (SELECT qid, count(*) AS n_citations FROM hits GROUP BY qid),
+answered AS (SELECT *, {_danger("word", "sql_query")} = '{fv.MSG_VALID}' AS is_valid FROM best JOIN cited USING (qid))
+SELECT qid, sql_query, 0.9::DOUBLE AS confidence, 'best example' AS explanation, n_citations, is_valid FROM answered
+UNION ALL SELECT item_id, '', 0.0, '{fv.MSG_NO_HITS}', 0, false FROM benchmark WHERE item_id NOT IN (SELECT qid FROM hits)""",
+)
+def kb_answer(spark, sf_dir):
+    kb = built(spark, sf_dir)
+    done = ans.answer(kb, _asked(spark, sf_dir), _stored_reply)
     return done.select(
         "qid",
         "sql_query",

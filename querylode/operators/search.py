@@ -140,12 +140,16 @@ def _candidates(docs, questions, fields, boosts, use_vector, size, text_weight,
     few = n_questions <= MAX_QUESTIONS and n_words <= MAX_WORDS
     n_docs, avgdl = [], []
     if fields:
+        blank = questions.sparkSession.range(1).select(F.lit("").alias("term"))
+        vocabulary = _question_terms(questions).select("term").distinct().unionByName(blank)
+        if few:
+            vocabulary = F.broadcast(vocabulary)
         if counts is None:
-            blank = questions.sparkSession.range(1).select(F.lit("").alias("term"))
-            vocabulary = _question_terms(questions).select("term").distinct().unionByName(blank)
-            counts = term_counts(docs, fields, F.broadcast(vocabulary) if few else vocabulary)
-            # Used twice below. For few questions it is small and both uses happen at once.
-            counts = counts.persist() if few else checkpointed(counts)
+            counts = term_counts(docs, fields, vocabulary)
+        else:
+            counts = counts.join(vocabulary, "term", "left_semi")
+        # Used twice below. For few questions it is small and both uses happen at once.
+        counts = counts.persist() if few else checkpointed(counts)
         n_docs, avgdl = _field_totals(counts, fields)
     asked = _block_questions(questions, counts, fields, n_docs, use_vector, not few)
     columns = [F.col("doc_id")] + [terms(F.col(f)).alias(f"tok_{i}") for i, f in enumerate(fields)]

@@ -11,6 +11,7 @@ from ..functions.text import question_text
 from ..functions.vectors import embed
 from ..operators import prompts, render, search
 from ..operators.store import KnowledgeBase
+from ..session import checkpointed
 
 HIT_COLUMNS = [
     "sql_query", "notebook_path", "context_before", "context_after", "tables_used", "query_type",
@@ -97,5 +98,6 @@ def answer(kb: KnowledgeBase, questions: DataFrame, reply, size: int = fv.ANSWER
     replies (qid, reply), for example a join with stored replies or a pandas UDF on ``prompt``.
     """
     asked = embedded(questions, embedder)
-    hits = retrieve(kb, asked, size, hybrid)
+    # At most ``size`` rows per question, needed for the prompts and for the citations: found once.
+    hits = checkpointed(retrieve(kb, asked, size, hybrid))
     return results(asked, hits, reply(prompts_for(kb, asked, hits)))
