@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from querylode import fixed_values as fv
 from querylode.functions import text as tx
 from querylode.functions import vectors as vec
-from querylode.operators import context, search
+from querylode.operators import context, search, vector_index
+from querylode.session import new_dir
 
 from . import oracle_parts as o
 from .fixture import cells, table
@@ -282,3 +283,26 @@ def citations(spark, sf_dir):
         .select("qid", "c.*")
         .withColumn("tables_used", F.array_join("tables_used", ","))
     )
+
+
+def _indexed(spark, sf_dir):
+    path = new_dir(spark, "vectors")
+    vector_index.write(vector_docs(spark, sf_dir), path, cells=32)
+    return path
+
+
+@register("knn_indexed", _knn())
+def knn_indexed(spark, sf_dir):
+    """The stored index with all cells probed: the exact result."""
+    path = _indexed(spark, sf_dir)
+    return vector_index.indexed_search(spark, path, vector_questions(spark, sf_dir), probe=32)
+
+
+@register("knn_recall")
+def knn_recall(spark, sf_dir):
+    """Share of the exact best ten that the index finds when each question probes four cells."""
+    questions = vector_questions(spark, sf_dir)
+    near = vector_index.indexed_search(spark, _indexed(spark, sf_dir), questions, probe=4)
+    exact = search.vector_search(vector_docs(spark, sf_dir), questions)
+    found = exact.join(near.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")
+    return found.groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

@@ -73,6 +73,7 @@ def results(questions: DataFrame, hits: DataFrame, replies: DataFrame) -> DataFr
         .when(stated == "", fv.MSG_NO_SQL)
     )
     good = F.col("error").isNull()
+    none_cited = F.array().cast(joined.schema["citations"].dataType)
     checked = check_sql(F.col("sql_query"))
     return (
         joined.withColumn("error", error)
@@ -82,9 +83,7 @@ def results(questions: DataFrame, hits: DataFrame, replies: DataFrame) -> DataFr
             F.when(good, stated).otherwise("").alias("sql_query"),
             F.when(good, F.col("r.confidence")).otherwise(0.0).alias("confidence"),
             F.coalesce("error", "r.explanation").alias("explanation"),
-            F.when(good, F.col("citations"))
-            .otherwise(F.expr("slice(citations, 1, 0)"))
-            .alias("citations"),
+            F.when(good, F.col("citations")).otherwise(none_cited).alias("citations"),
         )
         .withColumn("validation", checked)
     )
