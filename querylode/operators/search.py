@@ -30,8 +30,9 @@ from .schema_match import salted_lookup
 # Most questions and question words that are shipped to every task.
 MAX_QUESTIONS = 4096
 MAX_WORDS = 400_000
-# Documents of one block in the block-by-block way.
+# Documents and words of one block in the block-by-block way.
 BLOCK_DOCS = 50_000
+BLOCK_WORDS = 20_000_000
 
 _WEIGHTED = "array<struct<term:string,qtf:bigint,idf:array<double>>>"
 
@@ -182,7 +183,8 @@ def _candidates(docs, questions, fields, boosts, use_vector, size, text_weight,
         return scored.mapInArrow(score, schema), True
 
     n_question_blocks = max(ceil(n_questions / MAX_QUESTIONS), ceil(n_words / MAX_WORDS))
-    n_doc_blocks = max(1, ceil(docs.count() / BLOCK_DOCS))
+    corpus_words = sum(n * avg for n, avg in zip(n_docs, avgdl))
+    n_doc_blocks = max(1, ceil(docs.count() / BLOCK_DOCS), ceil(corpus_words / BLOCK_WORDS))
 
     def numbered(df, key, own, n_own, other, n_other):
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
+from ..session import checkpointed
 from .search import vector_search
 
 # Vectors the centroids are trained on; they only decide where documents are stored.
 TRAINING_VECTORS = 200_000
-# Files per cell while writing, so that one crowded cell is written by several tasks.
-SPLITS = 8
 
 
 def _unit(vector):
@@ -35,7 +34,8 @@ def train(docs: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
     share = min(1.0, TRAINING_VECTORS / max(1, vectors.count()))
     sample = vectors.sample(share, seed) if share < 1 else vectors
     # Distance between unit vectors orders like the angle between them.
-    unit = sample.select(array_to_vector(_unit(F.col("embedding"))).alias("features"))
+    unit = checkpointed(sample.select(_unit(F.col("embedding")).alias("unit")))
+    unit = unit.select(array_to_vector("unit").alias("features"))
     model = KMeans(k=cells, seed=seed, initMode="random", maxIter=10).fit(unit)
     centers = np.array(model.clusterCenters())
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
@@ -64,10 +64,9 @@ def write(docs: DataFrame, path: str, cells: int = 256) -> np.ndarray:
     spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/centroids")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS))
-    with_cell(docs, centroids).repartition(F.col("cell"), salt).write.mode("overwrite").partitionBy(
-        "cell"
-    ).parquet(f"{path}/docs")
+    # Rebalancing splits a crowded cell over as many tasks as its size asks for.
+    placed = with_cell(docs, centroids).hint("rebalance", "cell")
+    placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/docs")
     return centroids
 
 
