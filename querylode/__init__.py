@@ -1,3 +1,10 @@
 """Notebook SQL knowledge base as Spark jobs: ingest, mine, index, retrieve, assemble."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

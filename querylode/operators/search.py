@@ -175,10 +175,10 @@ def _candidates(docs, questions, fields, boosts, use_vector, size, text_weight,
         block = block_of([r.asDict(recursive=True) for r in asked.collect()])
         if fields:
             counts.unpersist()
-        shipped = questions.sparkSession.sparkContext.broadcast(block)
 
+        # The block travels with the function; Spark broadcasts large functions by itself.
         def score(batches):
-            yield best(batches, shipped.value)
+            yield best(batches, block)
 
         return scored.mapInArrow(score, schema), True
 
