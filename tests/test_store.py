@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import time
 
 import pytest
@@ -235,3 +236,21 @@ def test_targets(spark):
     got = sorted(tuple(r) for r in catalog.targets(specs, available, listed).collect())
     assert got == [("a", "x"), ("a", "y.z"), ("b", "q")]
     assert [r[0] for r in catalog.bad_specs(specs).collect()] == ["bad"]
+
+
+def test_plans(spark, tmp_path):
+    """Loading shuffles nothing; searching reads only the columns it needs and makes no pairs."""
+    from querylode.plans.build import documents
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(documents(nb.extracts(nb.parse(raw(spark, {"d/a.ipynb": A})))))
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    build(kb, raw(spark, {"d/a.ipynb": A, "d/b.ipynb": B}), described(spark))
+    asked = ans.embedded(spark.createDataFrame([(1, "order totals")], "qid int, question string"))
+    shown = plan(ans.retrieve(kb, asked))
+    assert "CartesianProduct" not in shown and "NestedLoop" not in shown
+    scans = re.findall(r"ReadSchema: struct<([^\n]*)", shown)
+    assert scans and all("cell_metadata" not in s and "subqueries" not in s for s in scans)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,x)]" in plan(kb.get("x"))
