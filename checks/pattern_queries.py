@@ -90,6 +90,41 @@ def bp_date_filters(spark, sf_dir):
     return dates.withColumn("pos", F.col("pos").cast("long"))
 
 
+_EVENT_FILTERS = """dated AS (SELECT 'ev/' || event_id AS notebook_path, user_id, event_type FROM events WHERE event_id % 2 = 0),
+found AS (
+  SELECT notebook_path, 0::BIGINT AS pos, 'ts_time >= DATEADD(day, -' || (user_id % 30) || ', CURRENT_DATE)' AS filter FROM dated
+  UNION ALL SELECT notebook_path, 1, 'kind = ' || chr(39) || event_type || chr(39) FROM dated
+  UNION ALL SELECT notebook_path, 2, 'yearly = ' || user_id FROM dated)"""
+
+
+@register(
+    "bp_event_date_filters",
+    f"WITH {_EVENT_FILTERS} SELECT notebook_path, 0::BIGINT AS cell_index, pos, filter FROM found "
+    f"WHERE regexp_matches(lower(filter), '{DATE_WORDS}')",
+)
+def bp_event_date_filters(spark, sf_dir):
+    """Every event as a query; every other one uses date functions."""
+    user = F.col("user_id")
+    days = (user % 30).cast("string")
+    dated = F.concat(
+        F.lit("SELECT COUNT(*)\nFROM events_raw -- one event\nWHERE ts_time >= DATEADD(day, -"),
+        days,
+        F.lit(", CURRENT_DATE)\n  AND kind = '"),
+        "event_type",
+        F.lit("' OR yearly = "),
+        user.cast("string"),
+        F.lit(" GROUP BY 1"),
+    )
+    plain = F.concat(F.lit("SELECT COUNT(*) FROM events_raw WHERE ts_time >= "), days)
+    queries = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("ev/"), F.col("event_id").cast("string")).alias("notebook_path"),
+        F.lit(0).cast("long").alias("cell_index"),
+        F.when(F.col("event_id") % 2 == 0, dated).otherwise(plain).alias("sql_query"),
+    )
+    found = patterns.date_filters(sf.with_features(queries))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
 def bp_lines(spark, sf_dir):
     """The counts feed three sections, so they are computed once and read back."""
     return pattern_lines(checkpointed(usage(spark, sf_dir)), features(spark, sf_dir))
