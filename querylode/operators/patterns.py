@@ -89,6 +89,7 @@ def date_filters(features: DataFrame) -> DataFrame:
     """Date-like filters of the queries that use a date function."""
     return (
         features.filter(F.size("date_functions") > 0)
-        .select("notebook_path", "cell_index", F.posexplode("filters").alias("pos", "filter"))
-        .filter(is_date_filter(F.col("filter")))
+        # The outer form keeps Spark from testing (and so computing) the array twice.
+        .select("notebook_path", "cell_index", F.posexplode_outer("filters").alias("pos", "filter"))
+        .filter(F.col("pos").isNotNull() & is_date_filter(F.col("filter")))
     )

@@ -151,12 +151,14 @@ def rejects(raw: DataFrame) -> DataFrame:
 
 def cells(notebooks: DataFrame) -> DataFrame:
     """One row per cell, numbered from 0 within its notebook."""
-    return notebooks.select(
+    # The outer form keeps Spark from testing (and so parsing) the cells twice.
+    exploded = notebooks.select(
         "notebook_path",
         "notebook_type",
         "modified",
-        F.posexplode("cells").alias("cell_index", "cell"),
-    ).select("notebook_path", "notebook_type", "modified", "cell_index", "cell.*")
+        F.posexplode_outer("cells").alias("cell_index", "cell"),
+    )
+    return exploded.filter(F.col("cell_index").isNotNull()).select("notebook_path", "notebook_type", "modified", "cell_index", "cell.*")
 
 
 def extracts(notebooks: DataFrame, span: int = fv.CONTEXT_SPAN) -> DataFrame:
