@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylode.llm import common, sentencepiece_codec
+from querylode.llm import common, line_dedup, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(fn):
+def query(fn=None, *, oracle: str | None = None):
+    if fn is None:
+        return lambda f: query(f, oracle=oracle)
     QUERIES[fn.__name__] = fn
+    if oracle is not None:
+        ORACLES[fn.__name__] = oracle
     return fn
 
 
@@ -22,6 +26,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS u(i)),
+keyed AS (
+  SELECT doc_id, i, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+held AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id < last) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR doc_id >= last), '')) AS kept_sha256
+FROM keyed k LEFT JOIN held h ON k.key = h.key AND length(k.key) >= 20
+GROUP BY k.doc_id"""
+
+
+@query(oracle=LINE_DEDUP_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True)
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
