@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylode.llm import common, line_dedup, sentencepiece_codec
+from querylode.llm import common, line_dedup, mixing, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,6 +49,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True)
 
 
+# Weights of the sources in order, repeating.
+WEIGHTS = [5, 2, 1]
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.read(spark, sf_dir, "documents"), WEIGHTS, share=1.5, repeats=2)
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
