@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylode.llm import common, line_dedup, mixing, sentencepiece_codec
+from querylode.llm import common, line_dedup, mixing, quality_rules, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,6 +49,54 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True)
 
 
+QUALITY_RULES_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+covered AS (
+  SELECT doc_id, sum(least(5, coalesce(i - before, 5))) AS n
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT DISTINCT source, t, p, string_split(t, chr(10))[p] AS line
+  FROM (SELECT DISTINCT source, t, unnest(generate_series(1, len(string_split(t, chr(10))))) AS p FROM d)),
+keyed AS (
+  SELECT *, regexp_replace(lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[0-9]+', '0', 'g') AS k
+  FROM lines),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+over AS (
+  SELECT h.source, h.k FROM (SELECT source, k, count(DISTINCT t) AS n FROM keyed WHERE k <> '' GROUP BY source, k) h
+  JOIN hosts USING (source) WHERE n >= 20 AND n > 0.2 * docs),
+removed AS (
+  SELECT source, t, sum(length(line)) AS n FROM keyed SEMI JOIN over USING (source, k) GROUP BY source, t),
+dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(removed.n, 0) AS BIGINT) AS removed_chars,
+         length(replace(t, chr(10), '')) AS line_chars
+  FROM d JOIN w USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)
+  LEFT JOIN removed USING (source, t))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_chars,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+       AND NOT (removed_chars > 0 AND line_chars - removed_chars < 0.3 * line_chars) AS kept
+FROM counts"""
+
+
+@query(oracle=QUALITY_RULES_SQL)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(common.read(spark, sf_dir, "documents"))
+
+
 # Weights of the sources in order, repeating.
 WEIGHTS = [5, 2, 1]
 
