@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylode.llm import common, line_dedup, mixing, quality_rules, sentencepiece_codec
+from querylode.llm import common, fingerprints, line_dedup, mixing, quality_rules, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,6 +49,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True)
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(common.read(spark, sf_dir, "documents"))
+
+
 QUALITY_RULES_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
