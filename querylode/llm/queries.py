@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querylode.llm import common, fingerprints, line_dedup, mixing, quality_rules, sentencepiece_codec
+from querylode.llm import common, fingerprints, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -102,6 +103,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(common.read(spark, sf_dir, "documents"))
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Trees:
+    """Learned from the labels outside the held-out fold."""
+    labels = common.read(spark, sf_dir, "labels").where(common.remainder("doc_id", 5) != 0)
+    return quality_classifier.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+# A text with a score of at least this is good.
+GOOD = 0.3
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir))
+    held_out = (common.remainder("doc_id", 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 # Weights of the sources in order, repeating.
 WEIGHTS = [5, 2, 1]
 
