@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm import common, fingerprints, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
+from querylode.llm import common, fingerprints, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,6 +27,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = common.remainder("doc_id", 3) == 1
+    net = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs, net)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
