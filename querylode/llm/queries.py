@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm import common, fingerprints, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
+from querylode.llm import common, fingerprints, hmm_scoring, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,6 +59,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(common.read(spark, sf_dir, "documents"), digest=True)
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return hmm_scoring.score(docs.withColumn("held_out", common.remainder("doc_id", 10) == 0))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(common.read(spark, sf_dir, "documents"))
