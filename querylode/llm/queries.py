@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm import common, fingerprints, hmm_scoring, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
+from querylode.llm import common, fingerprints, hmm_scoring, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -149,3 +149,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), digest=True)
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(common.read(spark, sf_dir, "documents"))
