@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm import common, fingerprints, hmm_scoring, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec
+from querylode.llm import common, fingerprints, hmm_scoring, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -145,6 +145,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"), WEIGHTS, share=1.5, repeats=2)
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(common.read(spark, sf_dir, "documents"), length=200, digest=True)
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
