@@ -299,14 +299,14 @@ class Sorter:
 
     def _plain(self, members: np.ndarray, far: np.ndarray, near: np.ndarray) -> None:
         far[members] = near[members] = -1
-        seen: dict[bytes, list[tuple[int, int]]] = {}
+        seen: dict[tuple[int, bytes], list[int]] = {}
         for i in members.tolist():
             for s in range(max(0, self.length - int(self.right[i])), int(self.left[i]) + 1):
                 a = int(self.anchor[i]) - s
-                seen.setdefault(self.data[a : a + self.length].tobytes(), []).append((i, s))
-        for places in seen.values():
-            if len({i for i, _ in places}) > 1:
-                for i, s in places:
+                seen.setdefault((s, self.data[a : a + self.length].tobytes()), []).append(i)
+        for (s, _), places in seen.items():
+            if len(places) > 1:
+                for i in places:
                     far[i] = max(far[i], s)
                     near[i] = s if near[i] < 0 else min(near[i], s)
 
@@ -393,9 +393,10 @@ def counted_cover(rows: DataFrame, length: int) -> DataFrame:
             )
 
     strings = rows.mapInArrow(run, "seed bigint, context bigint, s int, string binary")
-    # A context that holds a string twice holds its seed twice; only different contexts count here.
-    repeated = strings.groupBy("string").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x <> y").select("string")
-    found = strings.join(repeated, "string").groupBy("seed", "context").agg(F.max("s").alias("before"), F.min("s").alias("least"))
+    # The same place before the anchor: one string may stand around two anchors and would meet itself.
+    same = ["string", "seed", "s"]
+    repeated = strings.groupBy(*same).agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x <> y").select(*same)
+    found = strings.join(repeated, same).groupBy("seed", "context").agg(F.max("s").alias("before"), F.min("s").alias("least"))
     return found.select("seed", "context", "before", (F.lit(length) - F.col("least")).cast("int").alias("after"))
 
 
