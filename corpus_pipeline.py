@@ -1,22 +1,62 @@
-"""The stages of a training-data pipeline over ``documents``, each writing Parquet that the next one reads."""
+"""The stages of a training-data pipeline over ``documents``, each writing Parquet that the next one reads.
+
+Quality classifier (rejected documents go), line dedup (lines that many documents share stay in one), n-gram Jaccard
+join (one document of each group of near duplicates stays), mixing of the sources to target weights (texts are taken
+as often as the mix says), and SentencePiece encoding. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querylode.llm import common
+from querylode.llm import common, jaccard_join, line_dedup, mixing, quality_classifier, sentencepiece_codec
 from querylode.llm import queries as q
-from querylode.llm import sentencepiece_codec
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, with the length of the text as it now is."""
+    return df.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier predicts to be good, unchanged."""
+    model = q.quality_model(spark, docs, sf_dir)
+    return quality_classifier.score(docs.select(*COLUMNS), model).where(F.col("score") >= q.GOOD).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that it loses; the text may become empty."""
+    return _documents(line_dedup.dedup(docs.select(*COLUMNS)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; documents without a word and those without an id stay."""
+    groups = jaccard_join.near_duplicates(docs)
+    others = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.select(*COLUMNS).join(others, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: whole texts as often as it says, and parts of texts on top."""
+    return _documents(mixing.take(docs.select(*COLUMNS), q.WEIGHTS))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, with its digest of the decoded text."""
+    """The number of ids of every text, and digests of its ids and of the text decoded from them."""
     return sentencepiece_codec.encode(docs, q.vocabulary("piece_bpe_32k.model"), digest=True)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
+# Trained models and seeded choices have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -25,9 +25,9 @@ BLOCKS_PER_DOC = 4.0
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words."""
+    """doc_id, source, size (the number of words) and a hash of the text."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD))
-    return docs.select("doc_id", "source", words.cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", words.cast("bigint").alias("size"), F.xxhash64("text").alias("key"))
 
 
 def targets(sources: DataFrame, weights: list[int], share: float, repeats: float) -> DataFrame:
@@ -98,7 +98,9 @@ def mix(
     shard_docs: int = SHARD_DOCS,
     blocks_per_doc: float = BLOCKS_PER_DOC,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the quota of the document's shard, for every row."""
+    """doc_id, size, source_size, target, taken, and how it is taken: ``rounds`` times as a whole, and once more the
+    words from - to of ``pieces``; also the hash of the text, the shard and its quota. One row for each row of ``docs``.
+    """
     spark = docs.sparkSession
     sizes = common.stored(sized(docs), "mix-sizes")  # the texts are read once
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs"))
@@ -134,7 +136,9 @@ def mix(
     )
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = lines.withColumn("__row", F.row_number().over(order)).withColumn("__end", end)
-    return select_blocks(placed, repeats, seed).select("doc_id", "size", "source_size", "target", "taken", "shard", "quota")
+    return select_blocks(placed, repeats, seed).select(
+        "doc_id", "size", "source_size", "target", "taken", "shard", "quota", "key", F.col("__rounds").alias("rounds"), "pieces"
+    )
 
 
 def select_blocks(placed: DataFrame, repeats: int, seed: int) -> DataFrame:
@@ -158,10 +162,31 @@ def select_blocks(placed: DataFrame, repeats: int, seed: int) -> DataFrame:
     )
     chosen = (F.dense_rank().over(by_seed) <= F.col("__more")).cast("bigint")
     taken = words * (F.col("__rounds") + chosen)
-    names = placed.columns
+    piece = F.struct((F.greatest(start, begin) - start).alias("from"), words.cast("bigint").alias("words"))
+    names = [*placed.columns, "__rounds"]
     keep = [F.first(c).alias(c) for c in names if c not in ("source", "shard", "__row")]
     return (
-        pieces.withColumn("__taken", taken)
+        pieces.withColumns({"__taken": taken, "__piece": F.when((chosen > 0) & (words > 0), piece)})
         .groupBy("source", "shard", "__row")
-        .agg(*keep, F.sum("__taken").cast("bigint").alias("taken"))
+        .agg(*keep, F.sum("__taken").cast("bigint").alias("taken"), F.sort_array(F.collect_list("__piece")).alias("pieces"))
     )
+
+
+def take(docs: DataFrame, weights: list[int], share: float = 1.5, repeats: int = 2, seed: int = 0) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each whole copy, and one for the pieces that come on top.
+
+    The pieces of a document keep their order and white space. Equal rows share what is taken of them.
+    """
+    mixed = mix(docs, weights, share, repeats, seed).where(F.col("taken") > 0)
+    whole = F.array_repeat(F.struct(F.lit(None).cast("array<struct<from:bigint,words:bigint>>").alias("p")), F.col("rounds").cast("int"))
+    more = F.when(F.size("pieces") > 0, F.array(F.struct(F.col("pieces").alias("p")))).otherwise(F.slice(whole, 1, 0))
+    copies = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.concat(whole, more).alias("__c"))
+    copies = copies.groupBy("__id", "__key", "__size").agg(F.flatten(F.collect_list("__c")).alias("__c"))
+    once = Window.partitionBy("doc_id", "__k").orderBy(F.lit(0))
+    own = docs.withColumn("__k", F.xxhash64("text")).withColumn("__n", F.row_number().over(once)).where(F.col("__n") == 1)
+    joined = own.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")))
+    words = F.regexp_extract_all("text", F.lit(f"{common.WORD}{common.SPACE}*"), F.lit(0))
+    parts = F.transform("__p.p", lambda x: F.array_join(F.slice(words, x["from"].cast("int") + 1, x["words"].cast("int")), ""))
+    in_all = F.aggregate("__p.p", F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
+    text = F.when(F.col("__p.p").isNull() | (in_all == F.col("__size")), F.col("text")).otherwise(F.array_join(parts, ""))
+    return joined.withColumn("__p", F.explode("__c")).withColumn("text", text).select(*docs.columns)

@@ -142,7 +142,8 @@ WEIGHTS = [5, 2, 1]
 
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.read(spark, sf_dir, "documents"), WEIGHTS, share=1.5, repeats=2)
+    mixed = mixing.mix(common.read(spark, sf_dir, "documents"), WEIGHTS, share=1.5, repeats=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard", "quota")
 
 
 @query
