@@ -122,9 +122,8 @@ class Runs:
 
 def with_batches(docs: DataFrame, batches: int) -> DataFrame:
     """Add ``batch``: 0 for the largest ids, by quantiles of doc_id."""
-    cuts = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile(
-        "x", [i / batches for i in range(1, batches)], 0.01
-    )
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", shares, 0.01) if shares else []
     later = [F.coalesce((F.col("doc_id").cast("double") <= c).cast("int"), F.lit(1)) for c in cuts]
     return docs.withColumn("batch", sum(later, F.lit(0)).cast("int"))
 
