@@ -59,7 +59,7 @@ def kb_upsert(spark, sf_dir):
 @register(
     "kb_embed_counts",
     rf"""SELECT source, count(*) AS n_documents,
-  count(*) FILTER (WHERE regexp_matches(substr(text, 1, {fv.EMBED_MAX_CHARS}), '[\p{{L}}\p{{N}}]')) AS n_embedded
+  count(*) FILTER (WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]')) AS n_embedded
 FROM documents GROUP BY source""",
 )
 def kb_embed_counts(spark, sf_dir):
@@ -356,7 +356,7 @@ _BUCKET = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {fv.EMBED_DIM}"
 def _vector_sql(name, source, ident, text):
     """CTEs ending in ``name``: ident, bucket, w of the hashed unit vectors, as stored floats."""
     return f"""
-{name}_w AS (SELECT {ident}, unnest({o.terms(f"substr({text}, 1, {fv.EMBED_MAX_CHARS})")}) AS w FROM {source}),
+{name}_w AS (SELECT {ident}, unnest({o.terms(text)}) AS w FROM {source}),
 {name}_tf AS (SELECT {ident}, {_BUCKET} AS bucket, count(*) AS tf FROM {name}_w GROUP BY ALL),
 {name}_n AS (SELECT {ident}, sqrt(sum(tf * tf)) AS norm FROM {name}_tf GROUP BY ALL),
 {name} AS (SELECT {ident}, bucket, CAST(CAST(tf / norm AS FLOAT) AS DOUBLE) AS w FROM {name}_tf JOIN {name}_n USING ({ident})),

@@ -53,7 +53,7 @@ def kb_embedding_norm(spark, sf_dir):
 
 @register(
     "kb_embedding",
-    f"""WITH cut AS (SELECT doc_id, substr(text, 1, {fv.EMBED_MAX_CHARS}) AS text FROM documents
+    f"""WITH cut AS (SELECT doc_id, text FROM documents
                      WHERE {o.strip("text")} <> ''),
 words AS (SELECT doc_id, unnest({o.terms("text")}) AS w FROM cut),
 tf AS (SELECT doc_id, {BUCKET} AS bucket, count(*) AS tf FROM words GROUP BY ALL),
@@ -210,10 +210,10 @@ def kb_term_counts(spark, sf_dir):
 
 def hybrid_docs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return text_docs(spark, sf_dir).join(e, "doc_id")
+    return text_docs(spark, sf_dir).join(e, "doc_id", "left")
 
 
-HYBRID = f"""{bm25_sql(ONE_FIELD, "(SELECT d.* FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)")},
+HYBRID = f"""{bm25_sql(ONE_FIELD, "documents")},
 vecs AS (
   SELECT b.item_id AS qid, d.doc_id,
          list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS vec_raw

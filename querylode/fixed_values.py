@@ -69,8 +69,7 @@ WHERE_TERMINATORS = [
 LONG_LITERAL = 100
 LONG_LITERAL_MARK = "<LONG_STRING>"
 
-# Characters of a text that are embedded; vector width.
-EMBED_MAX_CHARS = 8000
+# Fixed value: vector width.
 EMBED_DIM = 1024
 
 # Searched text fields with their boosts, BM25 and fusion constants.

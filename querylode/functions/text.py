@@ -100,8 +100,8 @@ def question_text(question: Column) -> Column:
 
 
 def embeddable(text: Column) -> Column:
-    """Null for blank text, else the part of it that the embedder reads."""
-    return F.when(F.length(strip(text)) > 0, F.substring(text, 1, fv.EMBED_MAX_CHARS))
+    """Null for blank text, else the text."""
+    return F.when(F.length(strip(text)) > 0, text)
 
 
 def terms(text: Column) -> Column:

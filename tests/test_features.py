@@ -173,6 +173,6 @@ def test_embedding_texts(spark):
         "Question: Group by region and join | SQL concepts: group by, join", "Question: Top users"
     ]
     e = spark.createDataFrame([("  ",), ("a" * 9000,)], "t string")
-    assert [r[0] and len(r[0]) for r in e.select(tx.embeddable(F.col("t"))).collect()] == [None, 8000]
+    assert [r[0] and len(r[0]) for r in e.select(tx.embeddable(F.col("t"))).collect()] == [None, 9000]
     c = spark.createDataFrame([("abcdefg",), ("",)], "t string").select(tx.chunks(F.col("t"), 3))
     assert [r[0] for r in c.collect()] == [["abc", "def", "g"], [""]]
