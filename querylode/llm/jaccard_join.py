@@ -8,10 +8,12 @@ leaves a key for each piece with a bit set, in its own band and, where a partner
 meet give candidates, and candidates are verified on their exact sets.
 
 Equal sets are one class from the start, and a task passes on the keys of a class once. Where up to ``SMALL`` classes
-meet in a key, all are compared. Where more meet, all are compared to the least of them. A class with few such crowded
-keys must share a key that isn't crowded with every partner; what is left are pairs of classes with many crowded keys
-that the first comparisons have not put into one component, and those are compared in full. So no link that would join two
-components is lost, and a group of any size costs about one comparison for each member.
+meet in a key, all pairs are candidates. Where more meet, each one with the least of them is. Candidates whose sizes, or
+whose short sketches of ``SHORT_BITS`` bits, are too far apart are dropped: no linked sets are. Candidates are compared in
+three rounds: each class with the earlier one that it shares most keys with; then those candidates that the links found
+so far leave in different components. A class with few crowded keys shares a key that isn't crowded with every partner;
+so the third round is for pairs of classes with many crowded keys that are still in different components. No link that
+would join two components is lost, and a group of any size costs about one comparison for each member.
 
 Keys travel as packed arrays by hash range of the key; texts of candidates travel to the class that they are compared
 to, in chunks. Components are found by rounds of joins.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylode.llm import common
@@ -38,10 +40,12 @@ WORDS = 5
 # The similarity, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 80, 100
 PIECE_BITS = 16
+SHORT_BITS = 512
 SMALL = 8
 CHUNK = 256
 # Word hashes that a task remembers.
 REMEMBERED = 300_000
+_U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -147,13 +151,22 @@ def sketch_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(seconds), slack
 
 
+def short_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SHORT_BITS bits for each set, as signed 64-bit numbers."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    bit = (mix(h * _ODD[4] + _ODD[0]) % _U(SHORT_BITS)).astype(np.int64)
+    parity = np.bincount(own * SHORT_BITS + bit, minlength=len(sets) * SHORT_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(len(sets), SHORT_BITS // 64)
+
+
 def class_of(shingles: np.ndarray) -> int:
     """A signed 64-bit number for a set."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
 def classes(docs: DataFrame, bands: Bands) -> DataFrame:
-    """doc_id, n, class, slack0, slack1 of every row; class is null for an empty set."""
+    """doc_id, n, class, slack0, slack1, sketch of every row; class is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -168,20 +181,21 @@ def classes(docs: DataFrame, bands: Bands) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(own, pa.int64()),
                         *[pa.array([s[k] for s in slack], pa.int64()) for k in (0, 1)],
+                        pa.array(list(short_sketches(sets)), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "class", "slack0", "slack1"],
+                    ["doc_id", "n", "class", "slack0", "slack1", "sketch"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {id_type}, n bigint, class bigint, slack0 bigint, slack1 bigint"
+    fields = f"doc_id {id_type}, n bigint, class bigint, slack0 bigint, slack1 bigint, sketch array<bigint>"
     return docs.select("doc_id", "text").mapInArrow(run, fields)
 
 
 def met(docs: DataFrame, bands: Bands, parts: int) -> DataFrame:
-    """a, b, key, second: classes that meet in a key.
+    """a, b, times, key, second: classes a <= b that meet in a key.
 
-    Without ``key``: the pair is to be compared. With it: class ``b`` has a crowded key, in its first or second band,
-    and ``a`` is the least class there.
+    Without ``key``: they meet so many times in keys that aren't crowded. With it: class ``b`` has a crowded key, in
+    its first or second band, and ``a`` is the least class there.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +214,15 @@ def met(docs: DataFrame, bands: Bands, parts: int) -> DataFrame:
                 part = ((keys >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
                 order = np.argsort(part, kind="stable")
                 keys, part = keys[order], part[order]
-                node = np.array(own, dtype=np.int64)[owner[order]] if own else np.zeros(0, np.int64)
-                second = second[order].astype(np.uint8)
+                owner, second = owner[order], second[order]
+                classes = np.array(own, dtype=np.int64)
                 cuts = np.r_[np.flatnonzero(np.diff(part, prepend=np.uint64(parts))), len(part)] if len(part) else [0]
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(part[a]) for a, _ in spans], pa.int32()),
                         pa.array([_packed(keys[a:b], second[a:b]) for a, b in spans], pa.binary()),
-                        pa.array([node[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([_named(owner[a:b], classes) for a, b in spans], pa.binary()),
                     ],
                     ["part", "keys", "nodes"],
                 )
@@ -228,22 +242,31 @@ def met(docs: DataFrame, bands: Bands, parts: int) -> DataFrame:
 
     packed = docs.select("text").mapInArrow(pack, "part int, keys binary, nodes binary")
     dealt = packed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
-    return dealt.sortWithinPartitions("part").mapInArrow(unpack, "a bigint, b bigint, key bigint, second int")
+    return dealt.sortWithinPartitions("part").mapInArrow(unpack, "a bigint, b bigint, times bigint, key bigint, second int")
 
 
 def _packed(keys: np.ndarray, second: np.ndarray) -> bytes:
-    """47 bits of each key and one of its band, in 6 bytes."""
-    low = (keys << np.uint64(1) | second.astype(np.uint64)).astype("<u8")
-    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """31 bits of each key, besides those that its part tells, and one of its band. Keys that fall together by chance
+    only give candidates more."""
+    return (keys << _U(1) | second.astype(np.uint64)).astype("<u4").tobytes()
+
+
+def _named(owner: np.ndarray, classes: np.ndarray) -> bytes:
+    """The classes of keys as runs: how many, each one's class, each one's length. A class's keys come in at most two."""
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sizes = np.diff(np.r_[starts, len(owner)])
+    return np.array([len(starts)], "<u4").tobytes() + classes[owner[starts]].tobytes() + sizes.astype("<u4").tobytes()
+
+
+def _names(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return np.repeat(np.frombuffer(data, np.int64, n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n))
 
 
 def _meetings(keys: list[bytes], nodes: list[bytes], part: int) -> Iterator[pa.RecordBatch]:
-    raw = np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, :6] = raw
-    both = wide.view("<u8").ravel()
-    key, second = (both >> np.uint64(1)).astype(np.int64), (both & np.uint64(1)).astype(np.int32)
-    node = np.frombuffer(b"".join(nodes), dtype=np.int64)
+    both = np.frombuffer(b"".join(keys), "<u4")
+    key, second = (both >> np.uint32(1)).astype(np.int64), (both & np.uint32(1)).astype(np.int32)
+    node = np.concatenate([_names(d) for d in nodes])
     order = np.argsort(key)
     # Only keys that more than one entry has.
     k = key[order]
@@ -263,7 +286,11 @@ def _meetings(keys: list[bytes], nodes: list[bytes], part: int) -> Iterator[pa.R
         i = np.flatnonzero(small & (place >= gap))
         a.append(node[i - gap])
         b.append(node[i])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+    pairs = np.stack([np.concatenate(a), np.concatenate(b)])
+    pairs = pairs[:, np.lexsort(pairs)]
+    fresh = np.flatnonzero(np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)][: pairs.shape[1]])
+    times = np.diff(np.r_[fresh, pairs.shape[1]])
+    pairs = pairs[:, fresh]
     crowd = np.flatnonzero(np.repeat(sizes > SMALL, sizes))
     least = np.repeat(node[starts], sizes)[crowd] if len(starts) else node[:0]
     label = mix(key[crowd].astype(np.uint64) + np.full(len(crowd), part, np.uint64) * _ODD[4]).astype(np.int64)
@@ -276,13 +303,25 @@ def _meetings(keys: list[bytes], nodes: list[bytes], part: int) -> Iterator[pa.R
             [
                 pa.array(np.r_[x[0], least[y]]),
                 pa.array(np.r_[x[1], node[crowd[y]]]),
+                pa.array(np.r_[times[low:high], np.ones(len(label[y]), np.int64)]),
                 pa.array(np.r_[np.zeros(n, np.int64), label[y]], mask=np.arange(n + len(label[y])) < n),
                 pa.array(np.r_[np.zeros(n, np.int32), second[crowd[y]]]),
             ],
-            ["a", "b", "key", "second"],
+            ["a", "b", "times", "key", "second"],
         )
 
 
+def possible(pairs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs whose sizes and short sketches a linked pair can have."""
+    of = lambda x: reps.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    bits = F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    near = (denominator + numerator) * differ <= (denominator - numerator) * (F.col("n_a") + F.col("n_b"))
+    return joined.where((denominator * least >= numerator * most) & near).drop("n_a", "n_b", "s_a", "s_b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """a, b, shared, size (of the union): the pairs of classes that are linked, by the doc_ids that represent them.
 
@@ -333,31 +372,56 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     docs = docs.select("doc_id", "text")
     rows = common.stored(classes(docs, bands), "classes")
     reps = rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.max("slack0").alias("slack0"), F.max("slack1").alias("slack1")
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "slack0", "slack1", "sketch")]
     )
     reps = common.stored(reps, "class-documents")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met_keys = common.stored(met(docs.where(F.col("doc_id").isNotNull()), bands, parts), "met")
-    first = met_keys.where("a <> b").select("a", "b").distinct()
     ids = reps.select("class", "doc_id")
-    links = common.stored(verified(first, docs, ids, numerator, denominator), "verified")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met_keys = common.stored(met(docs.where(F.col("doc_id").isNotNull()), bands, parts), "met")
+    candidates = met_keys.where("a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    candidates = common.stored(possible(candidates, reps, numerator, denominator), "candidates")
+    # The texts of candidates, once.
+    named = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ids, "class").select("doc_id").distinct()
+    texts = common.stored(docs.join(named, "doc_id", "left_semi"), "candidate-texts")
+
+    def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        found = verified(pairs, texts, ids, numerator, denominator)
+        return common.stored(found.select("a", "b"), "verified")
+
+    def component_of(found: DataFrame) -> DataFrame:
+        """class and component of every class in a link."""
+        return ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select("class", "component")
+
+    best = Window.partitionBy("b").orderBy(F.col("times").desc(), "a")
+    first = candidates.withColumn("__n", F.row_number().over(best)).where(F.col("__n") == 1).select("a", "b")
+    links = linked(first, texts)
     found = components(links)
-    # Classes with more crowded keys than they can do without, that the first comparisons have left apart.
+    own = component_of(found)
+    second = (
+        candidates.select("a", "b").join(first, ["a", "b"], "left_anti")
+        .join(own.select(F.col("class").alias("a"), F.col("component").alias("x")), "a", "left")
+        .join(own.select(F.col("class").alias("b"), F.col("component").alias("y")), "b", "left")
+        .where(~F.coalesce(F.col("x") == F.col("y"), F.lit(False)))
+    )
+    second = common.stored(second.select("a", "b"), "second-round")
+    if not second.isEmpty():
+        links = links.union(linked(second, texts))
+        found = components(links)
+    # Classes with more crowded keys than they can do without, that are still apart from others in one of these.
     crowded = met_keys.where(F.col("key").isNotNull()).select("key", "second", F.col("b").alias("class"))
     slack = reps.select("class", F.posexplode(F.array("slack0", "slack1")).alias("second", "slack"))
     dense = crowded.groupBy("class", "second").count().join(slack, ["class", "second"]).where(F.col("count") > F.col("slack"))
-    held = crowded.join(dense.select("class", "second"), ["class", "second"]).join(ids, "class").join(
-        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).select("key", "class", F.coalesce("component", "doc_id").alias("component"))
+    held = crowded.join(dense.select("class", "second"), ["class", "second"]).join(component_of(found), "class", "left")
+    held = held.select("key", "class", F.coalesce("component", F.col("class")).alias("component"))
     apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = common.stored(held.join(apart, "key").distinct(), "apart")
     if not left.isEmpty():
         other = left.select("key", F.col("class").alias("b"), F.col("component").alias("other"))
         rest = left.withColumnRenamed("class", "a").join(other, "key").where("a < b AND component <> other").select("a", "b").distinct()
-        rest = rest.join(first, ["a", "b"], "left_anti")
-        more = common.stored(verified(rest, docs, ids, numerator, denominator), "verified")
-        if not more.isEmpty():
-            found = components(links.select("a", "b").union(more.select("a", "b")))
+        rest = rest.join(candidates, ["a", "b"], "left_anti")
+        rest = common.stored(possible(rest, reps, numerator, denominator), "third-round")
+        if not rest.isEmpty():
+            found = components(links.union(linked(rest, docs)))
     of_class = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         F.col("class").alias("__class"), F.coalesce("component", "doc_id").alias("component")
     )
