@@ -34,7 +34,7 @@ from querylode.llm import common
 
 LENGTH = 200
 SEED = 64
-CROWD = 1_000
+CROWD = 20_000
 # Bytes of text that are hashed at once, and contexts that are sorted at once.
 AT_ONCE = 1 << 20
 CONTEXTS_AT_ONCE = 20_000
@@ -129,7 +129,7 @@ def _parts(text: bytes, length: int, seed: int):
 
 
 def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc_id, at (32 bits of the text's hash, then the place), seed and context, a row for each anchor."""
+    """doc_id, at (16 bits of the text's hash, then the place), seed and context, a row for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -167,7 +167,8 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def text_hash(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) & 0x7FFFFFFF
+    """16 bits that tell rows with the same doc_id apart."""
+    return xxhash.xxh32_intdigest(text) & 0xFFFF
 
 
 class Sorter:
@@ -404,7 +405,9 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int =
     """doc_id, at, before, after: covered bytes around anchors."""
     rows = common.stored(anchor_rows(docs, length, seed), "anchors")
     by_seed = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1")
-    repeated = rows.join(by_seed.select("seed", (F.col("x") != F.col("y")).alias("mixed")), "seed")
+    # Written first: a join of two plain exchanges can be split where one seed has very many anchors.
+    by_seed = common.stored(by_seed.select("seed", (F.col("x") != F.col("y")).alias("mixed")), "seeds")
+    repeated = rows.join(by_seed, "seed")
     repeated = common.stored(repeated, "repeated")
     whole = repeated.where(~F.col("mixed")).select("doc_id", "at", F.lit(length).alias("before"), F.lit(length).alias("after"))
     mixed = repeated.where("mixed").drop("mixed")
