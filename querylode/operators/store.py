@@ -8,6 +8,9 @@ may be in use is ever rewritten. A load that resets the base hides all older ver
 
 from __future__ import annotations
 
+import random
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Observation
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from .. import tables
+from . import patterns
 from .schema_match import salted_lookup
 from .search import term_counts
 
@@ -35,6 +39,11 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
 
 
+def usage_of(docs: DataFrame) -> DataFrame:
+    """The usage counts of stored documents."""
+    return patterns.usage_counts(docs.withColumnRenamed("tables_used", "tables"))
+
+
 def _few(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
@@ -67,8 +76,9 @@ class KnowledgeBase:
         return [r for r in rows if r["version"] >= last_reset]
 
     def next_version(self) -> int:
-        rows = self._read("commits", tables.COMMITS)
-        return (rows.agg(F.max("version")).first()[0] or 0) + 1
+        """A number that no other load takes, above all committed ones: its start in microseconds, and chance."""
+        newest = self._read("commits", tables.COMMITS).agg(F.max("version")).first()[0] or 0
+        return max(newest + 1, (time.time_ns() // 1_000 << 10) + random.getrandbits(10))
 
     def _visible(self, name: str, ddl: str, versions: list | None = None) -> DataFrame:
         if versions is None:
@@ -79,9 +89,11 @@ class KnowledgeBase:
         return any(r["source"] == source for r in self.commits())
 
     def commit(self, version: int, source: str, documents: int, resets: bool = False,
-               modified=None) -> None:
-        """Make load ``version`` visible. ``modified``: when the newest file in it was written."""
-        row = self.spark.createDataFrame([(source, resets, documents, modified)], tables.COMMITS)
+               modified=None, described: list[str] | None = None) -> None:
+        """Make load ``version`` visible. ``modified``: when the newest file in it was written;
+        ``described``: the descriptions that it wrote, with or without lines."""
+        values = [(source, resets, documents, modified, described or [])]
+        row = self.spark.createDataFrame(values, tables.COMMITS)
         self._write(row.coalesce(1), "commits", tables.COMMITS, version)
 
     # The index as a whole.
@@ -164,10 +176,7 @@ class KnowledgeBase:
 
     def write_counts(self, version: int, fields: list[str]) -> None:
         """Term counts of the load's documents less those of the documents it replaces."""
-        stale = self._read("stale", tables.STALE).filter(F.col("version") == version)
-        old = stale.select("doc_id", F.col("doc_version").alias("version"))
-        gone = self._read("docs", tables.DOCS).join(old, ["doc_id", "version"], "left_semi")
-        removed = term_counts(gone, fields)
+        removed = term_counts(self.replaced(version), fields)
         removed = removed.withColumns({"df": -F.col("df"), "total": -F.col("total")})
         added = term_counts(self.written(version), fields)
         delta = added.unionByName(removed).groupBy("field", "term").agg(
@@ -191,6 +200,7 @@ class KnowledgeBase:
         written = self.write_documents(docs, version)
         self.mark_stale(version)
         self.write_counts(version, list(fv.FIELD_BOOSTS))
+        self.write_usage(usage_of(self.written(version)), usage_of(self.replaced(version)), version)
         self.commit(version, source, written)
         return written
 
@@ -209,19 +219,41 @@ class KnowledgeBase:
         self._write(rows, f"meta_{ident}", tables.META, version)
 
     def meta_lines(self, ident: str) -> DataFrame:
-        """ord, line of the newest stored description."""
-        rows = self._visible(f"meta_{ident}", tables.META)
-        newest = rows.agg(F.max("version")).first()[0]
-        return rows.filter(F.col("version") == F.lit(newest)).select("ord", "line")
-
-    def write_usage(self, counts: DataFrame, version: int) -> None:
-        self._write(counts, "usage", tables.USAGE, version)
-
-    def usage(self, version: int | None = None) -> DataFrame:
-        """kind, key, item, n: the usage counts of one load, by default of the newest."""
-        if version is None:
-            version = max(r["version"] for r in self.commits())
-        return self._read("usage", tables.USAGE).filter(F.col("version") == version)
+        """ord, line of the newest stored description, which may be empty."""
+        wrote = [r["version"] for r in self.commits() if ident in (r["described"] or [])]
+        newest = F.lit(max(wrote, default=None)).cast("long")
+        rows = self._read(f"meta_{ident}", tables.META)
+        return rows.filter(F.col("version") == newest).select("ord", "line")
+
+    def replaced(self, version: int) -> DataFrame:
+        """The documents that load ``version`` replaces."""
+        stale = self._read("stale", tables.STALE).filter(F.col("version") == version)
+        old = stale.select("doc_id", F.col("doc_version").alias("version"))
+        return self._read("docs", tables.DOCS).join(old, ["doc_id", "version"], "left_semi")
+
+    def write_usage(self, added: DataFrame, removed: DataFrame, version: int) -> None:
+        """Store what load ``version`` changes in the usage counts (kind, key, item, n)."""
+        gone = removed.withColumn("n", -F.col("n"))
+        delta = added.unionByName(gone).groupBy("kind", "key", "item").agg(F.sum("n").alias("n"))
+        self._write(delta.filter(F.col("n") != 0), "usage", tables.USAGE, version)
+
+    def usage(self, version: int | None = None, resets: bool = False) -> DataFrame:
+        """kind, key, item, n of all current documents; with ``version`` as they will be once that load is
+        committed, which ``resets`` the base or not."""
+        versions = [] if resets else [r["version"] for r in self.commits()]
+        changes = self._visible("usage", tables.USAGE, versions + [version] * (version is not None))
+        return changes.groupBy("kind", "key", "item").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+
+    # Files.
+
+    def write_files(self, raw: DataFrame, version: int) -> None:
+        """Remember which files, of which time, load ``version`` has read."""
+        self._write(raw, "files", tables.FILES, version)
+
+    def files(self) -> DataFrame:
+        """notebook_path, modified: every file as it was last read."""
+        newest = F.max(F.struct("version", "modified"))["modified"]
+        return self._visible("files", tables.FILES).groupBy("notebook_path").agg(newest.alias("modified"))
 
     def write_schema_context(self, rows: DataFrame, version: int) -> None:
         self._write(rows, "schema_context", tables.SCHEMA_CONTEXT, version)

@@ -13,7 +13,7 @@ from ..functions.sqlfeatures import with_features
 from ..functions.text import embedding_text
 from ..functions.vectors import embed
 from ..operators import patterns, render, schema_match
-from ..operators.store import KnowledgeBase
+from ..operators.store import KnowledgeBase, usage_of
 from ..sources import notebooks as nb
 
 
@@ -77,11 +77,13 @@ def pattern_lines(counts: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def describe(kb: KnowledgeBase, docs: DataFrame, version: int, catalog=None) -> int:
-    """Store the pattern and schema descriptions for ``docs``; returns the number of tables."""
-    mined = docs.withColumnRenamed("tables_used", "tables")
-    kb.write_usage(patterns.usage_counts(mined), version)
-    lines = pattern_lines(kb.usage(version), mined)
+def describe(kb: KnowledgeBase, docs: DataFrame, version: int, catalog=None, resets: bool = False) -> int:
+    """Store the pattern and schema descriptions for ``docs``; returns the number of tables.
+
+    Usage counts change by what the load adds and replaces, whatever the size of the base.
+    """
+    kb.write_usage(usage_of(kb.written(version)), usage_of(kb.replaced(version)), version)
+    lines = pattern_lines(kb.usage(version, resets), docs.withColumnRenamed("tables_used", "tables"))
     kb.write_meta(fv.PATTERNS_DOC, lines, ["section", "key"], version)
     if catalog is None:
         return 0
@@ -108,12 +110,12 @@ def describe(kb: KnowledgeBase, docs: DataFrame, version: int, catalog=None) ->
 
 
 def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False, embedder=None,
-          source: str = "build") -> BuildReport:
+          source: str = "build", empty: bool = False) -> BuildReport:
     """Build the base from raw notebook files (``notebooks.read_files``).
 
     ``catalog``: (catalog_tables, catalog_columns). With ``force`` the load replaces everything,
     else the documents of the notebooks it contains. Nothing becomes visible unless something was
-    indexed.
+    indexed or, with ``empty``, any notebook was read: then its earlier documents go.
     """
     kb.create()
     version = kb.next_version()
@@ -125,7 +127,7 @@ def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False,
         report.message = "No SQL extracts found"
     elif not indexed:
         report.message = "No documents with embeddings"
-    if report.message:
+    if report.message and not (empty and n_notebooks):
         return report
     if force:
         kb.mark_none_stale(version)
@@ -134,9 +136,11 @@ def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False,
         kb.mark_stale(version, raw.select("notebook_path"))
         current = kb.upcoming(version)
     kb.write_counts(version, list(fv.FIELD_BOOSTS))
-    report.tables = describe(kb, current, version, catalog)
-    kb.commit(version, source, indexed, resets=force, modified=modified)
-    report.ok, report.message = True, "built"
+    report.tables = describe(kb, current, version, catalog, resets=force)
+    kb.write_files(raw, version)
+    described = [fv.PATTERNS_DOC[0], *[fv.SCHEMA_DOC[0]] * (catalog is not None)]
+    kb.commit(version, source, indexed, resets=force, modified=modified, described=described)
+    report.ok, report.message = True, "built" if indexed else "nothing to index"
     return report
 
 

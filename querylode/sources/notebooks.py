@@ -36,10 +36,23 @@ def _raw(df: DataFrame) -> DataFrame:
     )
 
 
+def _loaded(reader, path) -> DataFrame | None:
+    """What is below a path, or below those paths of a list that are there; None if there is none."""
+    try:
+        return reader.load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if isinstance(path, str):
+        return None
+    there = [p for p in path if _loaded(reader, p) is not None]
+    return reader.load(there) if there else None
+
+
 def read_files(
     spark: SparkSession, path, skip_unreadable: bool = False, modified_after: str | None = None
 ) -> DataFrame:
-    """One row per ``.ipynb`` or ``.json`` file below ``path`` (local, s3a or any Hadoop URI).
+    """One row per ``.ipynb`` or ``.json`` file below ``path``, or each path of a list (any Hadoop URI).
 
     A missing path or an empty file gives no rows. Unreadable files fail the job unless ``skip_unreadable``.
     ``modified_after`` (``yyyy-MM-ddTHH:mm:ss``, session time zone) leaves out older files unread.
@@ -47,12 +60,21 @@ def read_files(
     reader = _options(spark.read, skip_unreadable)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    try:
-        return _raw(reader.load(path))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], RAW_SCHEMA)
+    found = _loaded(reader, path) if path else None
+    return spark.createDataFrame([], RAW_SCHEMA) if found is None else _raw(found)
+
+
+def list_files(spark: SparkSession, path) -> DataFrame:
+    """notebook_path, modified and path (to read it by) of the same files, without reading them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = _loaded(reader.option("pathGlobFilter", FILE_GLOB), path)
+    if found is None:
+        return spark.createDataFrame([], "notebook_path string, modified timestamp, path string")
+    return found.select(
+        F.col("_metadata.file_path").alias("notebook_path"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        "path",
+    )
 
 
 def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

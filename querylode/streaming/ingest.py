@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame
 
-from ..fixed_values import FIELD_BOOSTS
 from ..operators.store import KnowledgeBase
 from ..plans.build import BuildReport, build
-from ..sources.notebooks import read_files, stream_files
+from ..sources.notebooks import list_files, read_files, stream_files
 
 
 def apply_batch(kb: KnowledgeBase, raw: DataFrame, source: str, catalog=None,
@@ -22,15 +19,7 @@ def apply_batch(kb: KnowledgeBase, raw: DataFrame, source: str, catalog=None,
     kb.create()
     if kb.is_committed(source):
         return None
-    report = build(kb, raw, catalog, embedder=embedder, source=source)
-    if not report.ok and not raw.isEmpty():
-        version = kb.next_version()
-        kb.write_documents(kb.documents().limit(0), version)
-        kb.mark_stale(version, raw.select("notebook_path"))
-        kb.write_counts(version, list(FIELD_BOOSTS))
-        kb.commit(version, source, 0, modified=report.modified)
-        report.ok, report.message = True, "nothing to index"
-    return report
+    return build(kb, raw, catalog, embedder=embedder, source=source, empty=True)
 
 
 def start(kb: KnowledgeBase, path: str, checkpoint: str, name: str = "ingest", catalog=None,
@@ -54,11 +43,14 @@ def start(kb: KnowledgeBase, path: str, checkpoint: str, name: str = "ingest", c
 
 
 def catch_up(kb: KnowledgeBase, path: str, catalog=None, embedder=None) -> BuildReport | None:
-    """Ingest every file that changed since the newest one ingested so far.
+    """Ingest every file that was not read before, or not as it is now, whenever it was written.
 
-    Files of that very second are read again, which replaces their documents by the same ones.
+    Paths and times of the files are compared to those of the files that were read. Only the paths of
+    changed files come to the driver, which lists files in any case.
     """
-    known = [r["modified"] for r in kb.commits() if r["modified"] is not None]
-    since = (max(known) - timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S") if known else None
-    raw = read_files(kb.spark, path, modified_after=since)
+    kb.create()
+    listed = list_files(kb.spark, path)
+    fresh = listed.join(kb.files(), ["notebook_path", "modified"], "left_anti")
+    paths = [r["path"] for r in fresh.select("path").distinct().collect()]
+    raw = read_files(kb.spark, paths)
     return apply_batch(kb, raw, f"catch-up:{kb.next_version()}", catalog, embedder)

@@ -22,7 +22,8 @@ COUNTS = "field string, term string, df bigint, total bigint"
 META = "id string, document_type string, ord array<string>, line string, updated_at timestamp"
 USAGE = "kind string, key string, item string, n bigint"
 SCHEMA_CONTEXT = "doc_id string, schema_context string"
-COMMITS = "source string, resets boolean, documents bigint, modified timestamp"
+FILES = "notebook_path string, modified timestamp"
+COMMITS = "source string, resets boolean, documents bigint, modified timestamp, described array<string>"
 QUERY_LOG = "asked_at timestamp, question string, sql_query string, confidence double"
 
 
