@@ -29,6 +29,8 @@ WINDOWS = 4
 WINDOW = 64
 STATES = 8
 EPOCHS = 4
+# A small sample is gone over more often, up to so many updates.
+UPDATES = 240
 BATCH = 256
 RATE = 0.01
 UNKNOWN = "und"
@@ -153,7 +155,7 @@ def fit(data: np.ndarray, label: np.ndarray, languages: list[str], epochs: int =
     net, rng = Network(languages, seed=seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}
-    step = 0
+    step, epochs = 0, max(epochs, -(-UPDATES // max(1, -(-len(data) // BATCH))))
     for epoch in range(epochs):
         order = rng.permutation(len(data))
         for a in range(0, len(order), BATCH):
