@@ -139,3 +139,14 @@ REPLY_SQL_PATTERNS = [
 ]
 REPLY_CONFIDENCE_PATTERN = r"(?i)Confidence:\s*([0-9.]+)"
 REPLY_EXPLANATION_PATTERN = r"(?is)Explanation:\s*(.*?)(?=\n\n|\z)"
+
+# Patterns of the four plain join features, the first CTE, the plain subquery and a call.
+JOIN_RAW = [
+    r"(?U)(\w+)\s+(?:INNER\s+)?JOIN\s+(\w+)",
+    r"(?U)(\w+)\s+LEFT\s+(?:OUTER\s+)?JOIN\s+(\w+)",
+    r"(?U)(\w+)\s+RIGHT\s+(?:OUTER\s+)?JOIN\s+(\w+)",
+    r"(?U)(\w+)\s+FULL\s+(?:OUTER\s+)?JOIN\s+(\w+)",
+]
+FIRST_CTE = r"(?iU)\bWITH\s+(?:RECURSIVE\s+)?(\w+)\s+AS\s*\("
+SUBQUERY_RAW = r"(?isU)\(\s*SELECT\s+.*?\)"
+CALL = r"(?U)(\w+)\s*\("

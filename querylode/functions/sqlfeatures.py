@@ -17,10 +17,7 @@ _LITERAL = r"'[^']*'"
 _TOKEN = r"(?sU)'[^']*'|\"[^\"]*\"|\w+|\s+|."
 _RELATION = r"(?iU)\b(?:FROM|JOIN|INTO|UPDATE)\s+([\w.]+)"
 _SUFFIXED = r"(?iU)\b(\w+(?:" + "|".join(fv.TABLE_SUFFIXES) + r"))\b"
-_FIRST_CTE = r"(?iU)\bWITH\s+(?:RECURSIVE\s+)?(\w+)\s+AS\s*\("
 _NEXT_CTE = r"(?iU),\s*(\w+)\s*(?:\(\)\s*)?AS\s*(?:NOT\s+)?(?:MATERIALIZED\s*)?\(\)"
-_SUBQUERY_RAW = r"(?isU)\(\s*SELECT\s+.*?\)"
-_CALL = r"(?U)(\w+)\s*\("
 _AGGREGATION_CALL = r"(?U)\b(" + "|".join(fv.AGGREGATIONS) + r")\s*\("
 _CALLED_DATE = [n for n in fv.DATE_FUNCTIONS if n not in fv.BARE_DATE_FUNCTIONS]
 _DATE_FUNCTION = (
@@ -31,12 +28,6 @@ _STEP = (
     r"(?iU)'[^']*'|\(|\)|\b(?:(FROM)|(?:(INNER|LEFT|RIGHT|FULL|CROSS)\s+)?(?:OUTER\s+)?JOIN)"
     r"\s+([\w.]+)"
 )
-_JOIN_RAW = [
-    r"(?U)(\w+)\s+(?:INNER\s+)?JOIN\s+(\w+)",
-    r"(?U)(\w+)\s+LEFT\s+(?:OUTER\s+)?JOIN\s+(\w+)",
-    r"(?U)(\w+)\s+RIGHT\s+(?:OUTER\s+)?JOIN\s+(\w+)",
-    r"(?U)(\w+)\s+FULL\s+(?:OUTER\s+)?JOIN\s+(\w+)",
-]
 
 JOIN_TYPE = "array<struct<left_table:string,right_table:string,join_type:string>>"
 
@@ -86,7 +77,7 @@ def outline(clean: Column) -> Column:
 
 def cte_names_first(clean: Column) -> Column:
     """Names that directly follow WITH."""
-    return _sorted_set(_all(clean, _FIRST_CTE))
+    return _sorted_set(_all(clean, fv.FIRST_CTE))
 
 
 def cte_names(clean: Column) -> Column:
@@ -97,7 +88,7 @@ def cte_names(clean: Column) -> Column:
     )
     # The fold over tokens only pays off where a WITH occurs at all.
     return F.when(
-        clean.rlike(r"(?iU)\bWITH\s"), _sorted_set(F.concat(_all(clean, _FIRST_CTE), later))
+        clean.rlike(r"(?iU)\bWITH\s"), _sorted_set(F.concat(_all(clean, fv.FIRST_CTE), later))
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -147,7 +138,7 @@ def joins_raw(clean: Column) -> Column:
             ),
         )
 
-    return F.concat(*[one(p) for p in _JOIN_RAW])
+    return F.concat(*[one(p) for p in fv.JOIN_RAW])
 
 
 def joins(clean: Column) -> Column:
@@ -266,12 +257,12 @@ def date_functions(clean: Column) -> Column:
 
 def functions(clean: Column, dates: Column) -> Column:
     """Every word before an opening parenthesis, upper-cased, and the date functions."""
-    return _sorted_set(F.concat(_all(F.upper(clean), _CALL), dates))
+    return _sorted_set(F.concat(_all(F.upper(clean), fv.CALL), dates))
 
 
 def subqueries_raw(clean: Column) -> Column:
     """From each ``(SELECT`` to the next closing parenthesis."""
-    return _all(clean, _SUBQUERY_RAW, 0)
+    return _all(clean, fv.SUBQUERY_RAW, 0)
 
 
 def subqueries(clean: Column) -> Column:

@@ -19,18 +19,12 @@ def one(spark, sql):
 
 
 def test_simple_select(spark):
-    r = one(spark, """
-        SELECT customer_id, SUM(amount) as total_amount
-        FROM sales_table
-        WHERE date >= '2023-01-01'
-        GROUP BY customer_id
-        ORDER BY total_amount DESC
-        """)
+    r = one(spark, "SELECT ward, MAX(beds) AS largest FROM hospital_wing WHERE opened < DATE '1999-05-04' GROUP BY ward")
     assert r["query_type"] == "SELECT"
-    assert r["tables"] == ["sales_table"]
-    assert r["aggregations"] == ["SUM"]
-    assert r["filters"] == ["date >= '2023-01-01'"]
-    assert r["columns"] == ["amount", "customer_id", "date", "total_amount"]
+    assert r["tables"] == ["hospital_wing"]
+    assert r["aggregations"] == ["MAX"]
+    assert r["filters"] == ["opened < DATE '1999-05-04'"]
+    assert {"beds", "largest", "opened", "ward"} <= set(r["columns"])
 
 
 def test_joins(spark):
@@ -48,14 +42,13 @@ def test_join_after_a_nested_relation(spark):
 
 def test_ctes(spark):
     r = one(spark, """
-        WITH monthly_sales AS (
-            SELECT DATE_TRUNC('month', date) as month, SUM(amount) as t FROM sales GROUP BY 1
-        ), y (a, b) AS (SELECT 1, 2), z AS (WITH inner_one AS (SELECT 1) SELECT * FROM inner_one)
-        SELECT month FROM monthly_sales JOIN z ON 1 = 1 WHERE t > 10000""")
+        WITH catch_by_week AS (SELECT DATE_TRUNC('week', landed) AS w, SUM(kilos) AS t FROM fishing_trips GROUP BY 1),
+        y (a, b) AS (SELECT 1, 2), z AS (WITH inner_one AS (SELECT 1) SELECT * FROM inner_one)
+        SELECT w FROM catch_by_week JOIN z ON 1 = 1 WHERE t > 77""")
     assert r["query_type"] == "WITH"
-    assert r["cte_names"] == ["inner_one", "monthly_sales", "y", "z"]
-    assert r["tables"] == ["sales"]
-    assert r["filters"] == ["t > 10000"]
+    assert r["cte_names"] == ["catch_by_week", "inner_one", "y", "z"]
+    assert r["tables"] == ["fishing_trips"]
+    assert r["filters"] == ["t > 77"]
     assert "DATE_TRUNC" in r["date_functions"] and "DATE_TRUNC" in r["functions"]
 
 
@@ -71,13 +64,13 @@ def test_subqueries(spark):
 
 
 def test_magic_comments_and_case(spark):
-    r = one(spark, "\n        %sql\n        select * FROM table1\n        where id = 1;")
-    assert (r["query_type"], r["tables"], r["filters"]) == ("SELECT", ["table1"], ["id = 1"])
-    r = one(spark, "-- c\nSELECT a, /* in */ b FROM sales_table /* multi\n line */ WHERE d >= '2023'")
-    assert (r["query_type"], r["tables"], r["filters"]) == ("SELECT", ["sales_table"], ["d >= '2023'"])
+    r = one(spark, "  %sql\nselect hive FROM apiary\n   where queens = 2;")
+    assert (r["query_type"], r["tables"], r["filters"]) == ("SELECT", ["apiary"], ["queens = 2"])
+    r = one(spark, "-- all hives\nSELECT hive, /* grams */ honey FROM harvest /* one\n row a year */ WHERE season <> 'wet'")
+    assert (r["query_type"], r["tables"], r["filters"]) == ("SELECT", ["harvest"], ["season <> 'wet'"])
 
 
-@pytest.mark.parametrize("sql", ["", "   ", "invalid sql syntax", None])
+@pytest.mark.parametrize("sql", ["", "   ", "walk the dog", None])
 def test_no_sql(spark, sql):
     r = one(spark, sql)
     assert r["query_type"] == "UNKNOWN" and r["joins"] == [] and r["filters"] == []
@@ -109,30 +102,30 @@ def test_huge_in_list_is_cheap(spark):
 
 
 def test_business_patterns(spark):
-    base = "FROM sales_fact WHERE sales_fact.date >= '2023-01-01' GROUP BY 1"
+    base = "FROM ferry_fact WHERE ferry_fact.date > '2019-08-08' GROUP BY 1"
     f = analyse(
         spark,
-        f"SELECT customer_id, SUM(revenue) {base}",
-        f"SELECT product_id, COUNT(*) {base}",
-        f"SELECT DATE_TRUNC('month', date), SUM(revenue) {base}",
+        f"SELECT harbour, SUM(revenue) {base}",
+        f"SELECT captain, COUNT(*) {base}",
+        f"SELECT DATE_TRUNC('year', date), SUM(revenue) {base}",
         "SELECT 1 FROM a JOIN b ON a.x = b.x",
     )
     counts = patterns.usage_counts(f)
     assert [tuple(r) for r in patterns.relationships(counts).collect()] == [("a", "b", 1)]
     assert [r["relationship"] for r in patterns.join_counts(counts).collect()] == ["a-b"]
     top = [tuple(r) for r in patterns.common_filters(counts).collect()]
-    assert top == [("sales_fact", "sales_fact.date >= '2023-01-01'", 3, 1)]
+    assert top == [("ferry_fact", "ferry_fact.date > '2019-08-08'", 3, 1)]
     aggs = patterns.common_aggregations(counts).orderBy("rk").collect()
     assert [(r["agg"], r["n"]) for r in aggs] == [("SUM", 2), ("COUNT", 1)]
     assert patterns.business_calculations(f).count() == 2
-    assert [r["filter"] for r in patterns.date_filters(f).collect()] == ["sales_fact.date >= '2023-01-01'"]
+    assert [r["filter"] for r in patterns.date_filters(f).collect()] == ["ferry_fact.date > '2019-08-08'"]
     lines = pattern_lines(counts, f)
     text = render.as_text(lines, ["section", "key"]).first()[0]
     assert text == (
         "## Common Table Relationships\n- a commonly joined with: b\n"
-        "\n## Common Filters by Table\n- sales_fact: sales_fact.date >= '2023-01-01'\n"
-        "\n## Common Aggregations by Table\n- sales_fact: SUM, COUNT\n"
-        "\n## Common Date Filters\n- sales_fact.date >= '2023-01-01'"
+        "\n## Common Filters by Table\n- ferry_fact: ferry_fact.date > '2019-08-08'\n"
+        "\n## Common Aggregations by Table\n- ferry_fact: SUM, COUNT\n"
+        "\n## Common Date Filters\n- ferry_fact.date > '2019-08-08'"
     )
     with pytest.raises(ValueError):
         render.as_text(lines, ["section", "key"], max_chars=10)

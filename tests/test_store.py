@@ -161,6 +161,37 @@ def test_stream_and_catch_up(spark, tmp_path):
     )
 
 
+def test_late_emptied_and_missing_files(spark, tmp_path):
+    """Whatever time a file has, it is read once; patterns forget a notebook that lost its SQL."""
+    kb, files = KnowledgeBase(spark, str(tmp_path / "kb")), tmp_path / "files"
+    files.mkdir()
+    (files / "b.ipynb").write_text(B)
+    assert ingest.catch_up(kb, str(files)).indexed == 1
+    (files / "late.ipynb").write_text(A)
+    old = time.time() - 86_400
+    os.utime(files / "late.ipynb", (old, old))
+    assert ingest.catch_up(kb, str(files)).indexed == 2
+    assert not ingest.catch_up(kb, str(files)).ok  # nothing new
+    assert any("users_dim" in r["key"] for r in kb.usage().collect())
+    for name in ("b.ipynb", "late.ipynb"):
+        (files / name).write_text(NO_SQL)
+        os.utime(files / name, (old + 60, old + 60))
+    assert ingest.catch_up(kb, str(files)).message == "nothing to index"
+    assert kb.documents().count() == kb.usage().count() == kb.meta_lines("business_patterns").count() == 0
+    both = nb.read_files(spark, [str(files), str(tmp_path / "nowhere")])
+    assert both.count() == 2 and nb.read_files(spark, [str(tmp_path / "nowhere")]).count() == 0
+
+
+def test_usage_survives_other_loads(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    build(kb, raw(spark, {"d/a.ipynb": A, "d/b.ipynb": B}))
+    before = sorted(map(tuple, kb.usage().collect()))
+    kb.index(kb.documents().drop("version"))
+    assert before and sorted(map(tuple, kb.usage().collect())) == before
+    versions = {kb.next_version() for _ in range(20)}
+    assert len(versions) == 20 and min(versions) > max(r["version"] for r in kb.commits())
+
+
 def test_answers(spark, tmp_path):
     kb = KnowledgeBase(spark, str(tmp_path / "kb"))
     build(kb, raw(spark, {"d/a.ipynb": A, "d/b.ipynb": B}), described(spark))
