@@ -1,7 +1,7 @@
 """Rendered descriptions of the catalog and of the mined patterns.
 
-A description is a table of lines with a sort key, however large it is. ``as_text`` turns it into
-the one string that a prompt needs, after checking that it is of prompt size.
+A description is a table of lines with a sort key, however large it is. A prompt gets the schema lines of the tables
+that its own hits use (``schema_of``); ``as_text`` makes one string of the pattern lines.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-
-# Largest description that is put into prompts as one string; larger ones stay tables of lines.
-MAX_TEXT_CHARS = 16_000_000
+from .schema_match import name_lookup
 
 
 def schema_lines(tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -128,19 +126,24 @@ def pattern_lines(
     return body.select(F.inline(lines)).distinct()
 
 
-def check_size(lines: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> None:
-    """Raise if the lines together are larger than one prompt can hold."""
-    total = lines.agg(F.sum(F.length("line") + 1)).first()[0] or 0
-    if total > max_chars:
-        raise ValueError(
-            f"the description has {total} characters, more than {max_chars}; "
-            "use its lines as a table instead of one text"
-        )
+def schema_of(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """qid, schema_text: the description of the tables that a question's hits use.
+
+    ``hits``: qid, tables_used. ``lines``: ord (table key, place) and line of the stored description.
+    """
+    used = hits.select("qid", F.explode("tables_used").alias("table_name")).distinct()
+    keyed = lines.select(F.col("ord")[0].alias("table_key"), "ord", "line")
+    keys = keyed.select("table_key").distinct().withColumn("n_columns", F.lit(0))
+    found = used.withColumn("wanted", F.lower("table_name")).join(name_lookup(used, keys), "wanted")
+    own = found.select("qid", "table_key").distinct().join(keyed, "table_key")
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "line")))
+    return own.groupBy("qid").agg(
+        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("schema_text")
+    )
 
 
-def as_text(lines: DataFrame, order: list[str], max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """One row ``content`` with all lines in order; the total size is checked first."""
-    check_size(lines, max_chars)
+def as_text(lines: DataFrame, order: list[str]) -> DataFrame:
+    """One row ``content`` with all lines in order."""
     keyed = F.sort_array(F.collect_list(F.struct(*order, "line")))
     return lines.agg(
         F.array_join(F.transform(keyed, lambda r: r["line"]), "\n").alias("content")

@@ -25,7 +25,6 @@ from .. import fixed_values as fv
 from ..functions.text import terms
 from ..session import checkpointed
 from .block_scoring import QuestionBlock, best_documents
-from .schema_match import salted_lookup
 
 # Most questions and question words that are shipped to every task.
 MAX_QUESTIONS = 4096
@@ -91,8 +90,7 @@ def _field_totals(counts: DataFrame, fields: list[str]):
     return [s[0] for s in sizes], [float(s[1]) for s in sizes]
 
 
-def _weighted(questions: DataFrame, counts: DataFrame, fields: list[str], n_docs: list[int],
-              salted: bool) -> DataFrame:
+def _weighted(questions: DataFrame, counts: DataFrame, fields: list[str], n_docs: list[int]) -> DataFrame:
     """qid, terms: the words of each question that occur in the corpus, with their idf per field."""
     df = [
         F.coalesce(F.max(F.when(F.col("field") == f, F.col("df"))), F.lit(0)).cast("double")
@@ -104,22 +102,17 @@ def _weighted(questions: DataFrame, counts: DataFrame, fields: list[str], n_docs
         lambda x: F.log(1.0 + (x["n"] - x["df"] + 0.5) / (x["df"] + 0.5)),
     )
     asked = _question_terms(questions)
-    joined = (
-        salted_lookup(asked, per_term, "term", "qid").filter(F.col("df").isNotNull())
-        if salted
-        else asked.join(per_term, "term")
-    )
-    return joined.groupBy("qid").agg(
+    return asked.join(per_term, "term").groupBy("qid").agg(
         F.collect_list(F.struct("term", "qtf", idf.alias("idf"))).cast(_WEIGHTED).alias("terms")
     )
 
 
-def _block_questions(questions, counts, fields, n_docs, use_vector, salted):
+def _block_questions(questions, counts, fields, n_docs, use_vector):
     vector = F.col("embedding") if use_vector else F.lit(None).cast("array<float>")
     base = questions.select("qid", vector.alias("embedding"))
     if not fields:
         return base.withColumn("terms", F.lit(None).cast(_WEIGHTED))
-    return base.join(_weighted(questions, counts, fields, n_docs, salted), "qid", "left")
+    return base.join(_weighted(questions, counts, fields, n_docs), "qid", "left")
 
 
 def _result_schema(docs: DataFrame, questions: DataFrame) -> T.StructType:
@@ -152,7 +145,7 @@ def _candidates(docs, questions, fields, boosts, use_vector, size, text_weight,
         # Used twice below. For few questions it is small and both uses happen at once.
         counts = counts.persist() if few else checkpointed(counts)
         n_docs, avgdl = _field_totals(counts, fields)
-    asked = _block_questions(questions, counts, fields, n_docs, use_vector, not few)
+    asked = _block_questions(questions, counts, fields, n_docs, use_vector)
     columns = [F.col("doc_id")] + [terms(F.col(f)).alias(f"tok_{i}") for i, f in enumerate(fields)]
     if use_vector:
         columns.append(F.col("embedding"))

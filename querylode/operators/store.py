@@ -20,14 +20,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from .. import tables
 from . import patterns
-from .schema_match import salted_lookup
 from .search import term_counts
 
-# Replaced documents that are shipped to every reading task; beyond that they are joined by shuffle.
-MAX_SHIPPED_STALE = 200_000
-# Notebooks of one load that are shipped to every task that looks for their old documents.
-MAX_SHIPPED_NOTEBOOKS = 100_000
-
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     """The row with the highest version per key.
@@ -44,10 +38,6 @@ def usage_of(docs: DataFrame) -> DataFrame:
     return patterns.usage_counts(docs.withColumnRenamed("tables_used", "tables"))
 
 
-def _few(df: DataFrame, bound: int) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -122,8 +112,7 @@ class KnowledgeBase:
         stale = self._visible("stale", tables.STALE, versions).select(
             "doc_id", F.col("doc_version").alias("version")
         )
-        few = _few(stale, MAX_SHIPPED_STALE)
-        return docs.join(F.broadcast(stale) if few else stale, ["doc_id", "version"], "left_anti")
+        return docs.join(stale, ["doc_id", "version"], "left_anti")
 
     def get(self, doc_id: str) -> DataFrame:
         """The document with this id without its vector, or no row."""
@@ -151,11 +140,7 @@ class KnowledgeBase:
             replaced = old.join(fresh, "doc_id", "left_semi")
         else:
             named = notebooks.select("notebook_path").distinct()
-            if _few(named, MAX_SHIPPED_NOTEBOOKS):
-                replaced = old.join(F.broadcast(named), "notebook_path", "left_semi")
-            else:
-                hit = named.withColumn("hit", F.lit(True))
-                replaced = salted_lookup(old, hit, "notebook_path", "doc_id").filter("hit")
+            replaced = old.join(named, "notebook_path", "left_semi")
         rows = replaced.select("doc_id", F.col("version").alias("doc_version"))
         self._write(rows, "stale", tables.STALE, version)
 
@@ -168,10 +153,7 @@ class KnowledgeBase:
         """The documents that will be current once load ``version`` is committed."""
         stale = self._read("stale", tables.STALE).filter(F.col("version") == version)
         gone = stale.select("doc_id", F.col("doc_version").alias("version"))
-        few = _few(gone, MAX_SHIPPED_STALE)
-        kept = self.documents().join(
-            F.broadcast(gone) if few else gone, ["doc_id", "version"], "left_anti"
-        )
+        kept = self.documents().join(gone, ["doc_id", "version"], "left_anti")
         return kept.unionByName(self.written(version))
 
     def write_counts(self, version: int, fields: list[str]) -> None:

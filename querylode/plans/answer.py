@@ -37,17 +37,12 @@ def retrieve(kb: KnowledgeBase, questions: DataFrame, size: int = fv.ANSWER_SIZE
     )
 
 
-def shared_texts(kb: KnowledgeBase):
-    """The schema and pattern descriptions as scalar subqueries; their size is checked."""
-    return [
-        render.as_text(kb.meta_lines(ident), ["ord"]).scalar()
-        for ident, _ in (fv.SCHEMA_DOC, fv.PATTERNS_DOC)
-    ]
-
-
 def prompts_for(kb: KnowledgeBase, questions: DataFrame, hits: DataFrame) -> DataFrame:
     """qid, question, system_prompt, prompt for every question with hits."""
-    context = prompts.rag_context(prompts.examples(hits), *shared_texts(kb))
+    schemas = render.schema_of(hits, kb.meta_lines(fv.SCHEMA_DOC[0]))
+    found = prompts.examples(hits).join(schemas, "qid", "left")
+    patterns = render.as_text(kb.meta_lines(fv.PATTERNS_DOC[0]), ["ord"]).scalar()
+    context = prompts.rag_context(found, F.col("schema_text"), patterns)
     return questions.select("qid", "question").join(context, "qid").select(
         "qid",
         "question",

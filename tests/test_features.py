@@ -127,8 +127,6 @@ def test_business_patterns(spark):
         "\n## Common Aggregations by Table\n- ferry_fact: SUM, COUNT\n"
         "\n## Common Date Filters\n- ferry_fact.date > '2019-08-08'"
     )
-    with pytest.raises(ValueError):
-        render.as_text(lines, ["section", "key"], max_chars=10)
 
 
 def test_date_patterns(spark):

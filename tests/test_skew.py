@@ -1,14 +1,11 @@
-"""Hot keys: results stay whole when one key holds most rows, in the shipped and the shuffled way."""
+"""Hot keys: results stay whole when one key holds most rows."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from querylode.operators import schema_match, store
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_lookup_of_a_hot_name(spark, monkeypatch, bound):
-    monkeypatch.setattr(schema_match, "MAX_SHIPPED_KEYS", bound)
+def test_lookup_of_a_hot_name(spark):
     names = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id") % 7))
     features = spark.range(900).select(
         F.col("id").cast("string").alias("extract_id"), F.array(names).alias("tables")
@@ -24,10 +21,7 @@ def test_lookup_of_a_hot_name(spark, monkeypatch, bound):
     assert rows == expected
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_replacing_a_hot_notebook(spark, monkeypatch, tmp_path, bound):
-    monkeypatch.setattr(store, "MAX_SHIPPED_NOTEBOOKS", bound)
-    monkeypatch.setattr(store, "MAX_SHIPPED_STALE", bound)
+def test_replacing_a_hot_notebook(spark, tmp_path):
     kb = store.KnowledgeBase(spark, str(tmp_path / "kb"))
     kb.create()
 

@@ -245,6 +245,12 @@ def test_name_match_is_contains(spark):
     assert got == expected
 
 
+def test_pieces_of_a_key_grow_with_its_length(spark):
+    key = spark.createDataFrame([("warehouse_of_the_northern_region.daily_landings_by_harbour_and_boat",)], "k string")
+    pieces = key.select(F.size(F.flatten(F.array(*[schema_match.grams(F.col("k"), F.lit(q)) for q in (1, 2, 3)])))).first()[0]
+    assert pieces <= 3 * len(key.first()[0])
+
+
 def test_metastore_catalog(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS meta LOCATION '{tmp_path}/meta.db'")
     spark.sql("CREATE TABLE meta.facts (id BIGINT COMMENT 'key', v STRING, dt DATE) USING parquet PARTITIONED BY (dt) COMMENT 'Facts'")
