@@ -273,7 +273,7 @@ def _raw_join_sql(pattern):
 
 @register(
     "sql_joins_raw",
-    f"WITH {o.SQLCELLS}, raw AS ({' UNION ALL '.join(_raw_join_sql(p) for p in sf._JOIN_RAW)}) "
+    f"WITH {o.SQLCELLS}, raw AS ({' UNION ALL '.join(_raw_join_sql(p) for p in fv.JOIN_RAW)}) "
     "SELECT notebook_path, cell_index, left_table, right_table, CASE WHEN contains(m, 'LEFT') THEN 'LEFT' "
     "WHEN contains(m, 'RIGHT') THEN 'RIGHT' WHEN contains(m, 'FULL') THEN 'FULL' ELSE 'INNER' END AS join_type FROM raw",
 )
