@@ -8,12 +8,13 @@ leaves a key for each piece with a bit set, in its own band and, where a partner
 meet give candidates, and candidates are verified on their exact sets.
 
 Equal sets are one class from the start, and a task passes on the keys of a class once. Where up to ``SMALL`` classes
-meet in a key, all pairs are candidates. Where more meet, each one with the least of them is. Candidates whose sizes, or
-whose short sketches of ``SHORT_BITS`` bits, are too far apart are dropped: no linked sets are. Candidates are compared in
-three rounds: each class with the earlier one that it shares most keys with; then those candidates that the links found
-so far leave in different components. A class with few crowded keys shares a key that isn't crowded with every partner;
-so the third round is for pairs of classes with many crowded keys that are still in different components. No link that
-would join two components is lost, and a group of any size costs about one comparison for each member.
+meet in a key, all pairs are candidates. Where more meet, each one with the least of them is. Candidates whose sizes or
+whole sketches (first in ``SHORT_BITS`` bits, then in over four bits for each element) are too far apart are dropped: no
+linked sets are. Candidates are compared in three rounds: each class with the earlier one that it shares most keys with;
+then those candidates that the links found so far leave in different components. A class with few crowded keys shares a key
+that isn't crowded with every partner; so the third round is for pairs of classes with many crowded keys, of the same least
+class, that are still in different components: their sketches are compared in blocks of bounded size, and what is near
+enough is verified. No link that would join two components is lost.
 
 Keys travel as packed arrays by hash range of the key; texts of candidates travel to the class that they are compared
 to, in chunks. Components are found by rounds of joins.
@@ -41,6 +42,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 PIECE_BITS = 16
 SHORT_BITS = 512
+SMALL_SETS = 64
+# Classes of one block in the third round.
+BLOCK = 2_048
 SMALL = 8
 CHUNK = 256
 # Word hashes that a task remembers.
@@ -100,7 +104,8 @@ class Bands:
 
     def pieces(self, edge: int) -> int:
         d = self.differ(edge)
-        return d + 1 + max(1, d // 4)
+        # Small sets: about a piece for each element, so that a common passage takes few of them.
+        return 8 * edge if edge <= SMALL_SETS else d + 1 + max(1, d // 4)
 
     def of(self, n: int, edges: list[int]) -> list[tuple[int, int]]:
         """(band, its upper edge) where a set of n elements leaves keys."""
@@ -151,13 +156,28 @@ def sketch_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(seconds), slack
 
 
-def short_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SHORT_BITS bits for each set, as signed 64-bit numbers."""
+def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of ``bits`` bits for each set, as 64-bit numbers. A sketch of half the bits is one half xor the other."""
     own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     h = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    bit = (mix(h * _ODD[4] + _ODD[0]) % _U(SHORT_BITS)).astype(np.int64)
-    parity = np.bincount(own * SHORT_BITS + bit, minlength=len(sets) * SHORT_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(len(sets), SHORT_BITS // 64)
+    bit = (mix(h * _ODD[4] + _ODD[0]) % _U(bits)).astype(np.int64)
+    parity = np.bincount(own * bits + bit, minlength=len(sets) * bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(len(sets), bits // 64)
+
+
+def long_sketch(s: np.ndarray) -> bytes:
+    """A sketch of at least four bits for each element."""
+    bits = SHORT_BITS
+    while bits < 4 * len(s):
+        bits *= 2
+    return sketches([s], bits).tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -181,7 +201,7 @@ def classes(docs: DataFrame, bands: Bands) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(own, pa.int64()),
                         *[pa.array([s[k] for s in slack], pa.int64()) for k in (0, 1)],
-                        pa.array(list(short_sketches(sets)), pa.list_(pa.int64())),
+                        pa.array(list(sketches(sets, SHORT_BITS)), pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n", "class", "slack0", "slack1", "sketch"],
                 )
@@ -322,6 +342,94 @@ def possible(pairs: DataFrame, reps: DataFrame, numerator: int, denominator: int
     return joined.where((denominator * least >= numerator * most) & near).drop("n_a", "n_b", "s_a", "s_b")
 
 
+def long_sketches(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """class, n, sketch of the classes whose documents are in ``texts``."""
+    rows = texts.join(ids, "doc_id").select("text", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for whole in batches:
+            for batch in common.slices(whole, "text"):
+                sets = [shingles(t) for t in common.texts(batch.column("text"))]
+                own = [(c, len(s), long_sketch(s)) for c, s in zip(batch.column("class").to_pylist(), sets, strict=True) if len(s) and class_of(s) == c]
+                columns = list(zip(*own, strict=True)) or [(), (), ()]
+                types = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["class", "n", "sketch"])
+
+    return rows.mapInArrow(run, "class bigint, n bigint, sketch binary").dropDuplicates(["class"])
+
+
+def close(pairs: DataFrame, long: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs whose long sketches a linked pair can have."""
+    of = lambda x: long.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            differ = np.empty(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True)):
+                x, y = (np.frombuffer(v, np.uint64)[None] for v in (x, y))
+                words = min(x.shape[1], y.shape[1])
+                differ[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
+            keep = (denominator + numerator) * differ <= (denominator - numerator) * n
+            yield batch.select(["a", "b", "times"]).filter(pa.array(keep))
+
+    return joined.select("a", "b", "times", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint, times bigint")
+
+
+def still_apart(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """a, b: pairs of one pivot's members in different components whose sketches a linked pair can have.
+
+    ``members``: pivot, class, component, n, sketch. They are cut into blocks of about ``BLOCK``; any two blocks meet.
+    """
+    spark = members.sparkSession
+    many = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = members.join(many, "pivot").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = met.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "component", "n", "sketch")
+    dealt = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pivot", "low", "high")
+
+    def pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        low, high = group[0][0][1:]
+        own, label, component, n = (np.array([g[1][k] for g in group]) for k in range(4))
+        words = np.array([len(g[1][4]) // 8 for g in group])
+        by_words = {int(w): np.stack([np.frombuffer(group[i][1][4], np.uint64) for i in np.flatnonzero(words == w)]) for w in np.unique(words)}
+        places = {w: np.flatnonzero(words == w) for w in by_words}
+        a, b = [], []
+        for w, rows in by_words.items():
+            # Linked sets have sketches of the same length, or of half of it.
+            for v in (w, 2 * w):
+                if v not in by_words:
+                    continue
+                others, there = folded(by_words[v], w), places[v]
+                for i, row in zip(places[w].tolist(), rows, strict=True):
+                    at = there[(component[there] != component[i]) & ((own[there] != own[i]) if low != high else (there > i) if v == w else True)]
+                    at = at[np.minimum(n[at], n[i]) * denominator >= np.maximum(n[at], n[i]) * numerator]
+                    if not len(at):
+                        continue
+                    differ = np.bitwise_count(others[np.searchsorted(there, at)] ^ row).sum(axis=1)
+                    at = at[(denominator + numerator) * differ.astype(np.int64) <= (denominator - numerator) * (n[at] + n[i])]
+                    a += np.minimum(label[at], label[i]).tolist()
+                    b += np.maximum(label[at], label[i]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("pivot", "low", "high", "own", "class", "component", "n", "sketch")], strict=True)
+            for r in rows:
+                if group and group[0][0] != r[:3]:
+                    yield from pairs(group)
+                    group = []
+                group.append((r[:3], r[3:]))
+        if group:
+            yield from pairs(group)
+
+    ordered = dealt.sortWithinPartitions("pivot", "low", "high")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """a, b, shared, size (of the union): the pairs of classes that are linked, by the doc_ids that represent them.
 
@@ -380,9 +488,16 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     met_keys = common.stored(met(docs.where(F.col("doc_id").isNotNull()), bands, parts), "met")
     candidates = met_keys.where("a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"))
     candidates = common.stored(possible(candidates, reps, numerator, denominator), "candidates")
+    # Classes with more crowded keys than they can do without.
+    crowded = met_keys.where(F.col("key").isNotNull()).select(F.col("a").alias("pivot"), F.col("b").alias("class"), "second")
+    slack = reps.select("class", F.posexplode(F.array("slack0", "slack1")).alias("second", "slack"))
+    dense = crowded.groupBy("class", "second").count().join(slack, ["class", "second"]).where(F.col("count") > F.col("slack"))
+    dense = common.stored(crowded.join(dense.select("class", "second"), ["class", "second"]).select("pivot", "class").distinct(), "dense")
     # The texts of candidates, once.
-    named = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(ids, "class").select("doc_id").distinct()
-    texts = common.stored(docs.join(named, "doc_id", "left_semi"), "candidate-texts")
+    named = candidates.select(F.explode(F.array("a", "b")).alias("class")).union(dense.select("class")).distinct()
+    texts = common.stored(docs.join(named.join(ids, "class").select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
+    long = common.stored(long_sketches(texts, ids), "sketches")
+    candidates = common.stored(close(candidates, long, numerator, denominator), "close-candidates")
 
     def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         found = verified(pairs, texts, ids, numerator, denominator)
@@ -407,21 +522,13 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     if not second.isEmpty():
         links = links.union(linked(second, texts))
         found = components(links)
-    # Classes with more crowded keys than they can do without, that are still apart from others in one of these.
-    crowded = met_keys.where(F.col("key").isNotNull()).select("key", "second", F.col("b").alias("class"))
-    slack = reps.select("class", F.posexplode(F.array("slack0", "slack1")).alias("second", "slack"))
-    dense = crowded.groupBy("class", "second").count().join(slack, ["class", "second"]).where(F.col("count") > F.col("slack"))
-    held = crowded.join(dense.select("class", "second"), ["class", "second"]).join(component_of(found), "class", "left")
-    held = held.select("key", "class", F.coalesce("component", F.col("class")).alias("component"))
-    apart = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = common.stored(held.join(apart, "key").distinct(), "apart")
-    if not left.isEmpty():
-        other = left.select("key", F.col("class").alias("b"), F.col("component").alias("other"))
-        rest = left.withColumnRenamed("class", "a").join(other, "key").where("a < b AND component <> other").select("a", "b").distinct()
-        rest = rest.join(candidates, ["a", "b"], "left_anti")
-        rest = common.stored(possible(rest, reps, numerator, denominator), "third-round")
-        if not rest.isEmpty():
-            found = components(links.union(linked(rest, docs)))
+    held = dense.join(component_of(found), "class", "left").withColumn("component", F.coalesce("component", F.col("class")))
+    apart = held.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot")
+    members = held.join(apart, "pivot").join(long, "class")
+    rest = still_apart(members, numerator, denominator).join(candidates, ["a", "b"], "left_anti")
+    rest = common.stored(rest, "third-round")
+    if not rest.isEmpty():
+        found = components(links.union(linked(rest, texts)))
     of_class = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         F.col("class").alias("__class"), F.coalesce("component", "doc_id").alias("component")
     )

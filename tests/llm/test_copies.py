@@ -212,7 +212,7 @@ def test_sketches_bound_the_difference():
     for n in (1, 4, 5, 6, 40, 333, 4000):
         a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
         b = np.unique(np.r_[a[: n - n // 10], rnd.integers(0, 1 << 62, n // 10).astype(np.uint64)])
-        x, y = jaccard_join.short_sketches([a, b])
+        x, y = jaccard_join.sketches([a, b], 512)
         differ = len(np.setxor1d(a, b))
         assert sum(bin((int(i) ^ int(j)) & (2**64 - 1)).count("1") for i, j in zip(x, y, strict=True)) <= differ
         keys, owner, second, slack = jaccard_join.sketch_keys([a, b], bands)
