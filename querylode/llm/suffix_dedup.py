@@ -428,6 +428,7 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int =
     # A context that occurs twice is covered as a whole.
     twice = kinds.where("n > 1").select("seed", "context", F.lit(length).alias("before"), F.lit(length).alias("after"))
     cover = cover.union(twice).groupBy("seed", "context").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    cover = common.stored(cover, "cover")
     return whole.union(mixed.join(cover, ["seed", "context"]).select("doc_id", "at", "before", "after"))
 
 
