@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querylode import fixed_values as fv
+from querylode import tables
 from querylode.functions import replies as rp
 from querylode.functions import text as tx
 from querylode.functions import vectors as vec
-from querylode.operators import prompts, render
-from querylode.operators.store import KnowledgeBase, latest
+from querylode.operators import patterns, prompts, render
+from querylode.operators.store import KnowledgeBase
 from querylode.plans import answer as ans
 from querylode.plans import build as bld
 from querylode.session import new_dir
@@ -53,7 +54,30 @@ def kb_upsert(spark, sf_dir):
         F.lit("benchmark").alias("source"),
         F.length("text").cast(L).alias("n_chars"),
     )
-    return latest(first.unionByName(edits).unionByName(third), "doc_id", "version")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
+    kb.create()
+    for load in (first, edits, third):
+        kb.index(
+            _as_documents(
+                load,
+                doc_id=F.col("doc_id").cast("string"),
+                execution_count=F.col("version").cast("int"),
+                notebook_path=F.col("source"),
+                cell_index=F.col("n_chars").cast("int"),
+            )
+        )
+    return kb.documents().select(
+        F.col("doc_id").cast(L).alias("doc_id"),
+        F.col("execution_count").cast(L).alias("version"),
+        F.col("notebook_path").alias("source"),
+        F.col("cell_index").cast(L).alias("n_chars"),
+    )
+
+
+def _as_documents(df, **columns):
+    """Rows as documents of a knowledge base; other fields are null."""
+    fields = tables.schema(tables.DOCS).fields
+    return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 @register(
@@ -74,13 +98,40 @@ def kb_embed_counts(spark, sf_dir):
 
 @register(
     "kb_get",
-    "SELECT d.doc_id, d.lang, d.source, CAST(l.quality AS BIGINT) AS quality FROM documents d JOIN labels l USING (doc_id)",
+    "SELECT doc_id, lang, source, text FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents)",
 )
 def kb_get(spark, sf_dir):
-    """Lookup by id for a whole table of ids."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    wanted = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast(L).alias("quality"))
-    return docs.join(wanted, "doc_id")
+    """All documents are indexed; the one with the largest id is looked up."""
+    docs = table(spark, sf_dir, "documents")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
+    kb.index(
+        _as_documents(
+            docs,
+            doc_id=F.col("doc_id").cast("string"),
+            notebook_path=F.col("source"),
+            notebook_type=F.col("lang"),
+            sql_query=F.col("text"),
+        )
+    )
+    wanted = str(docs.agg(F.max("doc_id")).first()[0])
+    return kb.get(wanted).select(
+        F.col("doc_id").cast(L).alias("doc_id"),
+        F.col("notebook_type").alias("lang"),
+        F.col("notebook_path").alias("source"),
+        F.col("sql_query").alias("text"),
+    )
+
+
+@register("kb_relationships", ORACLES["bp_relationships"])
+def kb_relationships(spark, sf_dir):
+    """Joins of tables as a knowledge base counts them after three loads, one of them replacing documents."""
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
+    raw = raw_files(spark, sf_dir, "jupyter")
+    half = F.pmod(F.xxhash64("notebook_path"), F.lit(2))
+    bld.build(kb, raw.filter(half == 0))
+    bld.build(kb, raw.filter(half == 1))
+    bld.build(kb, raw.filter(half == 0))
+    return patterns.relationships(kb.usage())
 
 
 @register(
