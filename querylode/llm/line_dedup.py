@@ -141,6 +141,8 @@ def decisions(docs: DataFrame, min_chars: int, min_docs: int, batches: int = BAT
         own = lines.where(F.col("batch") == b).groupBy("h1", "h2")
         runs.add(own.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")))
     common_keys = runs.rows(runs.tables()).where(F.col("n") >= min_docs).select("h1", "h2", "last")
+    # Written first: a join of two plain exchanges can be split where very many documents hold one line.
+    common_keys = common.stored(common_keys, "shared-lines")
     lost = F.coalesce(F.col("doc_id") < F.col("last"), F.col("last").isNotNull())
     return (
         lines.join(common_keys, ["h1", "h2"])
