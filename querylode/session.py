@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode a temporary one if it is unset."""
@@ -15,9 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="querylode-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId  # the setting itself is fixed once a session runs
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="querylode-")
+    return _made[app]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
