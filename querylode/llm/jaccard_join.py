@@ -8,7 +8,8 @@ leaves a key for each piece with a bit set, in its own band and, where a partner
 meet give candidates, and candidates are verified on their exact sets.
 
 Equal sets are one class from the start, and a task passes on the keys of a class once. Where up to ``SMALL`` classes
-meet in a key, all pairs are candidates. Where more meet, each one with the least of them is. Candidates whose sizes or
+meet in a key, all pairs are candidates. Where more meet, the least of them stands for the key, and a class is a
+candidate with the one that stands for most of its keys. Candidates whose sizes or
 whole sketches (first in ``SHORT_BITS`` bits, then in over four bits for each element) are too far apart are dropped: no
 linked sets are. Candidates are compared in three rounds: each class with the earlier one that it shares most keys with;
 then those candidates that the links found so far leave in different components. A class with few crowded keys shares a key
@@ -486,7 +487,11 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     ids = reps.select("class", "doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met_keys = common.stored(met(docs.where(F.col("doc_id").isNotNull()), bands, parts), "met")
-    candidates = met_keys.where("a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    times = met_keys.where("a <> b").groupBy("a", "b", F.col("key").isNull().alias("few")).agg(F.sum("times").alias("times"))
+    most = Window.partitionBy("b").orderBy(F.col("times").desc(), "a")
+    stars = times.where(~F.col("few")).withColumn("__n", F.row_number().over(most)).where(F.col("__n") == 1)
+    candidates = times.where("few").select("a", "b", "times").union(stars.select("a", "b", "times"))
+    candidates = candidates.groupBy("a", "b").agg(F.sum("times").alias("times"))
     candidates = common.stored(possible(candidates, reps, numerator, denominator), "candidates")
     # Classes with more crowded keys than they can do without.
     crowded = met_keys.where(F.col("key").isNotNull()).select(F.col("a").alias("pivot"), F.col("b").alias("class"), "second")
