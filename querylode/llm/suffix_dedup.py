@@ -93,10 +93,10 @@ def _least_places(order: np.ndarray, width: int) -> np.ndarray:
     return (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, first: int, powers: Powers, length: int, seed: int):
+def anchors(text: np.ndarray, ends: np.ndarray, first: int, powers: Powers, length: int, seed: int, stop: int | None = None):
     """Places, seed hashes and context hashes of the anchors of texts that lie end to end; ``ends`` are their ends.
 
-    ``first`` is the first start of a string; a text's part before it is only context.
+    ``first`` is the first start of a string, and starts are below ``stop``; a text's parts around them are only context.
     """
     width = length - seed + 1
     if len(text) < length:
@@ -109,7 +109,8 @@ def anchors(text: np.ndarray, ends: np.ndarray, first: int, powers: Powers, leng
     valid = np.zeros(len(text) + 1, dtype=np.int32)
     full = ends - starts >= length
     np.add.at(valid, np.maximum(starts[full], first), 1)
-    np.add.at(valid, ends[full] - length + 1, -1)
+    past = ends[full] - length + 1
+    np.add.at(valid, past if stop is None else np.minimum(past, stop), -1)
     chosen = np.zeros(len(text), dtype=bool)
     chosen[places[np.cumsum(valid)[: len(places)] > 0]] = True
     p = np.flatnonzero(chosen)
@@ -140,7 +141,8 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
                     found = []
                     for low, part, first in _parts(many[0], length, seed):
                         data = np.frombuffer(part, dtype=np.uint8)
-                        p, s, c = anchors(data, np.array([len(data)]), first, powers, length, seed)
+                        # Later strings are the next part's: here their anchors' contexts may be cut off.
+                        p, s, c = anchors(data, np.array([len(data)]), first, powers, length, seed, first + AT_ONCE)
                         found.append((p + low, s, c))
                     place, s, c = (np.concatenate(x) for x in zip(*found, strict=True))
                     place, once = np.unique(place, return_index=True)

@@ -123,6 +123,23 @@ def test_long_texts_in_parts(spark, monkeypatch):
     assert [got[i] for i in range(3)] == repeated([t.encode() for t in texts], 200)
 
 
+@pytest.mark.parametrize("aligned", [False, True])
+def test_strings_over_the_borders_of_parts(spark, monkeypatch, aligned):
+    """Passages that end, and long texts that part, 1 to 136 bytes after the end of a part, which has 336 bytes more."""
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 700)
+    rnd = random.Random(4)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for past in range(1, 137):
+        end = 700 * (1 + past % 2) + 336 + past
+        same = make(end if aligned else 300)
+        before, other = ("", "") if aligned else (make(end - 300), make(90))
+        texts += [before + same + "x" + make(2_500 - end), other + same + "y" + make(2_500 - end if aligned else 90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == repeated([t.encode() for t in texts], 200)
+
+
 def test_colliding_hashes_are_noticed(monkeypatch):
     """With hashes of four bits, order and strings fail the check byte by byte and are found by plain comparison."""
     rnd = random.Random(2)
