@@ -9,6 +9,9 @@ from querylode.llm import common, fingerprints, hmm_scoring, jaccard_join, langu
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+# Queries beside the one of an operator.
+BESIDE: dict = {}
+BESIDE_ORACLES: dict = {}
 
 
 def query(fn=None, *, oracle: str | None = None):
@@ -115,9 +118,18 @@ FROM counts"""
 
 @query(oracle=QUALITY_RULES_SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By its SQL only the share of a host's documents decides; ``op5_shared_lines`` has the absolute limit."""
+    return quality_rules.verdicts(common.read(spark, sf_dir, "documents"), at_docs=None)
+
+
+def op5_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(common.read(spark, sf_dir, "documents"))
 
 
+BESIDE["op5_shared_lines"] = op5_shared_lines
+BESIDE_ORACLES["op5_shared_lines"] = QUALITY_RULES_SQL.replace("n >= 20 AND n > 0.2 * docs", "n >= 5 OR n >= 20 AND n > 0.2 * docs")
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Trees:
     """Learned from the labels outside the held-out fold."""
     labels = common.read(spark, sf_dir, "labels").where(common.remainder("doc_id", 5) != 0)

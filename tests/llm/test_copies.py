@@ -79,6 +79,20 @@ def test_quality_rules_odd_rows(spark, odd, none):
     assert kept[3] and not kept[200]
 
 
+def test_lines_in_a_small_share_of_a_host(spark):
+    """A line in 6 of 400 documents of a host goes; one in 4 documents and copies of one of them stays, as in other hosts."""
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(16))
+    shared = {i: "All rights reserved 20" + str(i) for i in range(6)} | {i: "See also the next page" for i in range(10, 14)}
+    pages = [(i, own(i) + ("\n" + shared[i]) * 2 if i in shared else own(i), "h") for i in range(400)]
+    pages += [(1_000 + i, pages[10][1], "h") for i in range(9)]
+    pages += [(2_000 + i, own(i) + "\nAll rights reserved 1", None) for i in range(4)]
+    docs = spark.createDataFrame(pages, "doc_id bigint, text string, source string")
+    removed = {r.doc_id: r.removed_chars for r in quality_rules.verdicts(docs).collect()}
+    assert removed == {d: 46 if d < 6 else 0 for d, _, _ in pages}
+    cleaned = {r.doc_id: r.text for r in quality_rules.clean(docs).collect()}
+    assert cleaned == {d: own(d) if d < 6 else t for d, t, _ in pages}
+
+
 def repeated(texts, length):
     counts = Counter(t[a : a + length] for t in texts for a in range(len(t) - length + 1))
     out = []
