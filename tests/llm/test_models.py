@@ -99,6 +99,15 @@ def test_baum_welch_counts_and_progress():
     assert likely[-1] > likely[1] > likely[0]
 
 
+def test_last_round_counts_every_token_once(some, monkeypatch):
+    sums, of = [], hmm_scoring.Model.of
+    monkeypatch.setattr(hmm_scoring.Model, "of", staticmethod(lambda *a: sums.append(a[2].sum()) or of(*a)))
+    monkeypatch.setattr(hmm_scoring, "SEED_PASSES", 3)
+    known = hmm_scoring.vocabulary(hmm_scoring.word_counts(some), some.count())
+    hmm_scoring.train(some, known)
+    assert sums[-1] == pytest.approx(known.tokens, rel=1e-3)
+
+
 def base_scores(rows):
     counts = Counter()
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
