@@ -96,13 +96,7 @@ def kb_embed_counts(spark, sf_dir):
     )
 
 
-@register(
-    "kb_get",
-    "SELECT doc_id, lang, source, text FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents)",
-)
-def kb_get(spark, sf_dir):
-    """All documents are indexed; the one with the largest id is looked up."""
-    docs = table(spark, sf_dir, "documents")
+def _indexed(spark, docs):
     kb = KnowledgeBase(spark, new_dir(spark, "kb"))
     kb.index(
         _as_documents(
@@ -113,6 +107,17 @@ def kb_get(spark, sf_dir):
             sql_query=F.col("text"),
         )
     )
+    return kb
+
+
+@register(
+    "kb_get",
+    "SELECT doc_id, lang, source, text FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents)",
+)
+def kb_get(spark, sf_dir):
+    """All documents are indexed; the one with the largest id is looked up."""
+    docs = table(spark, sf_dir, "documents")
+    kb = _indexed(spark, docs)
     wanted = str(docs.agg(F.max("doc_id")).first()[0])
     return kb.get(wanted).select(
         F.col("doc_id").cast(L).alias("doc_id"),
@@ -122,6 +127,22 @@ def kb_get(spark, sf_dir):
     )
 
 
+@register(
+    "kb_get_all",
+    "SELECT d.doc_id, d.lang, d.source, CAST(l.quality AS BIGINT) AS quality FROM documents d JOIN labels l USING (doc_id)",
+)
+def kb_get_all(spark, sf_dir):
+    """Lookup by id for a whole table of ids."""
+    labels = table(spark, sf_dir, "labels")
+    wanted = labels.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast(L).alias("quality"))
+    return _indexed(spark, table(spark, sf_dir, "documents")).get_all(wanted).select(
+        F.col("doc_id").cast(L).alias("doc_id"),
+        F.col("notebook_type").alias("lang"),
+        F.col("notebook_path").alias("source"),
+        "quality",
+    )
+
+
 @register("kb_relationships", ORACLES["bp_relationships"])
 def kb_relationships(spark, sf_dir):
     """Joins of tables as a knowledge base counts them after three loads, one of them replacing documents."""

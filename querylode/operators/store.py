@@ -118,6 +118,10 @@ class KnowledgeBase:
         """The document with this id without its vector, or no row."""
         return self.documents().filter(F.col("doc_id") == doc_id).drop("embedding")
 
+    def get_all(self, ids: DataFrame) -> DataFrame:
+        """The documents without their vectors for a table with a column doc_id, whose other columns are added."""
+        return self.documents().drop("embedding").join(ids, "doc_id")
+
     def write_documents(self, docs: DataFrame, version: int) -> int:
         """Write the documents of one load; returns how many."""
         seen = Observation(f"documents-{version}")
