@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylode.llm import common, fingerprints, hmm_scoring, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
+from querylode.llm import (
+    byte_bpe, common, fingerprints, hmm_scoring, jaccard_join, language_id, line_dedup, mixing, periodic_runs, quality_classifier,
+    quality_rules, sentencepiece_codec, spelling_variants, suffix_dedup,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -172,3 +175,52 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
+# One letter of every run whose key's crc32 this divides is deleted before words are counted.
+DROP_EVERY = 199
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.vocabulary(common.read(spark, sf_dir, "documents"), drop_every=DROP_EVERY)
+    return spelling_variants.variants(words)
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return byte_bpe.encode(docs, vocabulary("byte_bpe_50k.json"), digest=True)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts, every tenth of them (by crc32 of its id) repeating a block of its words from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+    def repeated(words: Column) -> Column:
+        n, g = F.size(words).cast("bigint"), F.floor(h / 10)
+        start = F.pmod(g, n)
+        period = 1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+        both = F.struct(start.alias("a"), period.alias("p"))
+        place = lambda i, c: F.when(i < c["a"], i).otherwise(c["a"] + (i - c["a"]) % c["p"]).cast("int")
+        new = quality_rules.let(both, lambda c: F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, place(i, c))))
+        return F.when(n > 0, F.array_join(new, " ")).otherwise(F.lit(""))
+
+    changed = quality_rules.let(quality_rules.words(F.coalesce("text", F.lit(""))), repeated)
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(with_repeats(common.read(spark, sf_dir, "documents")))
+    higher = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    none = F.lit(None).cast(periodic_runs.RUN)
+    best = F.aggregate("runs", none, lambda best, r: F.when(best.isNull() | higher(r, best), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
