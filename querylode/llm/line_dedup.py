@@ -6,17 +6,20 @@ points found in at least ``min_docs`` documents lose all their lines except in t
 The documents come in batches of descending doc_id. A batch's distinct keys are merge-anti-joined to the runs of all
 earlier batches: keys that no run holds are first held here, by the largest doc_id of all, which is recorded; the
 others add their count. Then the batch becomes a run of its own. Runs are tables bucketed and sorted by hash, so the
-joins shuffle the new batch alone; ``fanout`` runs of a level are compacted into one of the next. The last
-compaction holds, for each key, the number of documents and the document that keeps it.
+joins shuffle the new batch alone; ``fanout`` runs of a level are compacted into one of the next by a full outer merge
+join, bucket by bucket, which leaves one row for each key. The last merge holds, for each key, the number of documents and
+the document that keeps it. Batches grow with the input, and so does their number, by the square root of its size.
 
 Defined cases: null and empty texts have one empty line; a null doc_id comes before all others; rows that share a
-doc_id are one document for the count and lose the same keys; line hashes have 128 bits (MD5). Other columns stay, except those named
-n_lines or n_dropped.
+doc_id are one document for the count and lose the same keys; of equal lines of one document all stay or all go; a text of
+any length is worked through whole; an empty table gives no rows; line hashes have 128 bits (MD5). Other columns stay,
+except those named n_lines or n_dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,8 +32,9 @@ from querylode.llm import common
 from querylode.session import new_dir
 
 STRIPPED = b" \t\n\x0b\x0c\r"
-BATCHES = 4
 FANOUT = 2
+# Bytes of text of the only batch of a small input; n times n as much makes n batches.
+BATCH_BYTES = 64_000_000
 
 
 def key_of(line: bytes, min_chars: int) -> bytes | None:
@@ -85,11 +89,14 @@ class Runs:
         return [t for level in self.levels for t in level]
 
     def rows(self, tables: list[str]) -> DataFrame:
-        """The keys of some runs, summed up."""
+        """The keys of some runs, merged: one row for each key. A union of them would not bring equal keys together."""
         out = self.spark.table(tables[0])
         for t in tables[1:]:
-            out = out.unionByName(self.spark.table(t))
-        return out.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+            other = self.spark.table(t).select("h1", "h2", F.col("n").alias("more"), F.col("last").alias("other"))
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+            # Only the first run that held a key names its holder.
+            out = out.join(other, ["h1", "h2"], "full").select("h1", "h2", n.alias("n"), F.greatest("last", "other").alias("last"))
+        return out
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch's (h1, h2, n, last): a key that a run holds keeps that run's holder."""
@@ -114,10 +121,18 @@ class Runs:
     def compact(self, level: int) -> str:
         """Merge a level's runs into one and forget them; their files stay, as running jobs may read them."""
         merged = self.write(self.rows(self.levels[level]))
+        self.forget(level)
+        return merged
+
+    def forget(self, level: int) -> None:
         for t in self.levels[level]:
             self.spark.sql(f"DROP TABLE {t}")
         self.levels[level] = []
-        return merged
+
+    def close(self) -> None:
+        """Take all runs out of the catalog."""
+        for level in range(len(self.levels)):
+            self.forget(level)
 
 
 def with_batches(docs: DataFrame, batches: int) -> DataFrame:
@@ -128,21 +143,28 @@ def with_batches(docs: DataFrame, batches: int) -> DataFrame:
     return docs.withColumn("batch", sum(later, F.lit(0)).cast("int"))
 
 
-def decisions(docs: DataFrame, min_chars: int, min_docs: int, batches: int = BATCHES) -> DataFrame:
+def batches_of(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(math.sqrt(size / BATCH_BYTES)))
+
+
+def decisions(docs: DataFrame, min_chars: int, min_docs: int, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """doc_id, __keys: the line hashes that each document loses."""
     spark = docs.sparkSession
+    batches = batches or batches_of(docs)
     lines = line_keys(with_batches(docs.select("doc_id", "text"), batches), min_chars).dropDuplicates()
     path = new_dir(spark, "line-keys")
     schema = lines.schema
     lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(schema).parquet(path)
-    runs = Runs(spark)
+    runs = Runs(spark, fanout)
     for b in range(batches):
         own = lines.where(F.col("batch") == b).groupBy("h1", "h2")
         runs.add(own.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")))
     common_keys = runs.rows(runs.tables()).where(F.col("n") >= min_docs).select("h1", "h2", "last")
     # Written first: a join of two plain exchanges can be split where very many documents hold one line.
     common_keys = common.stored(common_keys, "shared-lines")
+    runs.close()
     lost = F.coalesce(F.col("doc_id") < F.col("last"), F.col("last").isNotNull())
     return (
         lines.join(common_keys, ["h1", "h2"])
@@ -153,10 +175,10 @@ def decisions(docs: DataFrame, min_chars: int, min_docs: int, batches: int = BAT
 
 
 def dedup(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES, digest: bool = False
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, digest: bool = False, fanout: int = FANOUT
 ) -> DataFrame:
     """Every row with its kept text, n_lines and n_dropped (with ``digest``: doc_id, the counts and kept_sha256)."""
-    lost = decisions(docs, min_chars, min_docs, batches).withColumnRenamed("doc_id", "__lost_id")
+    lost = decisions(docs, min_chars, min_docs, batches, fanout).withColumnRenamed("doc_id", "__lost_id")
     inputs = docs.select("doc_id", "text") if digest else docs.drop("n_lines", "n_dropped")
     joined = inputs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").drop("__lost_id")
     names = [c for c in inputs.columns if not (digest and c == "text")]

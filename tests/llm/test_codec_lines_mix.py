@@ -81,6 +81,38 @@ def test_line_dedup_generated(spark):
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == kept_lines(docs.collect(), 20, 3)
 
 
+@pytest.mark.parametrize(("batches", "fanout", "min_docs"), [(1, 2, 2), (2, 2, 4), (3, 2, 5), (4, 3, 6), (5, 2, 4), (6, 3, 3), (6, 2, 5)])
+def test_line_dedup_off_the_defaults(spark, batches, fanout, min_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = spark.catalog.listTables()
+    got = line_dedup.dedup(docs, min_docs=min_docs, batches=batches, fanout=fanout)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == kept_lines(docs.collect(), 20, min_docs)
+    assert spark.catalog.listTables() == before
+
+
+def test_compaction_leaves_one_row_for_each_key(spark):
+    rnd = random.Random(9)
+    runs, want, holder = line_dedup.Runs(spark, 2), Counter(), {}
+    for batch in range(7):
+        keys = rnd.sample(range(3_000), 2_000)
+        runs.add(spark.createDataFrame([(k, -k, 1 + k % 3, 100 - batch) for k in keys], "h1 bigint, h2 bigint, n bigint, last bigint"))
+        for k in keys:
+            want[k] += 1 + k % 3
+            holder.setdefault(k, 100 - batch)
+        for t in runs.tables():
+            assert spark.table(t).count() == spark.table(t).select("h1", "h2").distinct().count()
+        got = {r.h1: (r.n, r.last) for r in runs.rows(runs.tables()).collect()}
+        assert got == {k: (n, holder[k]) for k, n in want.items()}
+    assert [len(level) for level in runs.levels] == [1, 1, 1]
+    runs.close()
+
+
+def test_batches_grow_with_the_square_root_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BATCH_BYTES", 100)
+    for n, batches in ((0, 1), (1, 1), (10, 1), (40, 2), (250, 5)):
+        assert line_dedup.batches_of(spark.createDataFrame([("x" * 10,)] * n, "text string")) == batches
+
+
 def test_line_dedup_empty(none):
     assert line_dedup.dedup(none).count() == 0
 
