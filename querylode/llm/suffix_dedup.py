@@ -5,7 +5,8 @@ equal strings have anchors at equal places. Prefix polynomial hashes give the ha
 What can be around an anchor in a repeated string is its context: up to LENGTH - SEED bytes before it and LENGTH from it on.
 
 1. Anchors are counted by seed. A seed that occurs once repeats nothing. If all contexts of a seed are equal, they are
-   repeated as a whole: no bytes need to meet.
+   repeated as a whole: no bytes need to meet. Contexts are equal if two unrelated hashes are: the polynomial one of the
+   seed, and XXH3 of all their bytes, so texts made to have equal polynomial hashes are told apart.
 2. Of seeds with different contexts, each distinct context is taken once, with its bytes. Contexts of a seed are sorted as
    suffixes from the anchor on: a bottom-up mergesort over all seeds of a batch, in which two suffixes are compared
    by the binary search of their common extension over prefix hashes. Suffixes that share t bytes are neighbours in
@@ -17,7 +18,8 @@ What can be around an anchor in a repeated string is its context: up to LENGTH -
 
 Covered spans go back to the documents of all equal contexts. Null texts are empty; texts shorter than LENGTH keep all;
 rows that repeat are documents of their own, so all of a long text that occurs twice goes; a text of any length is
-worked through in overlapping parts; hashes of seeds and contexts have 64 bits. Extra columns are left out.
+worked through in overlapping parts; hashes of seeds and of contexts have 64 bits each; an empty table gives no rows. Extra
+columns are left out.
 """
 
 from __future__ import annotations
@@ -117,8 +119,13 @@ def anchors(text: np.ndarray, ends: np.ndarray, first: int, powers: Powers, leng
     of = np.searchsorted(ends, p, side="right")
     left = np.minimum(width - 1, p - starts[of])
     right = np.minimum(length, ends[of] - p)
-    context = _mix(h.of(p - left, p + right) + _mix((left * 65_536 + right).astype(np.uint64)))
-    return p, seeds[p], context
+    return p, seeds[p], context_hashes(text.tobytes(), p, left, right)
+
+
+def context_hashes(text: bytes, p: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each context's bytes and of where the anchor is in them, unrelated to the polynomial hashes."""
+    spans = zip((p - left).tolist(), (p + right).tolist(), left.tolist(), strict=True)
+    return np.fromiter((xxhash.xxh3_64_intdigest(text[a:b], seed=k) for a, b, k in spans), np.uint64, len(p))
 
 
 def _parts(text: bytes, length: int, seed: int):
@@ -130,7 +137,7 @@ def _parts(text: bytes, length: int, seed: int):
 
 
 def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc_id, at (16 bits of the text's hash, then the place), seed and context, a row for each anchor."""
+    """doc_id, at (31 bits of the text's hash, then the place), seed and context, a row for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -169,8 +176,8 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def text_hash(text: bytes) -> int:
-    """16 bits that tell rows with the same doc_id apart."""
-    return xxhash.xxh32_intdigest(text) & 0xFFFF
+    """31 bits that tell rows with the same doc_id apart."""
+    return xxhash.xxh32_intdigest(text) & 0x7FFFFFFF
 
 
 class Sorter:
