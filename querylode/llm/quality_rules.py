@@ -1,16 +1,19 @@
 """Quality rules: repetition counts of a text, and lines that several documents of a host share. Columns only.
 
 A line is normalised (no white space at its ends, lower case, each run of digits as one 0) and hashed. For every
-host, here ``source``, the distinct documents that hold a line are counted; documents with equal texts are one. A line
-found in at least ``at_docs`` documents is removed as boilerplate, however many documents the host has, and so is one in
-at least ``min_docs`` documents and over ``max_share`` of the host's (``at_docs`` of None leaves this rule alone). A
-document that keeps less than ``min_left`` of the characters of its lines is depleted: rejected.
+host, here ``source``, the distinct documents that hold a line are counted. A line found in at least ``at_docs`` documents
+is removed as boilerplate, however many documents the host has. A document that keeps less than ``min_left`` of the
+characters of its lines is depleted: rejected. Copies are documents as well, so of ``at_docs`` copies in one host none stays;
+near-duplicate operators decide which copy to keep, before this one.
 
 No text is shuffled for the verdict: lines travel as hashes. They are brought to one row for each line of a distinct text
-and written once, then counted, and the removed ones are joined back to these rows and summed up by text.
+and written once, then counted (a text as often as it has copies), and the removed ones are joined back to these rows and
+summed up by text.
 
 Defined cases: null and empty texts have no word and fail the base rule; a null source is a host of its own; rows
-that repeat count once and each get the verdict; hashes have 64 bits. Other columns stay in ``clean`` alone.
+that repeat in all of doc_id, source and text count once and each get the verdict, rows without an id are one document;
+a line exactly at the limit goes; texts of any length are counted whole; an empty table gives no rows; hashes have
+64 bits. Other columns stay in ``clean`` alone.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ from querylode.llm import common
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 AT_DOCS = 5
-MIN_DOCS = 20
-MAX_SHARE = 0.2
 MIN_LEFT = 0.3
 
 
@@ -112,9 +113,7 @@ def normalised(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(line, F.lit(common.SPACE_CHARS))), "[0-9]+", "0")
 
 
-def boilerplate(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, at_docs: int | None = AT_DOCS
-) -> DataFrame:
+def boilerplate(docs: DataFrame, at_docs: int = AT_DOCS) -> DataFrame:
     """source, key, removed (hashes of the lines over a limit) and removed_chars of the texts that lose lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select("source", text_key(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).select(
@@ -123,15 +122,16 @@ def boilerplate(
     once = lines.groupBy("source", "key", "pos").agg(F.first("line").alias("line"), F.first("chars").alias("chars"))
     # One row for each line of a text, however many copies the text has and however often it repeats the line.
     texts = common.stored(once.groupBy("source", "key", "line").agg(F.sum("chars").alias("chars")), "text-lines")
-    held = texts.where(F.col("line") != F.xxhash64(F.lit(""))).groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    hosts = texts.select("source", "key").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
-    limit = (F.col("n") >= min_docs) & (F.col("n") > max_share * F.col("docs"))
-    over = (
-        held.where(F.col("n") >= (min_docs if at_docs is None else min(min_docs, at_docs)))
-        .join(hosts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-        .where(limit if at_docs is None else limit | (F.col("n") >= at_docs))
-        .select(F.col("source").alias("__s"), F.col("line").alias("__l"))
+    named = docs.select(F.col("source").alias("__s"), text_key(text).alias("__k"), "doc_id").distinct()
+    copies = named.groupBy("__s", "__k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    same_text = F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__k"))
+    held = (
+        texts.where(F.col("line") != F.xxhash64(F.lit("")))
+        .join(copies, same_text, "left")
+        .groupBy("source", "line")
+        .agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
     )
+    over = held.where(F.col("n") >= at_docs).select(F.col("source").alias("__s"), F.col("line").alias("__l"))
     # Written first: a join of two plain exchanges can be split where very many texts hold one line.
     over = common.stored(over, "shared-lines")
     return (
@@ -141,11 +141,9 @@ def boilerplate(
     )
 
 
-def verdicts(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, at_docs: int | None = AT_DOCS
-) -> DataFrame:
+def verdicts(docs: DataFrame, at_docs: int = AT_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, the base counts, base_failed, removed_chars and kept, one row for each row of ``docs``."""
-    lost = boilerplate(docs, min_docs, max_share, at_docs).select(
+    lost = boilerplate(docs, at_docs).select(
         F.col("source").alias("__s"), F.col("key").alias("__k"), "removed_chars"
     )
     joined = base(docs).join(lost, F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__k")), "left")
@@ -157,12 +155,10 @@ def verdicts(
     )
 
 
-def clean(
-    docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, at_docs: int | None = AT_DOCS
-) -> DataFrame:
+def clean(docs: DataFrame, at_docs: int = AT_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that are not depleted, without their boilerplate lines; all columns stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lost = boilerplate(docs, min_docs, max_share, at_docs).select(
+    lost = boilerplate(docs, at_docs).select(
         F.col("source").alias("__s"), F.col("key").alias("__k"), F.col("removed").alias("__removed"), F.col("removed_chars").alias("__chars")
     )
     joined = docs.join(lost, F.col("source").eqNullSafe(F.col("__s")) & (text_key(text) == F.col("__k")), "left")

@@ -12,9 +12,6 @@ from querylode.llm import (
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-# Queries beside the one of an operator.
-BESIDE: dict = {}
-BESIDE_ORACLES: dict = {}
 
 
 def query(fn=None, *, oracle: str | None = None):
@@ -87,17 +84,14 @@ covered AS (
   SELECT doc_id, sum(least(5, coalesce(i - before, 5))) AS n
   FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice) GROUP BY doc_id),
 lines AS (
-  SELECT DISTINCT source, t, p, string_split(t, chr(10))[p] AS line
-  FROM (SELECT DISTINCT source, t, unnest(generate_series(1, len(string_split(t, chr(10))))) AS p FROM d)),
+  SELECT doc_id, source, string_split(t, chr(10))[p] AS line
+  FROM (SELECT doc_id, source, t, unnest(generate_series(1, len(string_split(t, chr(10))))) AS p FROM d)),
 keyed AS (
   SELECT *, regexp_replace(lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[0-9]+', '0', 'g') AS k
   FROM lines),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-over AS (
-  SELECT h.source, h.k FROM (SELECT source, k, count(DISTINCT t) AS n FROM keyed WHERE k <> '' GROUP BY source, k) h
-  JOIN hosts USING (source) WHERE n >= 20 AND n > 0.2 * docs),
+over AS (SELECT source, k FROM keyed WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT doc_id) >= 5),
 removed AS (
-  SELECT source, t, sum(length(line)) AS n FROM keyed SEMI JOIN over USING (source, k) GROUP BY source, t),
+  SELECT doc_id, sum(length(line)) AS n FROM keyed SEMI JOIN over USING (source, k) GROUP BY doc_id),
 dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
@@ -111,7 +105,7 @@ counts AS (
          CAST(coalesce(removed.n, 0) AS BIGINT) AS removed_chars,
          length(replace(t, chr(10), '')) AS line_chars
   FROM d JOIN w USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)
-  LEFT JOIN removed USING (source, t))
+  LEFT JOIN removed USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_chars,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
@@ -121,18 +115,9 @@ FROM counts"""
 
 @query(oracle=QUALITY_RULES_SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By its SQL only the share of a host's documents decides; ``op5_shared_lines`` has the absolute limit."""
-    return quality_rules.verdicts(common.read(spark, sf_dir, "documents"), at_docs=None)
-
-
-def op5_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(common.read(spark, sf_dir, "documents"))
 
 
-BESIDE["op5_shared_lines"] = op5_shared_lines
-BESIDE_ORACLES["op5_shared_lines"] = QUALITY_RULES_SQL.replace("n >= 20 AND n > 0.2 * docs", "n >= 5 OR n >= 20 AND n > 0.2 * docs")
-
-
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Trees:
     """Learned from the labels outside the held-out fold."""
     labels = common.read(spark, sf_dir, "labels").where(common.remainder("doc_id", 5) != 0)
