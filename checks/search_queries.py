@@ -245,6 +245,23 @@ def hybrid_top10(spark, sf_dir):
     return hybrid_hits(spark, sf_dir)
 
 
+@register(
+    "hybrid_minmax",
+    f"""WITH {HYBRID.replace("hits AS", "plain_hits AS")},
+ttop AS (SELECT * FROM (SELECT qid, doc_id, round(text_raw, 6) AS t, row_number() OVER (PARTITION BY qid ORDER BY round(text_raw, 6) DESC, doc_id) AS n
+         FROM txt WHERE qid IN (SELECT qid FROM asked)) WHERE n <= 10),
+tu AS (SELECT qid, doc_id, t, CASE WHEN max(t) OVER q = min(t) OVER q THEN 1 ELSE (t - min(t) OVER q) / (max(t) OVER q - min(t) OVER q) END AS tu
+       FROM ttop WINDOW q AS (PARTITION BY qid)),
+vu AS (SELECT qid, doc_id, v, CASE WHEN max(v) OVER q = min(v) OVER q THEN 1 ELSE (v - min(v) OVER q) / (max(v) OVER q - min(v) OVER q) END AS vu
+       FROM (SELECT qid, doc_id, round(vec_raw, 6) AS v FROM vtop) WINDOW q AS (PARTITION BY qid)),
+both_lists AS (SELECT qid, doc_id, coalesce(t, 0) AS text_score, v AS vector_score,
+       round({1 - fv.HYBRID_ALPHA} * coalesce(tu, 0) + {fv.HYBRID_ALPHA} * coalesce(vu, 0), 6) AS score FROM tu FULL JOIN vu USING (qid, doc_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM both_lists) WHERE rank <= 10""",
+)
+def hybrid_minmax(spark, sf_dir):
+    return search.hybrid_search(hybrid_docs(spark, sf_dir), vector_questions(spark, sf_dir), ONE_FIELD, normalize="minmax")
+
+
 @register(
     "threshold",
     f"WITH {HYBRID} SELECT qid, rank, doc_id, score, text_score, vector_score FROM hits WHERE score >= 5.0",

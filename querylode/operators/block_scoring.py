@@ -1,8 +1,7 @@
-"""Scoring of one Arrow batch of documents against one block of questions.
+"""Scoring of Arrow batches of document vectors against one block of questions, inside Spark tasks.
 
-Runs inside Spark tasks. Spark partitions the documents, computes every corpus-wide number and does
-the final ranking; this helper only fills a (questions x documents) score matrix for a batch and
-keeps the best documents per question, so that pairs are never materialised as rows.
+Spark partitions the documents and does the final ranking; this helper only fills a (questions x documents) matrix for a
+batch and keeps the best documents per question, so that pairs are never materialised as rows.
 """
 
 from __future__ import annotations
@@ -16,14 +15,10 @@ MATRIX_CELLS = 1_000_000
 
 
 class QuestionBlock:
-    """Questions with their term weights and vectors, laid out for matrix work.
+    """The unit vectors of some questions (rows with ``qid`` and ``embedding``); NaN where there is none."""
 
-    Each row has ``qid``, ``terms`` (structs of term, qtf, idf per field) and ``embedding``.
-    """
-
-    def __init__(self, rows, boosts, avgdl, k1, b):
+    def __init__(self, rows):
         self.qids = [r["qid"] for r in rows]
-        self.boosts, self.avgdl, self.k1, self.b = boosts, avgdl, k1, b
         vectors = [r["embedding"] for r in rows]
         self.dim = next((len(v) for v in vectors if v is not None), 0)
         self.vectors = np.full((len(rows), self.dim), np.nan)
@@ -32,126 +27,45 @@ class QuestionBlock:
                 self.vectors[i] = v
         if self.dim:
             self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
-        entries = [(t["term"], i, t["qtf"], t["idf"]) for i, r in enumerate(rows) for t in r["terms"] or []]
-        words = sorted({e[0] for e in entries})
-        number = {w: n for n, w in enumerate(words)}
-        term = np.array([number[e[0]] for e in entries], dtype=np.int64)
-        order = np.argsort(term, kind="stable")
-        self.words = pa.array(words, pa.string())
-        self.question = np.array([e[1] for e in entries], dtype=np.int64)[order]
-        self.qtf = np.array([e[2] for e in entries], dtype=np.float64)[order]
-        self.first = np.searchsorted(term[order], np.arange(len(words) + 1))
-        self.idf = np.zeros((len(boosts), len(words)))
-        for word, _, _, idf in entries:
-            self.idf[:, number[word]] = idf
-
-    def text_scores(self, token_lists) -> np.ndarray:
-        """Best boosted BM25 field score per question and document."""
-        n_q, n_d = len(self.qids), len(token_lists[0])
-        best = np.zeros((n_q, n_d))
-        n_words = len(self.words)
-        if not n_words:
-            return best
-        for f, lists in enumerate(token_lists):
-            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            found = pc.fill_null(pc.index_in(flat, value_set=self.words), -1)
-            found = found.to_numpy(zero_copy_only=False)
-            hit = found >= 0
-            doc = np.repeat(np.arange(n_d), length)[hit]
-            pair, tf = np.unique(doc * n_words + found[hit], return_counts=True)
-            doc, word = pair // n_words, pair % n_words
-            saturation = tf + self.k1 * (1 - self.b + self.b * length[doc] / self.avgdl[f])
-            weight = self.idf[f][word] * tf * (self.k1 + 1) / saturation
-            # Every posting meets the questions that have its word.
-            times = self.first[word + 1] - self.first[word]
-            posting = np.repeat(np.arange(len(word)), times)
-            entry = np.arange(len(posting)) - np.repeat(np.cumsum(times) - times, times)
-            entry += self.first[word][posting]
-            cell = self.question[entry] * n_d + doc[posting]
-            scores = np.bincount(cell, weight[posting] * self.qtf[entry], minlength=n_q * n_d)
-            np.maximum(best, self.boosts[f] * scores.reshape(n_q, n_d), out=best)
-        return best
-
-    def vector_scores(self, lists) -> np.ndarray:
-        """Cosine per question and document; NaN where either has no vector."""
-        out = np.full((len(self.qids), len(lists)), np.nan)
-        given = pc.is_valid(lists).to_numpy(zero_copy_only=False)
-        if self.dim and given.any():
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(int(given.sum()), self.dim)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            out[:, given] = self.vectors @ vectors.T
-        return out
-
-
-class Best:
-    """The best ``k`` candidates per question seen so far: highest key, then smallest id."""
-
-    def __init__(self, n_questions: int, k: int):
-        self.k = k
-        self.bar = np.full(n_questions, -np.inf)
-        self.kept = None
 
-    def add(self, key, usable, ids, text, vector):
-        q, d = np.nonzero(usable & (key >= self.bar[:, None]))
-        if not len(q):
-            return
-        new = [q, key[q, d], ids[d], text[q, d], vector[q, d]]
-        if self.kept is not None:
-            new = [np.concatenate(pair) for pair in zip(self.kept, new)]
-        order = np.lexsort((new[2], -new[1], new[0]))
-        new = [a[order] for a in new]
-        q = new[0]
-        start = np.r_[True, q[1:] != q[:-1]]
-        place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
-        self.kept = [a[place < self.k] for a in new]
-        full = place == self.k - 1
-        self.bar[q[full]] = new[1][full]
+    def scores(self, lists) -> np.ndarray:
+        """Cosine per question and document; NaN where a question has no vector."""
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        vectors = flat.reshape(len(lists), self.dim)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        return self.vectors @ vectors.T
 
 
-def best_documents(batches, block: QuestionBlock, n_fields: int, use_vector: bool, k: int,
-                   text_weight: float, schema: pa.Schema) -> pa.RecordBatch:
-    """The task's candidates: the best ``k`` by text and the best ``k`` by vector per question.
+def best_documents(batches, block: QuestionBlock, k: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The task's best ``k`` documents per question: highest rounded score, then smallest id.
 
-    ``batches`` hold doc_id, tok_0 .. tok_{n-1} and, for vector search, embedding. The result has
-    the columns of ``schema``: qid, doc_id, text_score, vector_score.
+    ``batches`` hold doc_id and embedding; the result has the columns of ``schema``: qid, doc_id, vector_score.
     """
     n_q = len(block.qids)
-    by_text, by_vector = Best(n_q, k), Best(n_q, k)
-    integer_ids = pa.types.is_integer(schema.field(1).type)
+    bar, kept = np.full(n_q, -np.inf), None
     for batch in batches:
         step = max(1, MATRIX_CELLS // max(1, n_q))
-        for at in range(0, batch.num_rows, step):
+        for at in range(0, batch.num_rows if block.dim else 0, step):
             part = batch.slice(at, step)
-            if integer_ids:
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-            else:
-                ids = np.array(part.column(0).to_pylist(), dtype=str)
-            shape = (n_q, part.num_rows)
-            text, vector = np.zeros(shape), np.full(shape, np.nan)
-            if n_fields:
-                text = block.text_scores([part.column(1 + f) for f in range(n_fields)])
-            if use_vector:
-                vector = block.vector_scores(part.column(1 + n_fields))
-            if n_fields:
-                by_text.add(np.round(text_weight * text, 6), text > 0, ids, text, vector)
-            if use_vector:
-                by_vector.add(np.round(vector, 6), ~np.isnan(vector), ids, text, vector)
-    found = [b.kept for b in (by_text, by_vector) if b.kept is not None]
-    if not found:
+            ids = part.column(0)
+            ids = ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.array(ids.to_pylist(), dtype=str)
+            exact = block.scores(part.column(1))
+            key = np.round(exact, 6)
+            q, d = np.nonzero(~np.isnan(key) & (key >= bar[:, None]))
+            new = [q, key[q, d], ids[d], exact[q, d]]
+            if kept is not None:
+                new = [np.concatenate(pair) for pair in zip(kept, new)]
+            order = np.lexsort((new[2], -new[1], new[0]))
+            new = [a[order] for a in new]
+            q = new[0]
+            start = np.r_[True, q[1:] != q[:-1]][: len(q)]
+            place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+            kept = [a[place < k] for a in new]
+            full = place == k - 1
+            bar[q[full]] = new[1][full]
+    if kept is None:
         return pa.RecordBatch.from_pylist([], schema)
-    q, _, ids, text, vector = [np.concatenate(parts) for parts in zip(*found)]
-    order = np.lexsort((ids, q))
-    q, ids, text, vector = q[order], ids[order], text[order], vector[order]
-    fresh = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([block.qids[i] for i in q[fresh]], schema.field(0).type),
-            pa.array(ids[fresh].tolist(), schema.field(1).type),
-            pa.array(text[fresh]),
-            pa.array(vector[fresh], from_pandas=True),
-        ],
-        schema=schema,
-    )
+    q, _, ids, exact = kept
+    columns = [pa.array([block.qids[i] for i in q], schema.field(0).type), pa.array(ids.tolist(), schema.field(1).type), pa.array(exact)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)

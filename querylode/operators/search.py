@@ -1,20 +1,16 @@
 """Batch retrieval: the best documents for every row of a table of questions.
 
-Text search is BM25 over several boosted fields (best field wins), vector search is exact cosine,
+Text search is BM25 over several boosted fields (best field wins) from stored postings, vector search is exact cosine,
 hybrid search is their weighted sum, with the vector part counting only for a question's own best
 ``size`` documents by vector. Scores are rounded to six decimals and ties go to the smaller id.
 
-Documents are read once and never shuffled: each task scores its batches against the questions and
-keeps the best ``size`` per question, and only those reach the final ranking. The questions are
-shipped to the tasks while they are few (checked); beyond that, documents and questions are cut
-into blocks by hash and every pair of blocks is one group, which needs no bound on either side.
+Text search joins postings (``text_index``). For vectors, documents are read once and never shuffled: each task scores its
+batches against the questions and keeps the best ``size`` per question, and only those reach the final ranking. The
+questions are shipped to the tasks in blocks of at most ``MAX_QUESTIONS``, each a pass over the vectors.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import fixed_values as fv
 from ..functions.text import terms
 from ..session import checkpointed
+from . import text_index
 from .block_scoring import QuestionBlock, best_documents
 
-# Most questions and question words that are shipped to every task.
+# Questions that are shipped to every task at once.
 MAX_QUESTIONS = 4096
-MAX_WORDS = 400_000
-# Documents and words of one block in the block-by-block way.
-BLOCK_DOCS = 50_000
-BLOCK_WORDS = 20_000_000
-
-_WEIGHTED = "array<struct<term:string,qtf:bigint,idf:array<double>>>"
 
 
 def _word_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -49,14 +40,12 @@ def _word_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
-def term_counts(docs: DataFrame, fields: list[str], vocabulary: DataFrame | None = None) -> DataFrame:
+def term_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
     """field, term, df, total: document frequencies; the row with term '' counts the field itself.
 
     For that row ``df`` is the number of documents with the field and ``total`` its words.
     """
     rows = _word_rows(docs, fields)
-    if vocabulary is not None:
-        rows = rows.join(vocabulary, "term", "left_semi")
     return rows.groupBy("field", "term").agg(
         F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("total")
     )
@@ -64,140 +53,36 @@ def term_counts(docs: DataFrame, fields: list[str], vocabulary: DataFrame | None
 
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     """field, term, doc_id, tf."""
-    per_field = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("tokens")) for f in fields])
-    )
-    return (
-        docs.select("doc_id", per_field.alias("x"))
-        .select("doc_id", "x.field", F.explode("x.tokens").alias("term"))
-        .groupBy("field", "term", "doc_id")
-        .agg(F.count("*").alias("tf"))
-    )
-
-
-def _question_terms(questions: DataFrame) -> DataFrame:
-    return (
-        questions.select("qid", F.explode(terms(F.col("question"))).alias("term"))
-        .groupBy("qid", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-
+    return text_index.postings(docs, fields).filter(F.col("term") != "").select("field", "term", "doc_id", "tf")
 
-def _field_totals(counts: DataFrame, fields: list[str]):
-    """(documents, average length) per field, in field order; one row per field reaches the driver."""
-    rows = {r["field"]: r for r in counts.filter(F.col("term") == "").collect()}
-    sizes = [(rows[f]["df"], rows[f]["total"] / rows[f]["df"]) if f in rows else (0, 1.0) for f in fields]
-    return [s[0] for s in sizes], [float(s[1]) for s in sizes]
 
-
-def _weighted(questions: DataFrame, counts: DataFrame, fields: list[str], n_docs: list[int]) -> DataFrame:
-    """qid, terms: the words of each question that occur in the corpus, with their idf per field."""
-    df = [
-        F.coalesce(F.max(F.when(F.col("field") == f, F.col("df"))), F.lit(0)).cast("double")
-        for f in fields
-    ]
-    per_term = counts.filter(F.col("term") != "").groupBy("term").agg(F.array(*df).alias("df"))
-    idf = F.transform(
-        F.arrays_zip(F.array(*[F.lit(float(n)) for n in n_docs]).alias("n"), F.col("df").alias("df")),
-        lambda x: F.log(1.0 + (x["n"] - x["df"] + 0.5) / (x["df"] + 0.5)),
-    )
-    asked = _question_terms(questions)
-    return asked.join(per_term, "term").groupBy("qid").agg(
-        F.collect_list(F.struct("term", "qtf", idf.alias("idf"))).cast(_WEIGHTED).alias("terms")
-    )
-
-
-def _block_questions(questions, counts, fields, n_docs, use_vector):
-    vector = F.col("embedding") if use_vector else F.lit(None).cast("array<float>")
-    base = questions.select("qid", vector.alias("embedding"))
-    if not fields:
-        return base.withColumn("terms", F.lit(None).cast(_WEIGHTED))
-    return base.join(_weighted(questions, counts, fields, n_docs), "qid", "left")
-
-
-def _result_schema(docs: DataFrame, questions: DataFrame) -> T.StructType:
-    return T.StructType(
+def _by_vector(docs: DataFrame, questions: DataFrame, size: int) -> DataFrame:
+    """qid, doc_id, vector_score: the best ``size`` documents of every question, and others."""
+    schema = T.StructType(
         [
             T.StructField("qid", questions.schema["qid"].dataType),
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
-            T.StructField("text_score", T.DoubleType()),
             T.StructField("vector_score", T.DoubleType()),
         ]
     )
-
-
-def _candidates(docs, questions, fields, boosts, use_vector, size, text_weight, counts):
-    """(rows of qid, doc_id, text_score, vector_score; whether there are few questions)."""
-    words = F.sum(F.size(terms(F.col("question")))) if fields else F.lit(0)
-    n_questions, n_words = questions.agg(F.count("*"), words).first()
-    n_words = n_words or 0
-    few = n_questions <= MAX_QUESTIONS and n_words <= MAX_WORDS
-    n_docs, avgdl = [], []
-    if fields:
-        blank = questions.sparkSession.range(1).select(F.lit("").alias("term"))
-        vocabulary = _question_terms(questions).select("term").distinct().unionByName(blank)
-        if few:
-            vocabulary = F.broadcast(vocabulary)
-        if counts is None:
-            counts = term_counts(docs, fields, vocabulary)
-        else:
-            counts = counts.join(vocabulary, "term", "left_semi")
-        # Used twice below. For few questions it is small and both uses happen at once.
-        counts = counts.persist() if few else checkpointed(counts)
-        n_docs, avgdl = _field_totals(counts, fields)
-    asked = _block_questions(questions, counts, fields, n_docs, use_vector)
-    columns = [F.col("doc_id")] + [terms(F.col(f)).alias(f"tok_{i}") for i, f in enumerate(fields)]
-    if use_vector:
-        columns.append(F.col("embedding"))
-    scored = docs.select(*columns)
-    if use_vector and not fields:
-        scored = scored.filter(F.col("embedding").isNotNull())
-    n_fields = len(fields)
-    schema = _result_schema(docs, questions)
     arrow_schema = to_arrow_schema(schema)
+    scored = docs.select("doc_id", "embedding").filter(F.col("embedding").isNotNull())
 
-    def block_of(rows):
-        return QuestionBlock(rows, boosts, avgdl, fv.BM25_K1, fv.BM25_B)
-
-    def best(batches, block):
-        return best_documents(
-            batches, block, n_fields, use_vector, size, text_weight, arrow_schema
-        )
-
-    if few:
-        block = block_of([r.asDict(recursive=True) for r in asked.collect()])
-        if fields:
-            counts.unpersist()
+    def against(rows: list) -> DataFrame:
+        block = QuestionBlock(rows)
 
         # The block travels with the function; Spark broadcasts large functions by itself.
         def score(batches):
-            yield best(batches, block)
-
-        return scored.mapInArrow(score, schema), True
-
-    n_question_blocks = max(ceil(n_questions / MAX_QUESTIONS), ceil(n_words / MAX_WORDS))
-    corpus_words = sum(n * avg for n, avg in zip(n_docs, avgdl))
-    n_doc_blocks = max(1, ceil(docs.count() / BLOCK_DOCS), ceil(corpus_words / BLOCK_WORDS))
-
-    def numbered(df, key, own, n_own, other, n_other):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
+            yield best_documents(batches, block, size, arrow_schema)
 
-    left = numbered(scored, "doc_id", "_db", n_doc_blocks, "_qb", n_question_blocks)
-    right = numbered(asked, "qid", "_qb", n_question_blocks, "_db", n_doc_blocks)
+        return scored.mapInArrow(score, schema)
 
-    def score_blocks(doc_table, question_table):
-        rows = question_table.select(["qid", "embedding", "terms"]).to_pylist()
-        batches = doc_table.to_batches() if rows else []
-        return pa.Table.from_batches([best(batches, block_of(rows))])
-
-    found = (
-        left.groupBy("_db", "_qb")
-        .cogroup(right.groupBy("_db", "_qb"))
-        .applyInArrow(score_blocks, schema)
-    )
-    return found, False
+    found, rows = None, []
+    for row in questions.select("qid", "embedding").toLocalIterator():
+        rows.append(row.asDict())
+        if len(rows) == MAX_QUESTIONS:
+            found, rows = against(rows) if found is None else found.unionByName(against(rows)), []
+    return against(rows) if found is None else found.unionByName(against(rows)) if rows else found
 
 
 def search(
@@ -208,32 +93,37 @@ def search(
     use_vector: bool = False,
     size: int = fv.SEARCH_SIZE,
     alpha: float = fv.HYBRID_ALPHA,
-    counts: DataFrame | None = None,
+    index: text_index.TextIndex | None = None,
+    normalize: str | None = None,
     attach: list[str] | None = None,
 ) -> DataFrame:
     """qid, rank, doc_id, score, text_score, vector_score and the attached document columns.
 
     ``docs``: doc_id, the text ``fields`` (name -> boost) and ``embedding``.
     ``questions``: qid (unique), question for text search, embedding for vector search.
-    ``counts``: precomputed ``term_counts`` of the same documents.
+    ``index``: the stored text index of the same documents; without it one is written to the shared folder.
+    ``normalize='minmax'``: hybrid search brings the scores of both lists of a question (its best ``size`` by text and by
+    vector) to 0 to 1 before their sum; a list of equal scores counts 1, what is in one list alone counts 0 in the other.
     """
-    names, boosts = list(fields or {}), list((fields or {}).values())
-    hybrid = bool(names) and use_vector
-    text_weight = 1 - alpha if hybrid else 1.0
-    found, few = _candidates(
-        docs, questions, names, boosts, use_vector, size, text_weight, counts
-    )
-    text, vector = F.coalesce("text_score", F.lit(0.0)), F.col("vector_score")
+    hybrid = bool(fields) and use_vector
+    none = F.lit(None).cast("double")
+    by_vector = best_first(_by_vector(docs, questions, size), "vector_score", size) if use_vector else None
     if hybrid:
-        by_vector = W.partitionBy("qid").orderBy(
-            F.desc_nulls_last(F.round("vector_score", 6)), "doc_id"
-        )
-        found = found.withColumn(
-            "vector_score", F.when(F.row_number().over(by_vector) <= size, vector)
-        ).filter((F.col("text_score") > 0) | vector.isNotNull())
-        score = text_weight * text + alpha * F.coalesce(vector, F.lit(0.0))
+        by_vector = checkpointed(by_vector)
+    if fields:
+        index = index or text_index.write(docs, list(fields))
+        # Of the documents without a vector hit the best ``size`` by text are among the best 2 * size of all.
+        near = 1e-6 / max(1 - alpha, 1e-12) if hybrid else 1e-6
+        found = text_index.best_by_text(index, questions, fields, 2 * size if hybrid else size, by_vector if hybrid else None, near)
+    if not hybrid:
+        found = found.withColumn("vector_score", none) if fields else by_vector.withColumn("text_score", none)
+        score = F.col("text_score") if fields else F.col("vector_score")
+    elif normalize == "minmax":
+        found = _scaled(best_first(found, "text_score", size), "text_score").join(_scaled(by_vector, "vector_score"), ["qid", "doc_id"], "full")
+        score = (1 - alpha) * F.coalesce("text_unit", F.lit(0.0)) + alpha * F.coalesce("vector_unit", F.lit(0.0))
     else:
-        score = vector if use_vector else text
+        found = found.join(by_vector, ["qid", "doc_id"], "full")
+        score = (1 - alpha) * F.coalesce("text_score", F.lit(0.0)) + alpha * F.coalesce("vector_score", F.lit(0.0))
     ranking = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     hits = (
         found.withColumn("score", F.round(score, 6))
@@ -244,14 +134,27 @@ def search(
             "rank",
             "doc_id",
             "score",
-            F.round("text_score", 6).alias("text_score"),
+            F.round(F.coalesce("text_score", F.lit(0.0)), 6).alias("text_score"),
             F.round("vector_score", 6).alias("vector_score"),
         )
     )
-    if not attach:
-        return hits
-    # At most ``size`` hits per question: small enough to ship whenever the questions were.
-    return docs.select("doc_id", *attach).join(F.broadcast(hits) if few else hits, "doc_id")
+    # At most ``size`` hits per question; Spark ships them if they are few.
+    return docs.select("doc_id", *attach).join(hits, "doc_id") if attach else hits
+
+
+def best_first(found: DataFrame, score: str, size: int) -> DataFrame:
+    """The best ``size`` rows per question by rounded score, then by id."""
+    order = W.partitionBy("qid").orderBy(F.desc_nulls_last(F.round(score, 6)), "doc_id")
+    return found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= size).drop("_place")
+
+
+def _scaled(found: DataFrame, score: str) -> DataFrame:
+    """Add text_unit or vector_unit: the rounded score between the least and the largest of its question's list."""
+    of = W.partitionBy("qid")
+    value = F.round(score, 6)
+    least, most = F.min(value).over(of), F.max(value).over(of)
+    unit = F.when(most == least, F.lit(1.0)).otherwise((value - least) / (most - least))
+    return found.withColumn(score.replace("_score", "_unit"), unit)
 
 
 def text_search(docs, questions, fields=None, **options) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from .. import tables
-from . import patterns
+from . import patterns, text_index
 from .search import term_counts
 
 
@@ -180,12 +180,33 @@ class KnowledgeBase:
             .filter(F.col("df") > 0)
         )
 
+    def write_postings(self, version: int, fields: list[str]) -> None:
+        """Store the load's postings by term, and the bounds of their blocks."""
+        found = text_index.postings(self.written(version), fields)
+        in_order = found.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "level")
+        self._write(in_order, "postings", tables.POSTINGS, version)
+        written = self._read("postings", tables.POSTINGS).filter(F.col("version") == version)
+        self._write(text_index.blocks(written), "posting_blocks", tables.BLOCKS, version)
+
+    def text_index(self) -> text_index.TextIndex:
+        """The postings of the current documents. Blocks may still count replaced ones: their bounds hold all the same."""
+        versions = [r["version"] for r in self.commits()]
+        found = self._visible("postings", tables.POSTINGS, versions)
+        if len(versions) > 1:
+            stale = self._visible("stale", tables.STALE, versions).select("doc_id", F.col("doc_version").alias("version"))
+            found = found.join(stale, ["doc_id", "version"], "left_anti")
+        blocks = self._visible("posting_blocks", tables.BLOCKS, versions).groupBy("field", "term", "level").agg(
+            F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
+        )
+        return text_index.TextIndex(found.drop("version"), blocks, self.counts())
+
     def index(self, docs: DataFrame, source: str = "index") -> int:
         """Insert or replace documents by id; returns how many were written."""
         version = self.next_version()
         written = self.write_documents(docs, version)
         self.mark_stale(version)
         self.write_counts(version, list(fv.FIELD_BOOSTS))
+        self.write_postings(version, list(fv.FIELD_BOOSTS))
         self.write_usage(usage_of(self.written(version)), usage_of(self.replaced(version)), version)
         self.commit(version, source, written)
         return written

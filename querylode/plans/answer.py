@@ -33,7 +33,7 @@ def retrieve(kb: KnowledgeBase, questions: DataFrame, size: int = fv.ANSWER_SIZE
     if not hybrid:
         return search.vector_search(docs, usable, size=size, attach=HIT_COLUMNS)
     return search.hybrid_search(
-        docs, usable, size=size, counts=kb.counts(), attach=HIT_COLUMNS
+        docs, usable, size=size, index=kb.text_index(), attach=HIT_COLUMNS
     )
 
 

@@ -136,6 +136,7 @@ def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False,
         kb.mark_stale(version, raw.select("notebook_path"))
         current = kb.upcoming(version)
     kb.write_counts(version, list(fv.FIELD_BOOSTS))
+    kb.write_postings(version, list(fv.FIELD_BOOSTS))
     report.tables = describe(kb, current, version, catalog, resets=force)
     kb.write_files(raw, version)
     described = [fv.PATTERNS_DOC[0], *[fv.SCHEMA_DOC[0]] * (catalog is not None)]

@@ -19,6 +19,8 @@ DOCS = (
 )
 STALE = "doc_id string, doc_version bigint"
 COUNTS = "field string, term string, df bigint, total bigint"
+POSTINGS = "field string, term string, level int, doc_id string, tf bigint, dl bigint"
+BLOCKS = "field string, term string, level int, n bigint, max_tf bigint, min_dl bigint"
 META = "id string, document_type string, ord array<string>, line string, updated_at timestamp"
 USAGE = "kind string, key string, item string, n bigint"
 SCHEMA_CONTEXT = "doc_id string, schema_context string"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querylode.functions import vectors as vec
-from querylode.operators import search
+from querylode.operators import search, text_index
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 FIELDS = {"title": 2.0, "body": 1.0}
@@ -77,7 +77,7 @@ def result(hits):
 def path(request, monkeypatch):
     if request.param == "many":
         monkeypatch.setattr(search, "MAX_QUESTIONS", 2)
-        monkeypatch.setattr(search, "BLOCK_DOCS", 20)
+        monkeypatch.setattr(text_index, "SEEDS", 1)
     return request.param
 
 
@@ -112,14 +112,13 @@ def test_small_batches_and_slices(spark, monkeypatch):
 
     docs, questions, d, q = corpus(spark)
     monkeypatch.setattr(block_scoring, "MATRIX_CELLS", 20)
-    block = block_scoring.QuestionBlock(
-        [{"qid": r["qid"], "terms": None, "embedding": list(r["embedding"])} for r in q.collect()], [], [], 1.2, 0.75
-    )
+    block = block_scoring.QuestionBlock([{"qid": r["qid"], "embedding": list(r["embedding"])} for r in q.collect()])
     import pyarrow as pa
 
-    table = pa.table({"doc_id": pa.array([x[0] for x in docs]), "embedding": pa.array([x[3] for x in docs], pa.list_(pa.float32()))})
-    schema = pa.schema([("qid", pa.int32()), ("doc_id", pa.int64()), ("text_score", pa.float64()), ("vector_score", pa.float64())])
-    out = block_scoring.best_documents(table.to_batches(7), block, 0, True, 3, 1.0, schema)
+    given = [x for x in docs if x[3] is not None]
+    table = pa.table({"doc_id": pa.array([x[0] for x in given]), "embedding": pa.array([x[3] for x in given], pa.list_(pa.float32()))})
+    schema = pa.schema([("qid", pa.int32()), ("doc_id", pa.int64()), ("vector_score", pa.float64())])
+    out = block_scoring.best_documents(table.to_batches(7), block, 3, schema)
     got = {(r["qid"], r["doc_id"]) for r in out.to_pylist()}
     assert got == {(a, c) for a, _, c, _ in top(brute_vector(docs, [(x[0], x[1], list(np.float32(x[2]))) for x in questions]), 3)}
 
@@ -194,3 +193,72 @@ def test_citations(spark):
     c = search.citations(df).first()["citations"]
     assert [x["sql_query"] for x in c] == ["a", "b"]
     assert c[0]["context_after"] == "" and c[0]["tables_used"] == [] and c[1]["notebook_path"] == ""
+
+
+def test_minmax_fusion(spark, path):
+    docs, questions, d, q = corpus(spark)
+    k = 4
+    lists = [top(brute_text(docs, questions), k), top(brute_vector(docs, questions), k)]
+    units = []
+    for found in lists:
+        unit = {}
+        for a in {r[0] for r in found}:
+            own = {r[2]: r[3] for r in found if r[0] == a}
+            low, high = min(own.values()), max(own.values())
+            unit |= {(a, doc): 1.0 if high == low else (s - low) / (high - low) for doc, s in own.items()}
+        units.append(unit)
+    fused = {key: 0.3 * units[0].get(key, 0.0) + 0.7 * units[1].get(key, 0.0) for key in units[0] | units[1]}
+    got = search.hybrid_search(d, q, fields=FIELDS, size=k, normalize="minmax")
+    assert {(a, b, c, round(s, 5)) for a, b, c, s in result(got)} == {(a, b, c, round(s, 5)) for a, b, c, s in top(fused, k)}
+
+
+def test_text_search_reads_no_text_and_few_postings(spark, tmp_path):
+    """A word of every document, one of a third of them and rare ones: candidates come from the rare ones alone."""
+    rows = [(i, "common " * (1 + i % 3) + ("often " if i % 3 == 0 else "") + (f"rare{i // 4} " if i < 400 else "")) for i in range(6_000)]
+    index = text_index.write(spark.createDataFrame(rows, "doc_id bigint, text string"), ["text"], str(tmp_path))
+    questions = spark.createDataFrame([(i, f"common often rare{i}") for i in range(100)], "qid int, question string")
+    hits = search.text_search(spark.createDataFrame([], "doc_id bigint, text string"), questions, {"text": 1.0}, size=3, index=index)
+    docs = [(i, t, "") for i, t in rows]
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    total = sum(len(t.split()) for _, t in rows)
+    expected = {}
+    for a in range(100):
+        for i, t in rows:
+            words = Counter(t.split())
+            if a * 4 <= i < a * 4 + 4:
+                expected[a, i] = sum(
+                    math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * words[w] * 2.2
+                    / (words[w] + 1.2 * (0.25 + 0.75 * sum(words.values()) / (total / len(rows))))
+                    for w in ("common", "often", f"rare{a}")
+                    if words[w]
+                )
+    assert docs and result(hits) == top(expected, 3)
+    found = text_index.best_by_text(index, questions, {"text": 1.0}, 3)
+    assert found.count() == 400
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_bounds_stay_true_after_loads(spark, tmp_path):
+    from querylode.operators.store import KnowledgeBase
+
+    rng = random.Random(4)
+    kb = KnowledgeBase(spark, str(tmp_path))
+    kb.create()
+    current = {}
+    for load in range(3):
+        fresh = {f"d{rng.randrange(60)}": " ".join(rng.choices(WORDS, k=rng.randint(1, 40))) for _ in range(30)}
+        current |= fresh
+        rows = [(k, v, "n") for k, v in fresh.items()]
+        kb.index(_as_docs(spark.createDataFrame(rows, "doc_id string, sql_query string, notebook_path string")))
+    q = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=3))) for i in range(5)], "qid int, question string")
+    got = search.text_search(kb.documents(), q, {"sql_query": 1.0}, size=4, index=kb.text_index())
+    plain = spark.createDataFrame(list(current.items()), "doc_id string, sql_query string")
+    assert result(got) == result(search.text_search(plain, q, {"sql_query": 1.0}, size=4)) and got.count() == 20
+
+
+def _as_docs(rows):
+    from querylode import tables
+
+    given = set(rows.columns)
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schema(tables.DOCS) if f.name not in given])
