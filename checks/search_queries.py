@@ -304,22 +304,45 @@ def citations(spark, sf_dir):
 
 def _indexed(spark, sf_dir):
     path = new_dir(spark, "vectors")
-    vector_index.write(vector_docs(spark, sf_dir), path, cells=32)
+    vector_index.write(vector_docs(spark, sf_dir), path)
     return path
 
 
 @register("knn_indexed", _knn())
 def knn_indexed(spark, sf_dir):
-    """The stored index with all cells probed: the exact result."""
+    """The stored index with all buckets of a table probed: the exact result."""
     path = _indexed(spark, sf_dir)
-    return vector_index.indexed_search(spark, path, vector_questions(spark, sf_dir), probe=32)
+    return vector_index.indexed_search(spark, path, vector_questions(spark, sf_dir), probes=None)
 
 
 @register("knn_recall")
 def knn_recall(spark, sf_dir):
-    """Share of the exact best ten that the index finds when each question probes four cells."""
+    """Share of the exact best ten that the index finds."""
     questions = vector_questions(spark, sf_dir)
-    near = vector_index.indexed_search(spark, _indexed(spark, sf_dir), questions, probe=4)
+    near = vector_index.indexed_search(spark, _indexed(spark, sf_dir), questions)
     exact = search.vector_search(vector_docs(spark, sf_dir), questions)
     found = exact.join(near.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")
     return found.groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+@register("knn_lsh_recall")
+def knn_lsh_recall(spark, sf_dir):
+    """One row: mean recall of the index against the exact best ten, and the share of all pairs that were compared."""
+    questions, docs = vector_questions(spark, sf_dir), vector_docs(spark, sf_dir)
+    path = _indexed(spark, sf_dir)
+    near = vector_index.indexed_search(spark, path, questions).select("qid", "doc_id", F.lit(1).alias("hit"))
+    found = search.vector_search(docs, questions).join(near, ["qid", "doc_id"], "left")
+    pairs = vector_index.candidates(spark, path, questions).agg(F.count("*").alias("compared")).scalar()
+    n_docs, n_questions = docs.agg(F.count("*")).scalar(), questions.agg(F.count("*")).scalar()
+    return found.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.max(pairs / (n_docs * n_questions)).alias("share"))
+
+
+@register("knn_lsh_filtered")
+def knn_lsh_filtered(spark, sf_dir):
+    """Mean recall of the index under a filter, where every question gets all the hits that it asks for."""
+    questions = vector_questions(spark, sf_dir)
+    hits = vector_index.indexed_search(spark, _indexed(spark, sf_dir), questions, filters={"label": [1, 3]})
+    exact = search.vector_search(vector_docs(spark, sf_dir), questions, filters={"label": [1, 3]})
+    found = exact.join(hits.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")
+    full = hits.groupBy("qid").count().filter(F.col("count") == 10).agg(F.count("*")).scalar()
+    return found.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.countDistinct("qid").alias("questions"), F.max(full).alias("answered"))

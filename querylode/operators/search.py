@@ -176,13 +176,13 @@ def vector_search(
     hits (``'post'``, which can leave fewer than ``size``). ``scale='half'`` reports (1+cos)/2.
     """
     if mode == "pre" and filters:
-        docs = docs.filter(_allowed(docs, filters))
+        docs = docs.filter(allowed(docs, filters))
     wanted = list(dict.fromkeys((attach or []) + (list(filters) if filters and mode == "post" else [])))
     hits = search(docs, questions, use_vector=True, size=size, attach=wanted).drop(
         "text_score", "vector_score"
     )
     if mode == "post" and filters:
-        hits = hits.filter(_allowed(hits, filters)).drop(*[c for c in wanted if c not in (attach or [])])
+        hits = hits.filter(allowed(hits, filters)).drop(*[c for c in wanted if c not in (attach or [])])
     if scale == "half":
         hits = hits.withColumn("score", F.round((1 + F.col("score")) / 2, 6))
     return hits
@@ -192,7 +192,7 @@ def hybrid_search(docs, questions, fields=None, **options) -> DataFrame:
     return search(docs, questions, fields=fields or fv.FIELD_BOOSTS, use_vector=True, **options)
 
 
-def _allowed(df: DataFrame, filters: dict) -> Column:
+def allowed(df: DataFrame, filters: dict) -> Column:
     condition = F.lit(True)
     for name, values in filters.items():
         if df.schema[name].dataType.typeName() == "array":

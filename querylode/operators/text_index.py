@@ -4,10 +4,10 @@ A posting (field, term, document, tf, length) lies in a block: those of one term
 have the same powers of two. A block keeps its number of postings, largest frequency and smallest length; with the corpus
 numbers of the moment they bound the score of all its postings, so blocks stay true when other loads change these numbers.
 
-The best ``size`` documents of every question are found in two passes. A few small blocks with high bounds give each
-question a bar that its best documents reach. Then the terms that could not reach the bar even all together name no
-candidates, nor do blocks that could not with the best of all other terms. The candidates' whole scores are looked up by
-(field, term, document). Nothing is left out that could be among the best, however many questions or documents there are;
+The best ``size`` documents of every question are found in two passes. A few small blocks with high bounds name
+promising documents for each question, and the whole scores of these set a bar that its best documents reach. Then the terms that could not reach the bar even all together name no
+candidates, nor do blocks that could not with the best of all other terms. What the candidates have in such blocks is
+looked up by (field, term, document). Nothing is left out that could be among the best, however many questions or documents there are;
 no text is read, and a term that is in every document costs a lookup for each candidate, not a pass over its postings.
 """
 
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import terms
-from ..session import checkpointed, new_dir
+from ..session import new_dir, stored
 
 # Postings of the blocks that set a question's bar, as a multiple of the documents wanted. Any number gives the same hits.
-SEEDS = 50
+SEEDS = 200
+# Documents whose whole scores set the bar, as a multiple of those wanted: the best by their seeds.
+PROMISING = 8
 
 
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -57,8 +59,7 @@ class TextIndex:
 def write(docs: DataFrame, fields: list[str], path: str | None = None) -> TextIndex:
     """Write the index of ``docs`` below ``path`` or in the shared folder, ordered by term."""
     path = path or new_dir(docs.sparkSession, "text-index")
-    in_order = postings(docs, fields).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "level")
-    in_order.write.mode("overwrite").parquet(f"{path}/postings")
+    postings(docs, fields).sortWithinPartitions("field", "term", "level").write.mode("overwrite").parquet(f"{path}/postings")
     blocks(docs.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/blocks")
     return read(docs.sparkSession, path)
 
@@ -99,7 +100,7 @@ def best_by_text(index: TextIndex, questions: DataFrame, boosts: dict[str, float
 
     known = index.counts.filter(F.col("field").isin(fields) & (F.col("term") != ""))
     asked = question_terms(questions).join(known, "term").select("qid", "field", "term", weight.alias("weight"))
-    asked = checkpointed(asked)
+    asked = stored(asked, "question-terms")
     bound = part(F.col("max_tf"), F.col("min_dl"))
     held = asked.join(index.blocks, ["field", "term"]).select("qid", "field", "term", "level", "n", "weight", bound.alias("bound"))
     most = held.groupBy("qid", "field", "term").agg(F.max("bound").alias("most"))
@@ -107,7 +108,7 @@ def best_by_text(index: TextIndex, questions: DataFrame, boosts: dict[str, float
     by_bound = W.partitionBy("qid", "field").orderBy("most", "term")
     all_of = W.partitionBy("qid", "field")
     most = most.select("qid", "field", "term", "most", F.sum("most").over(by_bound).alias("upto"), F.sum("most").over(all_of).alias("all"))
-    held = checkpointed(held.join(most, ["qid", "field", "term"]))
+    held = stored(held.join(most, ["qid", "field", "term"]), "question-blocks")
 
     key = ["field", "term", "level"]
     seeds = SEEDS * size
@@ -115,20 +116,44 @@ def best_by_text(index: TextIndex, questions: DataFrame, boosts: dict[str, float
     first = held.filter(F.col("n") <= seeds).withColumn("_before", F.coalesce(F.sum("n").over(small), F.lit(0))).filter(F.col("_before") < seeds)
     reached = index.postings.join(first.select("qid", *key, "weight"), key).select("qid", "field", "doc_id", part(F.col("tf"), F.col("dl")).alias("s"))
     reached = reached.groupBy("qid", "doc_id", "field").agg(F.sum("s").alias("s")).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("s")))
-    bars = reached.withColumn("_place", place).filter(F.col("_place") <= size).filter(F.col("_place") == size).select("qid", F.col("s").alias("bar"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """The scores of some documents, looked up posting by posting."""
+        wanted = pairs.join(asked, "qid")
+        scored = index.postings.join(wanted, ["field", "term", "doc_id"]).select("qid", "doc_id", "field", part(F.col("tf"), F.col("dl")).alias("s"))
+        return scored.groupBy("qid", "doc_id", "field").agg(F.sum("s").alias("s")).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
+
+    promising = reached.withColumn("_place", place).filter(F.col("_place") <= PROMISING * size).select("qid", "doc_id")
+    ranked = whole(stored(promising, "promising")).withColumn("_place", place).filter(F.col("_place") <= size)
+    bars = ranked.filter(F.col("_place") == size).select("qid", F.col("s").alias("bar"))
 
     bar = F.coalesce("bar", F.lit(0.0)) - 4 * near
-    names = held.join(bars, "qid", "left").filter((F.col("upto") >= bar) & (F.col("bound") + F.col("all") - F.col("most") >= bar))
-    met = index.postings.join(names.select("qid", *key, "weight", "most", "all", bar.alias("bar")), key)
-    # What a document has and what its other terms could add.
-    open_ = met.select("qid", "doc_id", "field", "all", "bar", (part(F.col("tf"), F.col("dl")) - F.col("most")).alias("less"))
-    hopeful = open_.groupBy("qid", "doc_id", "field").agg((F.sum("less") + F.first("all")).alias("s"), F.first("bar").alias("bar"))
-    pairs = hopeful.filter(F.col("s") >= F.col("bar")).select("qid", "doc_id")
+    may = (F.col("upto") >= bar) & (F.col("bound") + F.col("all") - F.col("most") >= bar)
+    barred = held.join(bars, "qid", "left").withColumn("names", may).withColumn("bar", bar)
+    # Reading the other blocks as well costs a question their postings; looking them up costs each candidate its terms.
+    passed_terms = F.size(F.collect_set(F.when(~F.col("names"), F.col("term"))))
+    look_up = F.least(F.sum(F.when(F.col("names"), F.col("n")).otherwise(0)).cast("double"), F.first(_by_field(n_docs))) * passed_terms
+    cheap = barred.groupBy("qid", "field").agg((F.sum(F.when(~F.col("names"), F.col("n")).otherwise(0)) <= look_up).alias("cheap"))
+    barred = barred.join(cheap, ["qid", "field"]).withColumn("names", F.col("names") | F.col("cheap"))
+    # What a term can still add to a document without a posting in its naming blocks.
+    rest = barred.groupBy("qid", "field", "term").agg(F.max(F.when(~F.col("names"), F.col("bound"))).alias("rest"))
+    rest = rest.select("qid", "field", "term", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    rest = rest.withColumn("all_rest", F.sum("rest").over(all_of))
+    held = stored(barred.select("qid", *key, "weight", "names", "bar").join(rest, ["qid", "field", "term"]), "barred-blocks")
+    names = held.filter("names").drop("names")
+    met = index.postings.join(names, key).withColumn("s", part(F.col("tf"), F.col("dl")))
+    # What a document has so far, and what it has at most.
+    hopeful = met.groupBy("qid", "doc_id", "field").agg(
+        F.sum("s").alias("s"), (F.sum(F.col("s") - F.col("rest")) + F.first("all_rest")).alias("at_most"), F.first("bar").alias("bar")
+    )
+    hopeful = stored(hopeful.filter(F.col("at_most") >= F.col("bar")).select("qid", "doc_id", "field", "s"), "hopeful")
+    passed = held.filter(~F.col("names")).groupBy("qid", "field", "term", "weight").agg(F.collect_set("level").alias("levels"))
+    wanted = hopeful.select("qid", "doc_id", "field").join(passed, ["qid", "field"])
+    added = index.postings.join(wanted, ["field", "term", "doc_id"]).filter(F.array_contains("levels", F.col("level")))
+    found = hopeful.unionByName(added.select("qid", "doc_id", "field", part(F.col("tf"), F.col("dl")).alias("s")))
+    found = found.groupBy("qid", "doc_id", "field").agg(F.sum("s").alias("s"))
+    found = found.groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
     if also is not None:
-        pairs = pairs.unionByName(also.select("qid", "doc_id"))
-    pairs = checkpointed(pairs.distinct())
-    wanted = pairs.join(asked, "qid")
-    scored = index.postings.join(wanted, ["field", "term", "doc_id"]).select("qid", "doc_id", "field", part(F.col("tf"), F.col("dl")).alias("s"))
-    per_field = scored.groupBy("qid", "doc_id", "field").agg(F.sum("s").alias("s"))
-    return per_field.groupBy("qid", "doc_id").agg(F.max("s").alias("text_score"))
+        found = found.unionByName(whole(also.select("qid", "doc_id").distinct())).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
+    return found.withColumnRenamed("s", "text_score")

@@ -1,105 +1,155 @@
-"""Approximate vector search: documents stored by coarse cell, questions read only near cells.
+"""Approximate vector search by hashing: vectors whose directions are near meet in buckets, an equi-join of small keys.
 
-The exact search reads every vector. This index writes the documents partitioned by the nearest of
-a few hundred centroids; a search scores exactly, but only the documents in the cells that are
-nearest to some question, so that Spark prunes the other folders. A crowded cell is only more files:
-nothing is grouped by cell when searching. Probing all cells gives the exact result.
+A table turns every unit vector by a pseudo-random rotation (three rounds of random signs and a Hadamard transform, so that
+nothing but a seed is shipped) and names the axis that it then points to, with its sign: vectors at a small angle name the
+same one more often than others. Where the documents are many, a second rotation's axes cut every bucket further, so that
+a bucket holds about ``PER_BUCKET`` documents at any size. The index holds (table, bucket, doc_id) for all tables. A question
+probes in every table the axes that it points to most; the documents that it meets in at least ``COLLISIONS`` tables are
+compared exactly. The best of these are ranked as in the exact search.
+
+Where filters leave a question fewer hits than asked for, it probes wider, and at last, if even all its buckets hold too few,
+every allowed document. A hot bucket is a skewed key of a plain join, which Spark splits.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..session import checkpointed
-from .search import vector_search
-
-# Vectors the centroids are trained on; they only decide where documents are stored.
-TRAINING_VECTORS = 200_000
-
-
-def _unit(vector):
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: x / length)
-
-
-def train(docs: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
-    """Unit centroids (cells x dimension) of a sample of the documents' vectors."""
-    vectors = docs.filter(F.col("embedding").isNotNull()).select("embedding")
-    share = min(1.0, TRAINING_VECTORS / max(1, vectors.count()))
-    sample = vectors.sample(share, seed) if share < 1 else vectors
-    # Distance between unit vectors orders like the angle between them.
-    unit = checkpointed(sample.select(_unit(F.col("embedding")).alias("unit")))
-    unit = unit.select(array_to_vector("unit").alias("features"))
-    model = KMeans(k=cells, seed=seed, initMode="random", maxIter=10).fit(unit)
-    centers = np.array(model.clusterCenters())
-    return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-
-
-def with_cell(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Add the number of the nearest centroid; documents without a vector are left out."""
-    shipped = docs.sparkSession.sparkContext.broadcast(centroids)
-
-    @F.pandas_udf(T.IntegerType())
-    def nearest(vectors):
-        import pandas as pd
-
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series((matrix @ shipped.value.T).argmax(axis=1).astype("int32"))
-
-    kept = docs.filter(F.col("embedding").isNotNull())
-    return kept.withColumn("cell", nearest("embedding"))
-
-
-def write(docs: DataFrame, path: str, cells: int = 256) -> np.ndarray:
-    """Write the index below ``path``; returns its centroids, which are stored beside it."""
-    centroids = train(docs, cells)
-    spark = docs.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
-    spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/centroids")
-    # Rebalancing splits a crowded cell over as many tasks as its size asks for.
-    placed = with_cell(docs, centroids).hint("rebalance", "cell")
-    placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/docs")
-    return centroids
-
-
-def read_centroids(spark: SparkSession, path: str) -> np.ndarray:
-    rows = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r["cell"])
-    return np.array([r["centroid"] for r in rows])
-
-
-def near_cells(questions: DataFrame, centroids: np.ndarray, probe: int) -> list[int]:
-    """Cells that are among the ``probe`` nearest of at least one question."""
-    shipped = questions.sparkSession.sparkContext.broadcast(centroids)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def nearest(vectors):
-        import pandas as pd
-
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        order = np.argsort(-(matrix @ shipped.value.T), axis=1)[:, :probe]
-        return pd.Series([list(map(int, row)) for row in order])
-
-    found = questions.filter(F.col("embedding").isNotNull()).select(
-        F.explode(nearest("embedding")).alias("cell")
-    )
-    # At most as many rows as there are cells.
-    return sorted(r["cell"] for r in found.distinct().collect())
+from .search import allowed, vector_search
+
+TABLES = 64
+PROBES = 4
+COLLISIONS = 5
+PER_BUCKET = 64
+SEED = 7
+
+
+def rotated(units: np.ndarray, seed: tuple) -> np.ndarray:
+    """The rows, padded to a power of two, in a random rotation."""
+    n, dim = units.shape
+    size = 1 << max(1, (dim - 1).bit_length())
+    x = np.zeros((n, size))
+    x[:, :dim] = units
+    for signs in np.random.default_rng(seed).choice([-1.0, 1.0], (3, size)):
+        x *= signs
+        half = 1
+        while half < size:
+            pairs = x.reshape(n, size // (2 * half), 2, half)
+            x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(n, size)
+            half *= 2
+        x /= np.sqrt(size)
+    return x
+
+
+def axes(units: np.ndarray, seed: tuple, many: int, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``many`` signed axes that each row points to most, and how far it does; ``cut``: only so many axes are named."""
+    x = rotated(units, seed)[:, :cut]
+    both = np.concatenate([x, -x], axis=1)
+    order = np.argsort(-both, axis=1, kind="stable")[:, :many]
+    return order, np.take_along_axis(both, order, axis=1)
+
+
+def bucket_rows(df: DataFrame, key: str, tables: int, cut: int, probes: int | None) -> DataFrame:
+    """table, bucket, key: the ``probes`` best buckets of every row in each table (None: all of them)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+            norms = np.linalg.norm(vectors, axis=1)
+            good = norms > 0
+            units, ids = vectors[good] / norms[good, None], batch.column(0).filter(pa.array(good))
+            for table in range(tables if len(units) else 0):
+                first, strength = axes(units, (SEED, table, 0), probes or 1 << 30)
+                if cut:
+                    second, more = axes(units, (SEED, table, 1), probes or 1 << 30, cut)
+                    pairs = (first[:, :, None] * (2 * cut) + second[:, None, :]).reshape(len(units), -1)
+                    strength = (strength[:, :, None] + more[:, None, :]).reshape(len(units), -1)
+                    order = np.argsort(-strength, axis=1, kind="stable")[:, :probes]
+                    first = np.take_along_axis(pairs, order, axis=1)
+                width = first.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(first.size, table, np.int32)),
+                        pa.array(first.ravel().astype(np.int64)),
+                        ids.take(pa.array(np.repeat(np.arange(len(units)), width))),
+                    ],
+                    ["table", "bucket", key],
+                )
+
+    rows = df.select(key, "embedding").filter(F.col("embedding").isNotNull())
+    return rows.mapInArrow(run, f"table int, bucket bigint, {key} {kind}")
+
+
+def write(docs: DataFrame, path: str, tables: int = TABLES, per_bucket: int = PER_BUCKET) -> None:
+    """Write the buckets and the vectors of ``docs`` (doc_id, embedding and any columns for filters) below ``path``."""
+    given = docs.filter(F.col("embedding").isNotNull())
+    n, dim = given.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    size = 1 << max(1, ((dim or 1) - 1).bit_length())
+    # Further axes, as a power of two, until a bucket holds few documents on average.
+    cut = 0
+    while n / (2 * size * max(1, 2 * cut)) > per_bucket and cut < size:
+        cut = max(1, 2 * cut)
+    rows = bucket_rows(given, "doc_id", tables, cut, 1)
+    in_order = rows.repartitionByRange("table", "bucket").sortWithinPartitions("table", "bucket")
+    in_order.write.mode("overwrite").parquet(f"{path}/buckets")
+    given.write.mode("overwrite").parquet(f"{path}/docs")
+    settings = json.dumps({"tables": tables, "cut": cut})
+    docs.sparkSession.createDataFrame([(settings,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def candidates(spark: SparkSession, path: str, questions: DataFrame, probes: int | None = PROBES, collisions: int = COLLISIONS) -> DataFrame:
+    """qid, doc_id: what each question meets in at least ``collisions`` tables. With ``probes`` of None: everything."""
+    settings = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+    tables = settings["tables"] if probes else 1
+    asked = bucket_rows(questions, "qid", tables, settings["cut"], probes)
+    met = spark.read.parquet(f"{path}/buckets").join(asked, ["table", "bucket"]).groupBy("qid", "doc_id").agg(F.count("*").alias("times"))
+    return met.filter(F.col("times") >= (collisions if probes else 1)).select("qid", "doc_id")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """qid, doc_id, vector_score: the exact cosine of every pair whose document is in ``docs``."""
+    own = questions.select("qid", F.col("embedding").alias("q"))
+    rows = pairs.join(docs.select("doc_id", F.col("embedding").alias("d")), "doc_id").join(own, "qid").select("qid", "doc_id", "q", "d")
+
+    def run(batches):
+        for batch in batches:
+            q, d = (np.array(batch.column(c).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1) for c in (2, 3))
+            q, d = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, d))
+            score = np.einsum("ij,ij->i", q, d) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["qid", "doc_id", "vector_score"])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("qid", "doc_id")]
+    return rows.mapInArrow(run, ", ".join([*kinds, "vector_score double"]))
 
 
 def indexed_search(
-    spark: SparkSession, path: str, questions: DataFrame, size: int = fv.SEARCH_SIZE, probe: int = 16,
-    **options,
+    spark: SparkSession, path: str, questions: DataFrame, size: int = fv.SEARCH_SIZE, probes: int | None = PROBES,
+    collisions: int = COLLISIONS, filters: dict | None = None,
 ) -> DataFrame:
-    """``vector_search`` over the cells near the questions."""
-    centroids = read_centroids(spark, path)
-    cells = near_cells(questions, centroids, min(probe, len(centroids)))
-    docs = spark.read.parquet(f"{path}/docs").filter(F.col("cell").isin(cells))
-    return vector_search(docs, questions, size=size, **options)
+    """qid, rank, doc_id, score as in ``vector_search``, over what the questions meet in their buckets."""
+    docs = spark.read.parquet(f"{path}/docs")
+    if filters:
+        docs = docs.filter(allowed(docs, filters))
+    asked = questions.filter(F.col("embedding").isNotNull())
+    ranking = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    done = None
+    # Each step widens the search of those questions that have too few hits.
+    for wider, fewer in [(probes, collisions), (4 * probes, 1)] if probes else [(None, 1)]:
+        pairs = candidates(spark, path, asked, wider, fewer)
+        hits = compared(pairs, docs, asked).withColumn("score", F.round("vector_score", 6))
+        hits = hits.withColumn("rank", F.row_number().over(ranking).cast("long")).filter(F.col("rank") <= size)
+        hits = checkpointed(hits.select("qid", "rank", "doc_id", "score"))
+        full = hits.filter(F.col("rank") == size).select("qid")
+        found = hits.join(full, "qid", "left_semi")
+        done = found if done is None else done.unionByName(found)
+        asked = asked.join(full, "qid", "left_anti")
+    return done.unionByName(vector_search(docs, asked, size=size))
