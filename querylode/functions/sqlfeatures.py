@@ -1,8 +1,9 @@
 """Structural features of one SQL text as column expressions over its cleaned form.
 
 All inputs named ``clean`` are the output of ``text.clean_sql`` held in a column, so that the
-clean-up runs once per row. Nothing here parses SQL: features are regular-expression matches and
-single left-to-right folds over tokens, linear in the length of the text.
+clean-up runs once per row. Nothing here parses SQL: features are regular-expression matches, and what depends on
+parentheses comes from one walk over the tokens with a running depth (``functions.depth``), linear in the length of
+the text. Tokens are cut once per row where they are given as a column.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from . import depth
 from .text import clean_sql, strip
 
 _LITERAL = r"'[^']*'"
@@ -56,23 +58,9 @@ def tokens(clean: Column) -> Column:
     return _all(clean, _TOKEN, 0)
 
 
-def outline(clean: Column) -> Column:
+def outline(clean: Column, toks: Column | None = None) -> Column:
     """The text outside all parentheses; every parenthesised part becomes ``()``."""
-
-    def step(state, tok):
-        depth = F.greatest(
-            state["depth"] + F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0), F.lit(0)
-        )
-        shown = (state["depth"] == 0) | ((tok == ")") & (state["depth"] == 1))
-        return F.struct(
-            depth.alias("depth"),
-            F.when(shown, F.concat(state["kept"], F.array(tok)))
-            .otherwise(state["kept"])
-            .alias("kept"),
-        )
-
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(tokens(clean), start, step, lambda s: F.array_join(s["kept"], ""))
+    return depth.outline(tokens(clean) if toks is None else toks)
 
 
 def cte_names_first(clean: Column) -> Column:
@@ -80,13 +68,12 @@ def cte_names_first(clean: Column) -> Column:
     return _sorted_set(_all(clean, fv.FIRST_CTE))
 
 
-def cte_names(clean: Column) -> Column:
+def cte_names(clean: Column, toks: Column | None = None) -> Column:
     """Names that follow WITH anywhere, and the further names of a leading WITH list."""
-    outside = outline(clean)
+    outside = outline(clean, toks)
     later = F.when(outside.rlike(r"(?iU)^WITH\b"), _all(outside, _NEXT_CTE)).otherwise(
         F.array().cast("array<string>")
     )
-    # The fold over tokens only pays off where a WITH occurs at all.
     return F.when(
         clean.rlike(r"(?iU)\bWITH\s"), _sorted_set(F.concat(_all(clean, fv.FIRST_CTE), later))
     ).otherwise(F.array().cast("array<string>"))
@@ -143,103 +130,16 @@ def joins_raw(clean: Column) -> Column:
 
 def joins(clean: Column) -> Column:
     """One (left, right, type) per JOIN; left is the relation before it at its own nesting level."""
-    steps = F.arrays_zip(
-        _all(clean, _STEP, 0).alias("text"),
-        _all(clean, _STEP, 1).alias("verb"),
-        _all(clean, _STEP, 2).alias("kind"),
-        _all(clean, _STEP, 3).alias("target"),
-    )
-
-    def step(state, m):
-        last = state["last"]  # latest relation per open nesting level, innermost first
-        here, outer = F.get(last, F.lit(0)), F.get(last, F.lit(1))
-        is_close = (m["text"] == ")") & (F.size(last) > 1)
-        is_relation = m["target"] != ""
-        is_join = is_relation & (m["verb"] == "")
-        new_last = (
-            F.when(m["text"] == "(", F.concat(F.array(F.lit(None).cast("string")), last))
-            .when(
-                is_close,
-                F.concat(
-                    F.array(F.coalesce(outer, here)),
-                    F.slice(last, 3, F.greatest(F.size(last) - 2, F.lit(0))),
-                ),
-            )
-            .when(
-                is_relation,
-                F.concat(
-                    F.array(m["target"]), F.slice(last, 2, F.greatest(F.size(last) - 1, F.lit(0)))
-                ),
-            )
-            .otherwise(last)
-        )
-        found = F.struct(
-            here.alias("left_table"),
-            m["target"].alias("right_table"),
-            F.coalesce(F.nullif(F.upper(m["kind"]), F.lit("")), F.lit("INNER")).alias("join_type"),
-        )
-        return F.struct(
-            new_last.alias("last"),
-            F.when(is_join & here.isNotNull(), F.concat(state["out"], F.array(found)))
-            .otherwise(state["out"])
-            .alias("out"),
-        )
-
-    start = F.struct(
-        F.array(F.lit(None).cast("string")).alias("last"),
-        F.array().cast(JOIN_TYPE).alias("out"),
-    )
-    return F.when(
-        clean.rlike(r"(?iU)\bJOIN\s"), F.aggregate(steps, start, step, lambda s: s["out"])
-    ).otherwise(F.array().cast(JOIN_TYPE))
+    found = depth.joins(*[_all(clean, _STEP, group) for group in range(4)])
+    return F.when(clean.rlike(r"(?iU)\bJOIN\s"), found).otherwise(F.array().cast(JOIN_TYPE))
 
 
-def filters(clean: Column) -> Column:
+def filters(clean: Column, toks: Column | None = None) -> Column:
     """Conditions of the outermost WHERE clauses, in order, cut at AND and OR outside parentheses.
 
-    The AND of a BETWEEN does not cut. The fold keeps only positions, so a huge IN list costs no
-    copying.
+    The AND of a BETWEEN does not cut.
     """
-
-    def step(s, tok):
-        word = F.upper(tok)
-        depth = s["depth"] + F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
-        after = s["pos"] + F.length(tok)
-        outer = s["depth"] == 0
-        inside = s["active"] & outer
-        opens = ~s["active"] & outer & (word == "WHERE")
-        ends = inside & word.isin(fv.WHERE_TERMINATORS)
-        cuts = ends | (inside & ((word == "OR") | ((word == "AND") & ~s["between"])))
-        piece = F.struct(s["begin"].alias("b"), s["pos"].alias("e"))
-        return F.struct(
-            after.alias("pos"),
-            F.greatest(depth, F.lit(0)).alias("depth"),
-            F.when(opens, True).when(ends, False).otherwise(s["active"]).alias("active"),
-            F.when(opens | cuts, after).otherwise(s["begin"]).alias("begin"),
-            F.when(inside & (word == "BETWEEN"), True)
-            .when(opens | cuts | (inside & (word == "AND")), False)
-            .otherwise(s["between"])
-            .alias("between"),
-            F.when(cuts, F.concat(s["pieces"], F.array(piece)))
-            .otherwise(s["pieces"])
-            .alias("pieces"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("pos"),
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("active"),
-        F.lit(1).alias("begin"),
-        F.lit(False).alias("between"),
-        F.array().cast("array<struct<b:int,e:int>>").alias("pieces"),
-    )
-
-    def finish(s):
-        tail = F.array(F.struct(s["begin"].alias("b"), s["pos"].alias("e")))
-        return F.when(s["active"], F.concat(s["pieces"], tail)).otherwise(s["pieces"])
-
-    pieces = F.aggregate(tokens(clean), start, step, finish)
-    texts = F.transform(pieces, lambda p: strip(F.substring(clean, p["b"], p["e"] - p["b"])))
+    texts = F.transform(depth.conditions(tokens(clean) if toks is None else toks), strip)
     return F.when(
         clean.rlike(r"(?iU)\bWHERE\b"), F.filter(texts, lambda t: F.length(t) > 0)
     ).otherwise(F.array().cast("array<string>"))
@@ -265,44 +165,10 @@ def subqueries_raw(clean: Column) -> Column:
     return _all(clean, fv.SUBQUERY_RAW, 0)
 
 
-def subqueries(clean: Column) -> Column:
+def subqueries(clean: Column, toks: Column | None = None) -> Column:
     """Each parenthesised SELECT with balanced parentheses, in order of its end."""
-
-    def step(s, tok):
-        after = s["pos"] + F.length(tok)
-        blank = tok.rlike(r"(?U)^\s+$")
-        top = F.get(s["open"], F.lit(0))
-        rest = F.slice(s["open"], 2, F.greatest(F.size(s["open"]) - 1, F.lit(0)))
-        empty = F.size(s["open"]) == 0
-        entry = F.struct(s["pos"].alias("b"), F.lit(False).alias("select"))
-        marked = F.array(F.struct(top["b"].alias("b"), F.lit(True).alias("select")))
-        is_select = s["fresh"] & (F.upper(tok) == "SELECT")
-        closes = (tok == ")") & ~empty
-        found = F.array(F.struct(top["b"].alias("b"), after.alias("e")))
-        return F.struct(
-            after.alias("pos"),
-            F.when(tok == "(", True).when(blank, s["fresh"]).otherwise(False).alias("fresh"),
-            F.when(tok == "(", F.concat(F.array(entry), s["open"]))
-            .when(closes, rest)
-            .when(is_select, F.concat(marked, rest))
-            .otherwise(s["open"])
-            .alias("open"),
-            F.when(closes & F.coalesce(top["select"], F.lit(False)), F.concat(s["pieces"], found))
-            .otherwise(s["pieces"])
-            .alias("pieces"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("pos"),
-        F.lit(False).alias("fresh"),
-        F.array().cast("array<struct<b:int,select:boolean>>").alias("open"),
-        F.array().cast("array<struct<b:int,e:int>>").alias("pieces"),
-    )
-    pieces = F.aggregate(tokens(clean), start, step, lambda s: s["pieces"])
-    return F.when(
-        clean.rlike(r"(?iU)\(\s*SELECT\b"),
-        F.transform(pieces, lambda p: F.substring(clean, p["b"], p["e"] - p["b"])),
-    ).otherwise(F.array().cast("array<string>"))
+    found = depth.selects(tokens(clean) if toks is None else toks)
+    return F.when(clean.rlike(r"(?iU)\(\s*SELECT\b"), found).otherwise(F.array().cast("array<string>"))
 
 
 def is_business_calculation(sql: Column) -> Column:
@@ -315,20 +181,22 @@ def is_date_filter(condition: Column) -> Column:
 
 def with_features(extracts, sql_column: str = "sql_query"):
     """Add query_type, tables, columns, joins, filters, aggregations, functions, subqueries, ctes."""
-    c = F.col("clean_sql")
+    c, toks = F.col("clean_sql"), F.col("_tokens")
     return (
         extracts.withColumn("clean_sql", F.coalesce(clean_sql(F.col(sql_column)), F.lit("")))
+        .withColumn("_tokens", tokens(c))
         .withColumns(
             {
                 "query_type": query_type(c),
-                "cte_names": cte_names(c),
+                "cte_names": cte_names(c, toks),
                 "joins": joins(c),
-                "filters": filters(c),
+                "filters": filters(c, toks),
                 "aggregations": aggregations(c),
                 "date_functions": date_functions(c),
-                "subqueries": subqueries(c),
+                "subqueries": subqueries(c, toks),
             }
         )
+        .drop("_tokens")
         .withColumn("tables", tables(c, F.col("cte_names")))
         .withColumns(
             {

@@ -167,3 +167,26 @@ def test_embedding_texts(spark):
     assert [r[0] and len(r[0]) for r in e.select(tx.embeddable(F.col("t"))).collect()] == [None, 9000]
     c = spark.createDataFrame([("abcdefg",), ("",)], "t string").select(tx.chunks(F.col("t"), 3))
     assert [r[0] for r in c.collect()] == [["abc", "def", "g"], [""]]
+
+
+def test_features_of_very_long_texts(spark):
+    """20,000 conditions, joins and subqueries of one text in seconds; four times as many in at most about four times as long."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from querylode.functions import sqlfeatures as sf
+
+    def seconds(n):
+        sql = "SELECT a FROM t" + "".join(f" JOIN u{i} ON x = {i}" for i in range(n)) + " WHERE "
+        sql += " AND ".join(f"c{i} = (SELECT {i})" for i in range(n))
+        df = spark.createDataFrame([(sql,)], "clean string")
+        c = F.col("clean")
+        start = time.time()
+        row = df.select(F.size(sf.filters(c)).alias("f"), F.size(sf.joins(c)).alias("j"), F.size(sf.subqueries(c)).alias("s"), F.length(sf.outline(c))).first()
+        assert row[:3] == (n, n, n)
+        return time.time() - start
+
+    seconds(10)
+    short, long = seconds(5_000), seconds(20_000)
+    assert long < 4 and long < 5 * max(short, 0.5)
