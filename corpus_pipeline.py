@@ -7,7 +7,7 @@ as often as the mix says), and SentencePiece encoding. All but the last return t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylode.llm import common, jaccard_join, line_dedup, mixing, quality_classifier, sentencepiece_codec
@@ -33,10 +33,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without a word and those without an id stay."""
-    groups = jaccard_join.near_duplicates(docs)
+    """The document with the smallest id of each group; documents without a word and those without an id stay.
+
+    Rows that share an id with words are one document: the one whose text is last in order stays.
+    """
+    groups = common.stored(jaccard_join.near_duplicates(docs), "groups").where("doc_id IS NOT NULL")
     others = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.select(*COLUMNS).join(others, F.col("doc_id") == F.col("__id"), "left_anti")
+    kept = docs.select(*COLUMNS).join(others, F.col("doc_id") == F.col("__id"), "left_anti")
+    often = groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    same = F.col("doc_id") == F.col("__id")
+    first = Window.partitionBy("doc_id").orderBy(F.desc("text"))
+    one = kept.join(often, same, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
+    return kept.join(often, same, "left_anti").unionByName(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
