@@ -317,3 +317,21 @@ def test_pipeline(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     bad = {d for d, quality in labels.items() if quality == 0}
     assert len(bad & ids) <= 0.3 * len(bad)  # few labels to learn from here
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "encode"])
+def test_pipeline_stages_on_odd_rows(spark, odd, none, name):
+    """Nulls in any column, empty, blank and very long texts, ties, repeated rows, clashing names; and an empty table."""
+    stage, sf = getattr(corpus_pipeline, name), "/root/testdata/sf0.001"
+    assert stage(spark, none, sf).count() == 0
+    got = stage(spark, odd, sf)
+    ids, given = (Counter(r.doc_id for r in d.collect()) for d in (got, odd))
+    assert not ids - given
+    if name == "encode":
+        assert ids == given
+    else:
+        assert got.columns == corpus_pipeline.COLUMNS
+        texts = Counter((r.doc_id, r.text) for r in got.collect())
+        assert not texts - Counter((r.doc_id, r.text) for r in odd.collect())
+    if name == "near_duplicates":
+        assert given[5] == 2 and ids == given - Counter({5: 1})
