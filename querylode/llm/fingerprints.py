@@ -6,7 +6,8 @@ For term x with weight w and sample j, hashes of (x, j) give r and c from Gamma(
 
 and the sample of a document is the (x, t) with the smallest a. Two documents agree in a sample with the probability
 sum(min weights) / sum(max weights), the generalised Jaccard similarity. A sample is one long, ln a in fixed point
-above 32 bits that identify (x, t), so the smallest is a plain minimum with partial aggregation.
+above 32 bits that identify (x, t), so the smallest is a plain minimum with partial aggregation. The likeness of two
+documents is a mean of ``SAMPLES`` agreements: at 32 samples its standard error is 0.07 at a similarity of 0.8, 0.09 at 0.5.
 
 Documents are dealt by blocks of 256 neighbouring ids. The next document of a block is a window away and the first of
 the next block a small join; term counts, samples and the comparison keep that partitioning, so texts are shuffled
@@ -14,7 +15,8 @@ once. Blocks follow each other by groups of 65,536: no step orders all documents
 
 Defined cases: null text is empty; an empty text has a fingerprint of its own, equal to that of any other empty text;
 equal texts have equal fingerprints; rows that share a doc_id are documents of their own, in the order of their texts;
-a null doc_id is the smallest; one document is its own next. Extra columns are left out.
+a null doc_id is the smallest; one document is its own next; texts of any length count whole; of samples with one ln a
+the smaller term's bits win; an empty table gives no rows. Extra columns are left out.
 """
 
 from __future__ import annotations

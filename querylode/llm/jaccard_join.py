@@ -21,7 +21,8 @@ to, in chunks. Components are found by rounds of joins.
 
 Defined cases: null and blank texts have an empty set and are linked to nothing; rows that repeat are copies; of rows
 that share a doc_id each has its own set, and they are one node; shingles and classes are told apart by 64-bit hashes;
-a null doc_id is linked to nothing and its component is null; extra columns are left out.
+a null doc_id is linked to nothing and its component is null; a similarity of exactly the limit links; texts of any
+length count whole; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ node i has the children 2 i + 1 and 2 i + 2, so a batch walks a tree level by le
 
 Defined cases: null and empty texts have all statistics 0 and get a score like any other; without labels of both
 kinds the score is the share of good labels (0.5 without any); rows that repeat get equal scores; labels whose
-quality is null are not used; extra columns stay, except those that the output names.
+quality is null are not used; texts of any length count whole; of equally good splits the first feature and bin is
+taken; an empty table gives no rows; extra columns stay, except those that the output names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ finds the smallest pair rank of each segment, merges its leftmost occurrences to
 looks up the ranks of changed pairs only; segments without a pair leave. It equals merging one pair at a time: where
 a merge forms a pair that would come before the other occurrences, that round merges the first occurrence alone.
 
-Null and empty texts give only the begin and end ids. Vocabulary: a BPE model file with byte fallback, identity
+Null and empty texts give only the begin and end ids; texts of any length are worked through whole; rows that repeat are
+encoded each; an empty table gives no rows. Vocabulary: a BPE model file with byte fallback, identity
 normalisation and a space mark before the text. The model file is read on the driver; tasks get its tables.
 """
 
