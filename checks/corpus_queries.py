@@ -262,6 +262,57 @@ def sql_columns(spark, sf_dir):
     return exploded(df, sf.columns(CLEAN(), F.col("tables"), F.col("cte_names")), "column_name")
 
 
+@register(
+    "sql_columns_qualified",
+    rf"""WITH {o.SQLCELLS},
+plain AS (SELECT notebook_path, cell_index, ctes, regexp_replace(clean, '''[^'']*''', ' ', 'g') AS b FROM sqlcells),
+said AS (SELECT notebook_path, cell_index, ctes,
+   unnest(regexp_extract_all(b, '(?i)\b(?:FROM|JOIN)\s+(\w+)(?:\s+(\w+))?', 1)) AS table_name,
+   unnest(regexp_extract_all(b, '(?i)\b(?:FROM|JOIN)\s+(\w+)(?:\s+(\w+))?', 2)) AS alias FROM plain),
+names AS (SELECT notebook_path, cell_index, table_name, lower(alias) AS alias FROM said WHERE NOT list_contains(ctes, table_name)
+   UNION SELECT notebook_path, cell_index, table_name, lower(table_name) FROM said WHERE NOT list_contains(ctes, table_name)),
+used AS (SELECT DISTINCT notebook_path, cell_index, unnest(regexp_extract_all(b, '([A-Za-z_]\w*)\.([A-Za-z_]\w*)', 1)) AS q,
+   unnest(regexp_extract_all(b, '([A-Za-z_]\w*)\.([A-Za-z_]\w*)', 2)) AS column_name FROM plain)
+SELECT DISTINCT u.notebook_path, u.cell_index, n.table_name, u.column_name FROM used u
+LEFT JOIN names n ON n.notebook_path = u.notebook_path AND n.cell_index = u.cell_index AND n.alias = lower(u.q)""",
+)
+def sql_columns_qualified(spark, sf_dir):
+    df = sql_cells(spark, sf_dir).withColumn("cte_names", sf.cte_names(CLEAN()))
+    return exploded(df, sf.qualified_columns(CLEAN(), F.col("cte_names")), "c").select(
+        "notebook_path", "cell_index", "c.table_name", "c.column_name"
+    )
+
+
+@register(
+    "sql_columns_scoped",
+    """WITH expected AS (
+  SELECT 0 AS odd, * FROM (VALUES ('sales_fact', 'a_'), ('shop.*_dim', 'b'), ('shop.*_dim', 'k'), ('orders_fact', 'k'),
+    ('orders_fact', 'id'), ('sales_fact', 'id'), ('users_dim', 'k'), ('price_stage', 'q'), (NULL, 'q'), ('sales_fact', 'q')) AS a(t, c)
+  UNION ALL SELECT 1, * FROM (VALUES ('raw.*', 'n_'), (NULL, 'n'), ('plan_tbl', 'm'), ('audit_table', 'm'), (NULL, 'z'),
+    ('audit_table', 'd'), ('audit_table', 'e')) AS b(t, c))
+SELECT event_id, replace(t, '*', event_type) AS table_name,
+  c || CASE WHEN c IN ('a_', 'n_') THEN CAST(user_id AS VARCHAR) ELSE '' END AS column_name
+FROM events JOIN expected ON odd = event_id % 2""",
+)
+def sql_columns_scoped(spark, sf_dir):
+    """Every event as a query whose aliases are nested, shadowed, or declared again in the next part of a union."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    nested = F.concat(
+        F.lit("SELECT t.a_"), user, F.lit(", (SELECT MAX(t.b) FROM shop."), kind,
+        F.lit("_dim AS t WHERE t.k = o.k)\nFROM sales_fact t JOIN orders_fact o ON o.id = T.id, users_dim\n"
+              "WHERE users_dim.k = 't.zzz' AND EXISTS (SELECT 1 FROM (SELECT x.q FROM price_stage x) d WHERE d.q = t.q)"),
+    )
+    union = F.concat(
+        F.lit("WITH w AS (SELECT e.n_"), user, F.lit(" FROM `raw`.`"), kind,
+        F.lit("` e) SELECT w.n, y.m FROM w LEFT JOIN plan_tbl y USING (n)\nUNION ALL SELECT y.m, lost.z FROM audit_table y "
+              "WHERE EXTRACT(DAY FROM y.d) IS DISTINCT FROM y.e"),
+    )
+    sql = F.when(F.col("event_id") % 2 == 0, nested).otherwise(union)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", sql.alias("sql_query"))
+    found = sf.with_features(events).select("event_id", F.explode("qualified_columns").alias("c"))
+    return found.select("event_id", "c.table_name", "c.column_name")
+
+
 def _raw_join_sql(pattern):
     p = pattern.replace("(?U)", "")
     return (

@@ -150,3 +150,13 @@ JOIN_RAW = [
 FIRST_CTE = r"(?iU)\bWITH\s+(?:RECURSIVE\s+)?(\w+)\s+AS\s*\("
 SUBQUERY_RAW = r"(?isU)\(\s*SELECT\s+.*?\)"
 CALL = r"(?U)(\w+)\s*\("
+
+# Words around the relations of a statement, for the scopes of aliases.
+SET_OPERATORS = ["UNION", "EXCEPT", "INTERSECT", "MINUS"]
+RELATION_FOLLOWS = ["FROM", "JOIN", "INTO", "UPDATE"]
+BEFORE_RELATION = ["LATERAL", "ONLY", "TABLE"]
+LIST_ENDS = ["SELECT", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "SET", "VALUES", "WINDOW", "QUALIFY"]
+AFTER_RELATION = [
+    "ON", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "OUTER", "NATURAL", "SEMI", "ANTI", "LATERAL", "TABLESAMPLE",
+    "WHEN", "OFFSET", "FETCH", "FOR", "PIVOT", "UNPIVOT", "RETURNING",
+]

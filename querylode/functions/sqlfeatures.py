@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from . import depth
+from . import depth, scopes
 from .text import clean_sql, strip
 
 _LITERAL = r"'[^']*'"
@@ -102,6 +102,22 @@ def columns(clean: Column, table_names: Column, ctes: Column) -> Column:
     return _sorted_set(F.filter(kept, lambda n: ~F.array_contains(sql_words, F.upper(n))))
 
 
+def qualified_columns(clean: Column, ctes: Column, toks: Column | None = None) -> Column:
+    """(table_name, column_name) of the columns written with a qualifier, whose alias is resolved (``scopes``).
+
+    ``table_name`` is null for columns of derived tables, of CTEs and of what the text does not declare.
+    """
+    found = scopes.qualified(tokens(clean) if toks is None else toks)
+    stored = F.transform(
+        found,
+        lambda c: F.struct(
+            F.when(~F.array_contains(ctes, c["table_name"]), c["table_name"]).alias("table_name"),
+            c["column_name"].alias("column_name"),
+        ),
+    )
+    return F.array_sort(F.array_distinct(stored))
+
+
 def joins_raw(clean: Column) -> Column:
     """(left, right, type) of four overlapping patterns on the upper-cased text, pattern by pattern."""
     upper = F.upper(clean)
@@ -180,7 +196,7 @@ def is_date_filter(condition: Column) -> Column:
 
 
 def with_features(extracts, sql_column: str = "sql_query"):
-    """Add query_type, tables, columns, joins, filters, aggregations, functions, subqueries, ctes."""
+    """Add query_type, tables, columns, qualified_columns, joins, filters, aggregations, functions, subqueries, ctes."""
     c, toks = F.col("clean_sql"), F.col("_tokens")
     return (
         extracts.withColumn("clean_sql", F.coalesce(clean_sql(F.col(sql_column)), F.lit("")))
@@ -196,6 +212,7 @@ def with_features(extracts, sql_column: str = "sql_query"):
                 "subqueries": subqueries(c, toks),
             }
         )
+        .withColumn("qualified_columns", qualified_columns(c, F.col("cte_names"), toks))
         .drop("_tokens")
         .withColumn("tables", tables(c, F.col("cte_names")))
         .withColumns(

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 JOIN = "struct<left_table:string,right_table:string,join_type:string>"
+COLUMN = "struct<table_name:string,column_name:string>"
 
 DOCS = (
     "doc_id string, notebook_path string, notebook_type string, cell_index int, "
     "execution_count int, sql_query string, context_before string, context_after string, "
     "business_context string, table_pattern string, query_type string, "
-    f"tables_used array<string>, columns array<string>, joins array<{JOIN}>, "
+    f"tables_used array<string>, columns array<string>, qualified_columns array<{COLUMN}>, joins array<{JOIN}>, "
     "join_names array<string>, filters array<string>, aggregations array<string>, "
     "functions array<string>, date_functions array<string>, subqueries array<string>, "
     "cte_names array<string>, cell_metadata string, embedding array<float>, updated_at timestamp"

@@ -190,3 +190,35 @@ def test_features_of_very_long_texts(spark):
     seconds(10)
     short, long = seconds(5_000), seconds(20_000)
     assert long < 4 and long < 5 * max(short, 0.5)
+
+
+@pytest.mark.parametrize(
+    "sql,expected",
+    [
+        ("SELECT a.x FROM t a WHERE a.y IN (SELECT a.z FROM u a WHERE a.w = b.v)", {("t", "x"), ("t", "y"), ("u", "z"), ("u", "w"), (None, "v")}),
+        ("SELECT p.x FROM (t p JOIN db.u q ON p.i = q.i), v WHERE v.k = u.k", {("t", "x"), ("t", "i"), ("db.u", "i"), ("v", "k"), (None, "k")}),
+        ("SELECT db.u.k, u.m, f(u.n), u.g(1) FROM db.u", {("db.u", "k"), ("db.u", "m"), ("db.u", "n")}),
+        ("SELECT e.c.d, o.p FROM t LATERAL VIEW explode(t.list) e AS c JOIN s o", {(None, "d"), ("t", "list"), ("s", "p")}),
+        ("SELECT j.doc.field FROM t j", {("t", "doc")}),
+        ("SELECT n.k FROM explode(x.y) n JOIN t USING (k) JOIN u r ON r.k = t.k", {(None, "k"), (None, "y"), ("u", "k"), ("t", "k")}),
+        ("UPDATE t SET v = s.v FROM s WHERE t.i = s.i; SELECT t.a FROM z t", {("s", "v"), ("t", "i"), ("s", "i"), ("z", "a")}),
+        ("MERGE INTO t g USING (SELECT h.i FROM h) s ON g.i = s.i", {("h", "i"), ("t", "i"), (None, "i")}),
+        ('SELECT "A b".c FROM t AS "A b" WHERE x = \'q.r\' AND 1.5 > 2', {("t", "c")}),
+        (")) SELECT a.x FROM t a ((", {("t", "x")}),
+        ("SELECT 1", set()),
+        ("", set()),
+        (None, set()),
+    ],
+)
+def test_aliases_belong_to_their_scope(spark, sql, expected):
+    row = sf.with_features(spark.createDataFrame([(sql,)], "sql_query string")).first()
+    assert {tuple(c) for c in row["qualified_columns"]} == expected
+
+
+def test_aliases_of_very_deep_texts(spark):
+    """5,000 scopes inside one another, all of which use an alias of the outermost."""
+    n = 5_000
+    sql = "SELECT o.x FROM t o WHERE " + "".join(f"EXISTS (SELECT o.c{i} FROM u{i} a{i} WHERE a{i}.k = 1 AND " for i in range(n)) + "o.z = 1" + ")" * n
+    df = spark.createDataFrame([(sql,)], "clean string")
+    row = df.select(sf.qualified_columns(F.col("clean"), F.array().cast("array<string>")).alias("c")).first()
+    assert {tuple(c) for c in row["c"]} == {("t", "x"), ("t", "z")} | {("t", f"c{i}") for i in range(n)} | {(f"u{i}", "k") for i in range(n)}
