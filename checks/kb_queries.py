@@ -19,7 +19,7 @@ from querylode.streaming import ingest
 from . import oracle_parts as o
 from .corpus_queries import raw_files
 from .fixture import cells, table
-from .pattern_queries import BP_LINES, _chr, bp_lines, export
+from .pattern_queries import _EVENT_FILTERS, BP_LINES, DATE_WORDS, EXPORT, SCHEMA_LINES, _chr, bp_lines, event_queries, export
 from .registry import ORACLES, register
 from .search_queries import HYBRID, bm25_sql, cited_hits
 
@@ -167,10 +167,10 @@ def kb_chunks(spark, sf_dir):
     )
 
 
-def built(spark, sf_dir):
+def built(spark, sf_dir, chunk_size=None):
     """A knowledge base loaded from the fixture's notebooks."""
-    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
-    bld.build(kb, raw_files(spark, sf_dir, "jupyter"), export(spark, sf_dir), force=True)
+    kb = KnowledgeBase(spark, new_dir(spark, "kb") + "/notebooks")
+    bld.build(kb, raw_files(spark, sf_dir, "jupyter"), export(spark, sf_dir), force=True, chunk_size=chunk_size)
     return kb
 
 
@@ -221,14 +221,63 @@ def _documents(kb):
 
 @register(
     "kb_stats",
-    f"WITH {PARTS} SELECT count(*) AS document_count, 2::BIGINT AS meta_count, 'healthy' AS status, true AS has_bytes FROM pdocs",
+    f"""WITH {PARTS}, {EXPORT}
+SELECT count(*) AS document_count, 2::BIGINT AS meta_count, true AS has_bytes, 'healthy' AS status, 'build' AS source,
+  '{fv.EMBED_MODEL}' AS model, 'notebooks' AS index_name,
+  (SELECT count(DISTINCT database) FROM cat_tables) AS n_databases, (SELECT count(*) FROM cat_tables) AS n_tables FROM pdocs""",
 )
 def kb_stats(spark, sf_dir):
-    return built(spark, sf_dir).stats().select(
-        "document_count", "meta_count", "status", (F.col("index_size") > 0).alias("has_bytes")
+    return built(spark, sf_dir).stats().withColumn("has_bytes", F.col("index_size") > 0).drop("index_size")
+
+
+_USER_NOTEBOOKS = f"""{_EVENT_FILTERS},
+placed AS (SELECT 'ev/' || event_id AS event_path, 'users/' || user_id || '.ipynb' AS notebook_path,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS cell_index FROM events),
+user_dates AS (SELECT p.notebook_path, p.cell_index, f.pos, f.filter FROM found f JOIN placed p ON p.event_path = f.notebook_path
+  WHERE regexp_matches(lower(filter), '{DATE_WORDS}'))"""
+
+
+def _after_three_loads(spark, sf_dir):
+    """A notebook per user, whose cells are the user's events as queries. Half of the users are loaded with other queries
+    at first, which a third load replaces."""
+    queries = event_queries(spark, sf_dir).select("event_id", "user_id", "sql_query")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
+    older = queries.withColumn("sql_query", F.concat(F.lit("SELECT DATE_SUB(d, 1), MAX(x) FROM old_fact WHERE day = "), "user_id"))
+    half = F.pmod(F.xxhash64("user_id"), F.lit(2))
+    for part in (older.filter(half == 0), queries.filter(half == 1), queries.filter(half == 0)):
+        cell = F.to_json(F.struct(F.lit("code").alias("cell_type"), F.col("sql_query").alias("source")))
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("event_id", cell.alias("j")))), lambda c: c["j"])
+        raw = part.groupBy("user_id").agg(F.concat(F.lit('{"cells":['), F.array_join(in_order, ","), F.lit("]}")).alias("value"))
+        bld.build(kb, raw.select(
+            F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit(".ipynb")).alias("notebook_path"),
+            "value", F.lit(None).cast("timestamp").alias("modified"),
+        ))
+    return kb
+
+
+@register("kb_date_filters", f"WITH {_USER_NOTEBOOKS} SELECT notebook_path, cell_index, pos, filter FROM user_dates")
+def kb_date_filters(spark, sf_dir):
+    """The stored date filters after loads that replace others."""
+    return _after_three_loads(spark, sf_dir).date_filters().select(
+        "notebook_path", F.col("cell_index").cast(L).alias("cell_index"), F.col("pos").cast(L).alias("pos"), "filter"
     )
 
 
+@register(
+    "kb_patterns_after_loads",
+    f"""WITH {_USER_NOTEBOOKS},
+body AS (SELECT '3' AS section, 'events_raw' AS key, '- events_raw: COUNT' AS line
+  UNION ALL SELECT DISTINCT '4', filter, '- ' || filter
+  FROM (SELECT * FROM user_dates ORDER BY notebook_path, cell_index, pos LIMIT {fv.RENDERED_DATE_FILTERS}))
+SELECT section, key, line FROM body UNION ALL SELECT DISTINCT section, '',
+  CASE section WHEN '3' THEN {_chr(fv.HEAD_AGGREGATIONS)} ELSE {_chr(fv.HEAD_DATE_FILTERS)} END FROM body""",
+)
+def kb_patterns_after_loads(spark, sf_dir):
+    """The stored pattern description after the same loads."""
+    lines = _after_three_loads(spark, sf_dir).meta_lines(fv.PATTERNS_DOC[0])
+    return lines.select(F.col("ord")[0].alias("section"), F.col("ord")[1].alias("key"), "line")
+
+
 def _write_files(raw, path):
     """One notebook file per row, written by the tasks below a folder they all share."""
 
@@ -436,7 +485,11 @@ def _vector_sql(name, source, ident, text):
 
 
 QUESTION_TEXT = ORACLES["q_search_text"]
-RETRIEVED = f"""{PARTS},
+
+
+def _retrieved(among):
+    """CTEs ending in ``hits``: hybrid search among the documents that meet a condition on doc_id."""
+    return f"""{PARTS},
 adocs AS (SELECT *, {o.embed_text()} AS business_context FROM pdocs),
 {bm25_sql(fv.FIELD_BOOSTS, "adocs")},
 qtext AS ({QUESTION_TEXT}),
@@ -446,17 +499,20 @@ vecs AS (SELECT qid, doc_id, sum(qv.w * dv.w) / any_value(ql.len) / any_value(dl
   FROM qv JOIN dv USING (bucket) JOIN qv_len ql USING (qid) JOIN dv_len dl2 USING (doc_id) GROUP BY qid, doc_id),
 allvecs AS (SELECT q.qid, d.doc_id, coalesce(v.vec_raw, 0) AS vec_raw
   FROM qv_len q CROSS JOIN dv_len d LEFT JOIN vecs v ON v.qid = q.qid AND v.doc_id = d.doc_id),
-vtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(vec_raw, 6) DESC, doc_id) AS vr FROM allvecs)
+vtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(vec_raw, 6) DESC, doc_id) AS vr FROM allvecs WHERE {among})
          WHERE vr <= {fv.ANSWER_SIZE}),
 fused AS (
   SELECT qid, doc_id,
          round({1 - fv.HYBRID_ALPHA} * coalesce(t.text_raw, 0) + {fv.HYBRID_ALPHA} * coalesce(v.vec_raw, 0), 6) AS score
-  FROM txt t FULL JOIN vtop v USING (qid, doc_id)),
+  FROM (SELECT * FROM txt WHERE {among}) t FULL JOIN vtop v USING (qid, doc_id)),
 hits AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused)
   WHERE rank <= {fv.ANSWER_SIZE})"""
 
 
+RETRIEVED = _retrieved("true")
+
+
 def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("qid"), F.col("text").alias("question")
@@ -473,14 +529,62 @@ def kb_retrieve(spark, sf_dir):
     return hits.select("qid", "rank", "doc_id", "score", "sql_query")
 
 
+# The tables that a filtered search asks for, the least score of its hits, and the length of pieces.
+ASKED_TABLES = ["sales_fact", "plan_tbl"]
+LEAST_SCORE = 0.1
+PIECE = 80
+_ALLOWED = f"doc_id IN (SELECT doc_id FROM adocs WHERE list_has_any(tables, {ASKED_TABLES}))"
+
+
+@register(
+    "kb_retrieve_filtered",
+    f"WITH {_retrieved(_ALLOWED)} SELECT qid, rank, doc_id, score FROM hits WHERE score >= {LEAST_SCORE}",
+)
+def kb_retrieve_filtered(spark, sf_dir):
+    """Hybrid search among the documents that use one of two tables, with a least score."""
+    options = {"filters": {"tables_used": ASKED_TABLES}, "threshold": LEAST_SCORE}
+    hits = ans.retrieve(built(spark, sf_dir), ans.embedded(_asked(spark, sf_dir)), **options)
+    return hits.select("qid", "rank", "doc_id", "score")
+
+
+@register(
+    "kb_retrieve_chunks",
+    f"""WITH {PARTS},
+adocs AS (SELECT *, {o.embed_text()} AS business_context FROM pdocs),
+pieces AS (SELECT doc_id || '/' || i AS piece_id, doc_id, substr(business_context, i * {PIECE} + 1, {PIECE}) AS piece
+  FROM (SELECT *, unnest(range(0, CAST(ceil(length(business_context) / {PIECE}.0) AS BIGINT))) AS i FROM adocs)),
+qtext AS ({QUESTION_TEXT}),
+{_vector_sql("dv", "pieces", "piece_id", "piece")},
+{_vector_sql("qv", "qtext", "qid", "search_text")},
+near AS (SELECT qid, piece_id, sum(qv.w * dv.w) / any_value(ql.len) / any_value(pl.len) AS raw
+  FROM qv JOIN dv USING (bucket) JOIN qv_len ql USING (qid) JOIN dv_len pl USING (piece_id) GROUP BY qid, piece_id),
+best AS (SELECT q.qid, p.doc_id, round(max(coalesce(n.raw, 0)), 6) AS score
+  FROM qv_len q CROSS JOIN pieces p JOIN dv_len USING (piece_id) LEFT JOIN near n ON n.qid = q.qid AND n.piece_id = p.piece_id
+  GROUP BY q.qid, p.doc_id)
+SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM best)
+WHERE rank <= {fv.ANSWER_SIZE}""",
+)
+def kb_retrieve_chunks(spark, sf_dir):
+    """Vector search where the best piece of a document counts."""
+    kb = built(spark, sf_dir, chunk_size=PIECE)
+    hits = ans.retrieve(kb, ans.embedded(_asked(spark, sf_dir)), hybrid=False, by_chunks=True)
+    return hits.select("qid", "rank", "doc_id", "score")
+
+
 @register(
     "kb_answer",
-    f"""WITH {RETRIEVED},
+    f"""WITH {RETRIEVED}, {EXPORT}, {SCHEMA_LINES},
+hit_tables AS (SELECT DISTINCT h.qid, lower(unnest(d.tables)) AS wanted FROM hits h JOIN adocs d USING (doc_id)),
+meant AS (SELECT wanted, min(table_key) AS table_key
+  FROM (SELECT DISTINCT wanted FROM hit_tables) JOIN cat_tables ON contains(lower(table_key), wanted) GROUP BY wanted),
+schemas AS (SELECT qid, string_agg(line, chr(10) ORDER BY table_key, section, pos, line) AS schema_context
+  FROM (SELECT DISTINCT qid, table_key FROM hit_tables JOIN meant USING (wanted)) JOIN schema_lines USING (table_key) GROUP BY qid),
 best AS (SELECT h.qid, {_tidy("d.sql_query")} AS sql_query FROM hits h JOIN adocs d USING (doc_id) WHERE h.rank = 1),
 cited AS (SELECT qid, count(*) AS n_citations FROM hits GROUP BY qid),
 answered AS (SELECT *, {_danger("word", "sql_query")} = '{fv.MSG_VALID}' AS is_valid FROM best JOIN cited USING (qid))
-SELECT qid, sql_query, 0.9::DOUBLE AS confidence, 'best example' AS explanation, n_citations, is_valid FROM answered
-UNION ALL SELECT item_id, '', 0.0, '{fv.MSG_NO_HITS}', 0, false FROM benchmark WHERE item_id NOT IN (SELECT qid FROM hits)""",
+SELECT qid, sql_query, 0.9::DOUBLE AS confidence, 'best example' AS explanation, n_citations, is_valid,
+  coalesce(schema_context, '') AS schema_context, true AS timed FROM answered LEFT JOIN schemas USING (qid)
+UNION ALL SELECT item_id, '', 0.0, '{fv.MSG_NO_HITS}', 0, false, '', true FROM benchmark WHERE item_id NOT IN (SELECT qid FROM hits)""",
 )
 def kb_answer(spark, sf_dir):
     kb = built(spark, sf_dir)
@@ -492,4 +596,6 @@ def kb_answer(spark, sf_dir):
         "explanation",
         F.size("citations").cast(L).alias("n_citations"),
         "validation.is_valid",
+        "schema_context",
+        (F.col("execution_time") > 0).alias("timed"),
     )

@@ -97,13 +97,8 @@ found AS (
   UNION ALL SELECT notebook_path, 2, 'yearly = ' || user_id FROM dated)"""
 
 
-@register(
-    "bp_event_date_filters",
-    f"WITH {_EVENT_FILTERS} SELECT notebook_path, 0::BIGINT AS cell_index, pos, filter FROM found "
-    f"WHERE regexp_matches(lower(filter), '{DATE_WORDS}')",
-)
-def bp_event_date_filters(spark, sf_dir):
-    """Every event as a query; every other one uses date functions."""
+def event_queries(spark, sf_dir):
+    """event_id, user_id, sql_query: every event as a query; every other one uses date functions."""
     user = F.col("user_id")
     days = (user % 30).cast("string")
     dated = F.concat(
@@ -116,10 +111,20 @@ def bp_event_date_filters(spark, sf_dir):
         F.lit(" GROUP BY 1"),
     )
     plain = F.concat(F.lit("SELECT COUNT(*) FROM events_raw WHERE ts_time >= "), days)
-    queries = table(spark, sf_dir, "events").select(
+    sql = F.when(F.col("event_id") % 2 == 0, dated).otherwise(plain)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", sql.alias("sql_query"))
+
+
+@register(
+    "bp_event_date_filters",
+    f"WITH {_EVENT_FILTERS} SELECT notebook_path, 0::BIGINT AS cell_index, pos, filter FROM found "
+    f"WHERE regexp_matches(lower(filter), '{DATE_WORDS}')",
+)
+def bp_event_date_filters(spark, sf_dir):
+    queries = event_queries(spark, sf_dir).select(
         F.concat(F.lit("ev/"), F.col("event_id").cast("string")).alias("notebook_path"),
         F.lit(0).cast("long").alias("cell_index"),
-        F.when(F.col("event_id") % 2 == 0, dated).otherwise(plain).alias("sql_query"),
+        "sql_query",
     )
     found = patterns.date_filters(sf.with_features(queries))
     return found.withColumn("pos", F.col("pos").cast("long"))
@@ -127,7 +132,7 @@ def bp_event_date_filters(spark, sf_dir):
 
 def bp_lines(spark, sf_dir):
     """The counts feed three sections, so they are computed once and read back."""
-    return pattern_lines(checkpointed(usage(spark, sf_dir)), features(spark, sf_dir))
+    return pattern_lines(checkpointed(usage(spark, sf_dir)), patterns.date_filters(features(spark, sf_dir)))
 
 
 def _chr(text):
@@ -244,16 +249,16 @@ cat_columns AS (
   FROM keyed)"""
 
 
-@register(
-    "schema_render",
-    rf"""WITH {EXPORT}
+SCHEMA_LINES = f"""schema_lines AS (
 SELECT table_key, 0::BIGINT AS section, 0::BIGINT AS pos, chr(10) || '## Table: ' || table_key AS line FROM cat_tables
 UNION ALL SELECT table_key, 1, 0, 'Description: ' || description FROM cat_tables WHERE description IS NOT NULL
 UNION ALL SELECT table_key, 2, 0, 'Columns:' FROM cat_tables
 UNION ALL SELECT DISTINCT table_key, 4, 0, 'Partition Keys:' FROM cat_columns WHERE is_partition
 UNION ALL SELECT table_key, CASE WHEN is_partition THEN 5 ELSE 3 END, pos,
-  '  - ' || name || ' (' || type || ')' || coalesce(' - ' || comment, '') FROM cat_columns""",
-)
+  '  - ' || name || ' (' || type || ')' || coalesce(' - ' || comment, '') FROM cat_columns)"""
+
+
+@register("schema_render", f"WITH {EXPORT}, {SCHEMA_LINES} SELECT * FROM schema_lines")
 def schema_render(spark, sf_dir):
     tables, columns = export(spark, sf_dir)
     return render.schema_lines(tables, columns).select(

@@ -71,6 +71,8 @@ LONG_LITERAL_MARK = "<LONG_STRING>"
 
 # Fixed value: vector width.
 EMBED_DIM = 1024
+# What statistics call the built-in embedder.
+EMBED_MODEL = f"hashed words, {EMBED_DIM}"
 
 # Searched text fields with their boosts, BM25 and fusion constants.
 FIELD_BOOSTS = {

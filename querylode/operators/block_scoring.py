@@ -37,10 +37,10 @@ class QuestionBlock:
         return self.vectors @ vectors.T
 
 
-def best_documents(batches, block: QuestionBlock, k: int, schema: pa.Schema) -> pa.RecordBatch:
+def best_documents(batches, block: QuestionBlock, k: int, schema: pa.Schema, repeated: bool = False) -> pa.RecordBatch:
     """The task's best ``k`` documents per question: highest rounded score, then smallest id.
 
-    ``batches`` hold doc_id and embedding; the result has the columns of ``schema``: qid, doc_id, vector_score.
+    ``batches`` hold doc_id and embedding; with ``repeated`` a document may have several, of which the best counts. The result has the columns of ``schema``: qid, doc_id, vector_score.
     """
     n_q = len(block.qids)
     bar, kept = np.full(n_q, -np.inf), None
@@ -56,6 +56,11 @@ def best_documents(batches, block: QuestionBlock, k: int, schema: pa.Schema) ->
             new = [q, key[q, d], ids[d], exact[q, d]]
             if kept is not None:
                 new = [np.concatenate(pair) for pair in zip(kept, new)]
+            if repeated:
+                order = np.lexsort((-new[3], new[2], new[0]))
+                new = [a[order] for a in new]
+                other = np.r_[True, (new[0][1:] != new[0][:-1]) | (new[2][1:] != new[2][:-1])][: len(order)]
+                new = [a[other] for a in new]
             order = np.lexsort((new[2], -new[1], new[0]))
             new = [a[order] for a in new]
             q = new[0]

@@ -85,11 +85,11 @@ def business_calculations(features: DataFrame) -> DataFrame:
     )
 
 
-def date_filters(features: DataFrame) -> DataFrame:
-    """Date-like filters of the queries that use a date function."""
+def date_filters(features: DataFrame, *kept: str) -> DataFrame:
+    """Date-like filters of the queries that use a date function, with the ``kept`` columns."""
     return (
         features.filter(F.size("date_functions") > 0)
         # The outer form keeps Spark from testing (and so computing) the array twice.
-        .select("notebook_path", "cell_index", F.posexplode_outer("filters").alias("pos", "filter"))
+        .select(*kept, "notebook_path", "cell_index", F.posexplode_outer("filters").alias("pos", "filter"))
         .filter(F.col("pos").isNotNull() & is_date_filter(F.col("filter")))
     )

@@ -56,8 +56,11 @@ def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     return text_index.postings(docs, fields).filter(F.col("term") != "").select("field", "term", "doc_id", "tf")
 
 
-def _by_vector(docs: DataFrame, questions: DataFrame, size: int) -> DataFrame:
-    """qid, doc_id, vector_score: the best ``size`` documents of every question, and others."""
+def _by_vector(docs: DataFrame, questions: DataFrame, size: int, repeated: bool = False) -> DataFrame:
+    """qid, doc_id, vector_score: the best ``size`` documents of every question, and others.
+
+    With ``repeated`` a document has several rows, of which the best counts.
+    """
     schema = T.StructType(
         [
             T.StructField("qid", questions.schema["qid"].dataType),
@@ -73,7 +76,7 @@ def _by_vector(docs: DataFrame, questions: DataFrame, size: int) -> DataFrame:
 
         # The block travels with the function; Spark broadcasts large functions by itself.
         def score(batches):
-            yield best_documents(batches, block, size, arrow_schema)
+            yield best_documents(batches, block, size, arrow_schema, repeated)
 
         return scored.mapInArrow(score, schema)
 
@@ -82,7 +85,10 @@ def _by_vector(docs: DataFrame, questions: DataFrame, size: int) -> DataFrame:
         rows.append(row.asDict())
         if len(rows) == MAX_QUESTIONS:
             found, rows = against(rows) if found is None else found.unionByName(against(rows)), []
-    return against(rows) if found is None else found.unionByName(against(rows)) if rows else found
+    if found is None or rows:
+        found = against(rows) if found is None else found.unionByName(against(rows))
+    # A document that is among the best by all its rows is so in the task that has its best row.
+    return found.groupBy("qid", "doc_id").agg(F.max("vector_score").alias("vector_score")) if repeated else found
 
 
 def search(
@@ -95,6 +101,7 @@ def search(
     alpha: float = fv.HYBRID_ALPHA,
     index: text_index.TextIndex | None = None,
     normalize: str | None = None,
+    vectors: DataFrame | None = None,
     attach: list[str] | None = None,
 ) -> DataFrame:
     """qid, rank, doc_id, score, text_score, vector_score and the attached document columns.
@@ -104,10 +111,14 @@ def search(
     ``index``: the stored text index of the same documents; without it one is written to the shared folder.
     ``normalize='minmax'``: hybrid search brings the scores of both lists of a question (its best ``size`` by text and by
     vector) to 0 to 1 before their sum; a list of equal scores counts 1, what is in one list alone counts 0 in the other.
+    ``vectors``: doc_id, embedding, any number of rows for each of ``docs``, of which the best counts, instead of their own.
     """
     hybrid = bool(fields) and use_vector
     none = F.lit(None).cast("double")
-    by_vector = best_first(_by_vector(docs, questions, size), "vector_score", size) if use_vector else None
+    by_vector = None
+    if use_vector:
+        near_by = _by_vector(docs if vectors is None else vectors, questions, size, vectors is not None)
+        by_vector = best_first(near_by, "vector_score", size)
     if hybrid:
         by_vector = checkpointed(by_vector)
     if fields:
@@ -168,6 +179,7 @@ def vector_search(
     filters: dict | None = None,
     mode: str = "pre",
     scale: str = "raw",
+    vectors: DataFrame | None = None,
     attach: list[str] | None = None,
 ) -> DataFrame:
     """Nearest documents by cosine.
@@ -178,7 +190,7 @@ def vector_search(
     if mode == "pre" and filters:
         docs = docs.filter(allowed(docs, filters))
     wanted = list(dict.fromkeys((attach or []) + (list(filters) if filters and mode == "post" else [])))
-    hits = search(docs, questions, use_vector=True, size=size, attach=wanted).drop(
+    hits = search(docs, questions, use_vector=True, size=size, vectors=vectors, attach=wanted).drop(
         "text_score", "vector_score"
     )
     if mode == "post" and filters:

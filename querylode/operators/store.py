@@ -79,10 +79,12 @@ class KnowledgeBase:
         return any(r["source"] == source for r in self.commits())
 
     def commit(self, version: int, source: str, documents: int, resets: bool = False,
-               modified=None, described: list[str] | None = None) -> None:
+               modified=None, described: list[str] | None = None, model: str | None = None,
+               chunk_size: int | None = None) -> None:
         """Make load ``version`` visible. ``modified``: when the newest file in it was written;
-        ``described``: the descriptions that it wrote, with or without lines."""
-        values = [(source, resets, documents, modified, described or [])]
+        ``described``: the descriptions that it wrote, with or without lines; ``model``: what made its vectors;
+        ``chunk_size``: the length of the pieces that have vectors of their own, if any."""
+        values = [(source, resets, documents, modified, described or [], model, chunk_size)]
         row = self.spark.createDataFrame(values, tables.COMMITS)
         self._write(row.coalesce(1), "commits", tables.COMMITS, version)
 
@@ -105,14 +107,18 @@ class KnowledgeBase:
 
     def documents(self) -> DataFrame:
         """The current documents, with the ``version`` that wrote them."""
+        return self._current("docs", tables.DOCS)
+
+    def _current(self, name: str, ddl: str) -> DataFrame:
+        """The rows of a table with a doc_id that belong to current documents."""
         versions = [r["version"] for r in self.commits()]
-        docs = self._visible("docs", tables.DOCS, versions)
+        rows = self._visible(name, ddl, versions)
         if len(versions) < 2:
-            return docs
+            return rows
         stale = self._visible("stale", tables.STALE, versions).select(
             "doc_id", F.col("doc_version").alias("version")
         )
-        return docs.join(stale, ["doc_id", "version"], "left_anti")
+        return rows.join(stale, ["doc_id", "version"], "left_anti")
 
     def get(self, doc_id: str) -> DataFrame:
         """The document with this id without its vector, or no row."""
@@ -160,6 +166,35 @@ class KnowledgeBase:
         kept = self.documents().join(gone, ["doc_id", "version"], "left_anti")
         return kept.unionByName(self.written(version))
 
+    # Date filters, and vectors of pieces.
+
+    def write_date_filters(self, version: int) -> None:
+        """Store the date filters of the load's documents."""
+        found = patterns.date_filters(self.written(version), "doc_id")
+        self._write(found, "date_filters", tables.DATE_FILTERS, version)
+
+    def date_filters(self, version: int | None = None, resets: bool = False) -> DataFrame:
+        """doc_id, notebook_path, cell_index, pos, filter of the current documents; with ``version`` as they will be once
+        that load is committed, which ``resets`` the base or not. Reads no documents."""
+        if version is None:
+            return self._current("date_filters", tables.DATE_FILTERS)
+        stored = self._read("date_filters", tables.DATE_FILTERS)
+        fresh = stored.filter(F.col("version") == version)
+        if resets:
+            return fresh
+        stale = self._read("stale", tables.STALE).filter(F.col("version") == version)
+        gone = stale.select("doc_id", F.col("doc_version").alias("version"))
+        kept = self._current("date_filters", tables.DATE_FILTERS).join(gone, ["doc_id", "version"], "left_anti")
+        return kept.unionByName(fresh)
+
+    def write_chunks(self, rows: DataFrame, version: int) -> None:
+        """Store vectors of pieces of the load's documents (doc_id, chunk, embedding)."""
+        self._write(rows, "chunks", tables.CHUNKS, version)
+
+    def chunks(self) -> DataFrame:
+        """doc_id, chunk, embedding of the current documents that were loaded with a ``chunk_size``."""
+        return self._current("chunks", tables.CHUNKS)
+
     def write_counts(self, version: int, fields: list[str]) -> None:
         """Term counts of the load's documents less those of the documents it replaces."""
         removed = term_counts(self.replaced(version), fields)
@@ -190,10 +225,7 @@ class KnowledgeBase:
     def text_index(self) -> text_index.TextIndex:
         """The postings of the current documents. Blocks may still count replaced ones: their bounds hold all the same."""
         versions = [r["version"] for r in self.commits()]
-        found = self._visible("postings", tables.POSTINGS, versions)
-        if len(versions) > 1:
-            stale = self._visible("stale", tables.STALE, versions).select("doc_id", F.col("doc_version").alias("version"))
-            found = found.join(stale, ["doc_id", "version"], "left_anti")
+        found = self._current("postings", tables.POSTINGS)
         blocks = self._visible("posting_blocks", tables.BLOCKS, versions).groupBy("field", "term", "level").agg(
             F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
         )
@@ -207,6 +239,7 @@ class KnowledgeBase:
         self.write_counts(version, list(fv.FIELD_BOOSTS))
         self.write_postings(version, list(fv.FIELD_BOOSTS))
         self.write_usage(usage_of(self.written(version)), usage_of(self.replaced(version)), version)
+        self.write_date_filters(version)
         self.commit(version, source, written)
         return written
 
@@ -269,22 +302,41 @@ class KnowledgeBase:
         return self._visible("schema_context", tables.SCHEMA_CONTEXT)
 
     def stats(self) -> DataFrame:
-        """One row: documents, stored bytes of the visible files, number of stored descriptions."""
-        docs = self.documents().agg(F.count("*").alias("document_count"))
+        """One row about the base: documents, stored bytes, descriptions, catalog, newest load.
+
+        ``n_databases`` and ``n_tables`` count what the stored catalog description describes; ``source`` and ``model`` are
+        those of the newest load with documents; ``status`` is 'healthy' if all rows that the loads report are stored,
+        else 'incomplete'.
+        """
+        commits = self.commits()
+        loads = [r for r in commits if r["documents"]]
+        kept = [r["version"] for r in commits]
+        rows = self._visible("docs", tables.DOCS, kept)
+        stored = rows.agg(F.count("*").alias("n"))
         files = (
-            self._visible("docs", tables.DOCS)
-            .select("_metadata.file_path", "_metadata.file_size")
+            rows.select("_metadata.file_path", "_metadata.file_size")
             .distinct()
             .agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("index_size"))
         )
         described = sum(
             1
             for ident, _ in (fv.SCHEMA_DOC, fv.PATTERNS_DOC)
-            if not self._visible(f"meta_{ident}", tables.META).isEmpty()
+            if not self._visible(f"meta_{ident}", tables.META, kept).isEmpty()
+        )
+        keys = self.meta_lines(fv.SCHEMA_DOC[0]).select(F.col("ord")[0].alias("table_key")).distinct()
+        catalog = keys.agg(
+            F.count_distinct(F.substring_index("table_key", ".", 1)).alias("n_databases"), F.count("*").alias("n_tables")
         )
-        return docs.select(
+        complete = stored.scalar() == sum(r["documents"] for r in commits)
+        newest = loads[-1] if loads else None
+        return self.documents().agg(F.count("*").alias("document_count")).select(
             "document_count",
             files.scalar().alias("index_size"),
             F.lit(described).cast("long").alias("meta_count"),
-            F.lit("healthy").alias("status"),
+            catalog.select("n_databases").scalar().alias("n_databases"),
+            catalog.select("n_tables").scalar().alias("n_tables"),
+            F.lit(newest and newest["source"]).cast("string").alias("source"),
+            F.lit(newest and newest["model"]).cast("string").alias("model"),
+            F.lit(self.root.rsplit("/", 1)[-1]).alias("index_name"),
+            F.when(complete, "healthy").otherwise("incomplete").alias("status"),
         )

@@ -13,7 +13,7 @@ no text is read, and a term that is in every document costs a lookup for each ca
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -49,11 +49,22 @@ def blocks(found: DataFrame) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """``postings``, their ``blocks``, and ``counts`` (field, term, df, total)."""
+    """``postings``, their ``blocks``, and ``counts`` (field, term, df, total); only the documents of ``ids`` are found.
+
+    The weights of words stay those of all documents, as do the bounds of blocks, which hold for fewer documents as well.
+    """
 
     postings: DataFrame
     blocks: DataFrame
     counts: DataFrame
+    ids: DataFrame | None = None
+
+    def among(self, ids: DataFrame) -> TextIndex:
+        """The index restricted to the documents of ``ids`` (doc_id)."""
+        return replace(self, ids=stored(ids.select("doc_id"), "allowed-documents"))
+
+    def allowed(self, found: DataFrame) -> DataFrame:
+        return found if self.ids is None else found.join(self.ids, "doc_id", "left_semi")
 
 
 def write(docs: DataFrame, fields: list[str], path: str | None = None) -> TextIndex:
@@ -114,7 +125,7 @@ def best_by_text(index: TextIndex, questions: DataFrame, boosts: dict[str, float
     seeds = SEEDS * size
     small = W.partitionBy("qid", "field").orderBy(F.desc("bound"), "term", "level").rowsBetween(W.unboundedPreceding, -1)
     first = held.filter(F.col("n") <= seeds).withColumn("_before", F.coalesce(F.sum("n").over(small), F.lit(0))).filter(F.col("_before") < seeds)
-    reached = index.postings.join(first.select("qid", *key, "weight"), key).select("qid", "field", "doc_id", part(F.col("tf"), F.col("dl")).alias("s"))
+    reached = index.allowed(index.postings.join(first.select("qid", *key, "weight"), key)).select("qid", "field", "doc_id", part(F.col("tf"), F.col("dl")).alias("s"))
     reached = reached.groupBy("qid", "doc_id", "field").agg(F.sum("s").alias("s")).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
     place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))
 
@@ -142,7 +153,7 @@ def best_by_text(index: TextIndex, questions: DataFrame, boosts: dict[str, float
     rest = rest.withColumn("all_rest", F.sum("rest").over(all_of))
     held = stored(barred.select("qid", *key, "weight", "names", "bar").join(rest, ["qid", "field", "term"]), "barred-blocks")
     names = held.filter("names").drop("names")
-    met = index.postings.join(names, key).withColumn("s", part(F.col("tf"), F.col("dl")))
+    met = index.allowed(index.postings.join(names, key)).withColumn("s", part(F.col("tf"), F.col("dl")))
     # What a document has so far, and what it has at most.
     hopeful = met.groupBy("qid", "doc_id", "field").agg(
         F.sum("s").alias("s"), (F.sum(F.col("s") - F.col("rest")) + F.first("all_rest")).alias("at_most"), F.first("bar").alias("bar")

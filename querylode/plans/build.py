@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.sqlfeatures import with_features
-from ..functions.text import embedding_text
+from ..functions.text import chunks, embedding_text
 from ..functions.vectors import embed
 from ..operators import patterns, render, schema_match
 from ..operators.store import KnowledgeBase, usage_of
@@ -67,23 +67,35 @@ def load(kb: KnowledgeBase, raw: DataFrame, version: int, embedder=None):
     return parsed.get["n"], found.get["n"], indexed, parsed.get["modified"]
 
 
-def pattern_lines(counts: DataFrame, features: DataFrame) -> DataFrame:
-    """The lines of the pattern description, from usage counts and the features they came from."""
+def chunk_vectors(docs: DataFrame, size: int, embedder=None) -> DataFrame:
+    """doc_id, chunk, embedding: a vector for each piece of ``size`` characters of a document's described text.
+
+    A piece without words has no vector. The pieces of one document are spread over tasks only by its file split: they
+    are made where the document is read.
+    """
+    pieces = docs.select("doc_id", F.posexplode(chunks(F.col("business_context"), size)).alias("chunk", "piece"))
+    vectors = pieces.select("doc_id", "chunk", (embedder or embed)(F.col("piece")).alias("embedding"))
+    return vectors.filter(F.col("embedding").isNotNull())
+
+
+def pattern_lines(counts: DataFrame, dates: DataFrame) -> DataFrame:
+    """The lines of the pattern description, from usage counts and date filters."""
     return render.pattern_lines(
         patterns.relationships(counts),
         patterns.common_filters(counts),
         patterns.common_aggregations(counts),
-        patterns.date_filters(features),
+        dates,
     )
 
 
-def describe(kb: KnowledgeBase, docs: DataFrame, version: int, catalog=None, resets: bool = False) -> int:
-    """Store the pattern and schema descriptions for ``docs``; returns the number of tables.
+def describe(kb: KnowledgeBase, version: int, catalog=None, resets: bool = False) -> int:
+    """Store the pattern and schema descriptions as of load ``version``; returns the number of tables.
 
-    Usage counts change by what the load adds and replaces, whatever the size of the base.
+    Usage counts and date filters change by what the load adds and replaces: of the documents only those are read.
     """
     kb.write_usage(usage_of(kb.written(version)), usage_of(kb.replaced(version)), version)
-    lines = pattern_lines(kb.usage(version, resets), docs.withColumnRenamed("tables_used", "tables"))
+    kb.write_date_filters(version)
+    lines = pattern_lines(kb.usage(version, resets), kb.date_filters(version, resets))
     kb.write_meta(fv.PATTERNS_DOC, lines, ["section", "key"], version)
     if catalog is None:
         return 0
@@ -110,13 +122,18 @@ def describe(kb: KnowledgeBase, docs: DataFrame, version: int, catalog=None, res
 
 
 def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False, embedder=None,
-          source: str = "build", empty: bool = False) -> BuildReport:
+          source: str = "build", empty: bool = False, chunk_size: int | None = None,
+          model: str | None = None) -> BuildReport:
     """Build the base from raw notebook files (``notebooks.read_files``).
 
     ``catalog``: (catalog_tables, catalog_columns). With ``force`` the load replaces everything,
     else the documents of the notebooks it contains. Nothing becomes visible unless something was
     indexed or, with ``empty``, any notebook was read: then its earlier documents go.
+    With ``chunk_size`` every piece of so many characters of a document has a vector as well, for
+    ``answer.retrieve(..., by_chunks=True)``. ``model`` names the embedder in the base's statistics.
     """
+    if chunk_size is not None and chunk_size < 1:
+        raise ValueError(f"chunk_size must be at least 1, not {chunk_size}")
     kb.create()
     version = kb.next_version()
     n_notebooks, n_extracts, indexed, modified = load(kb, raw, version, embedder)
@@ -131,16 +148,17 @@ def build(kb: KnowledgeBase, raw: DataFrame, catalog=None, force: bool = False,
         return report
     if force:
         kb.mark_none_stale(version)
-        current = kb.written(version)
     else:
         kb.mark_stale(version, raw.select("notebook_path"))
-        current = kb.upcoming(version)
     kb.write_counts(version, list(fv.FIELD_BOOSTS))
     kb.write_postings(version, list(fv.FIELD_BOOSTS))
-    report.tables = describe(kb, current, version, catalog, resets=force)
+    if chunk_size is not None:
+        kb.write_chunks(chunk_vectors(kb.written(version), chunk_size, embedder), version)
+    report.tables = describe(kb, version, catalog, resets=force)
     kb.write_files(raw, version)
     described = [fv.PATTERNS_DOC[0], *[fv.SCHEMA_DOC[0]] * (catalog is not None)]
-    kb.commit(version, source, indexed, resets=force, modified=modified, described=described)
+    model = model or (fv.EMBED_MODEL if embedder is None else getattr(embedder, "__name__", "given"))
+    kb.commit(version, source, indexed, force, modified, described, model, chunk_size)
     report.ok, report.message = True, "built" if indexed else "nothing to index"
     return report
 

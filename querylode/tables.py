@@ -26,7 +26,12 @@ META = "id string, document_type string, ord array<string>, line string, updated
 USAGE = "kind string, key string, item string, n bigint"
 SCHEMA_CONTEXT = "doc_id string, schema_context string"
 FILES = "notebook_path string, modified timestamp"
-COMMITS = "source string, resets boolean, documents bigint, modified timestamp, described array<string>"
+COMMITS = (
+    "source string, resets boolean, documents bigint, modified timestamp, described array<string>, model string, "
+    "chunk_size int"
+)
+CHUNKS = "doc_id string, chunk int, embedding array<float>"
+DATE_FILTERS = "doc_id string, notebook_path string, cell_index int, pos int, filter string"
 QUERY_LOG = "asked_at timestamp, question string, sql_query string, confidence double"
 
 

@@ -119,7 +119,7 @@ def test_business_patterns(spark):
     assert [(r["agg"], r["n"]) for r in aggs] == [("SUM", 2), ("COUNT", 1)]
     assert patterns.business_calculations(f).count() == 2
     assert [r["filter"] for r in patterns.date_filters(f).collect()] == ["ferry_fact.date > '2019-08-08'"]
-    lines = pattern_lines(counts, f)
+    lines = pattern_lines(counts, patterns.date_filters(f))
     text = render.as_text(lines, ["section", "key"]).first()[0]
     assert text == (
         "## Common Table Relationships\n- a commonly joined with: b\n"
