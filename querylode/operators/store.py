@@ -313,11 +313,10 @@ class KnowledgeBase:
         kept = [r["version"] for r in commits]
         rows = self._visible("docs", tables.DOCS, kept)
         stored = rows.agg(F.count("*").alias("n"))
-        files = (
-            rows.select("_metadata.file_path", "_metadata.file_size")
-            .distinct()
-            .agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("index_size"))
-        )
+        size = F.lit(0).cast("long")
+        if loads:  # without any, there is no file that could tell its size
+            files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+            size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).scalar()
         described = sum(
             1
             for ident, _ in (fv.SCHEMA_DOC, fv.PATTERNS_DOC)
@@ -331,7 +330,7 @@ class KnowledgeBase:
         newest = loads[-1] if loads else None
         return self.documents().agg(F.count("*").alias("document_count")).select(
             "document_count",
-            files.scalar().alias("index_size"),
+            size.alias("index_size"),
             F.lit(described).cast("long").alias("meta_count"),
             catalog.select("n_databases").scalar().alias("n_databases"),
             catalog.select("n_tables").scalar().alias("n_tables"),

@@ -291,3 +291,88 @@ def test_plans(spark, tmp_path):
     scans = re.findall(r"ReadSchema: struct<([^\n]*)", shown)
     assert scans and all("cell_metadata" not in s and "subqueries" not in s for s in scans)
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,x)]" in plan(kb.get("x"))
+
+
+def test_date_filters_follow_loads(spark, tmp_path):
+    """Date filters are kept per load: the description is that of a full build, and no older document is read for it."""
+    dated = notebook(("code", "SELECT DATE_TRUNC('day', t.d) FROM t WHERE t.day > 1 AND x = 2 AND year = 3"))
+    other = notebook(("code", "SELECT DATE_SUB(d, 1) FROM u WHERE u.day = 4"), ("code", "SELECT 1 FROM u WHERE u.day = 5"))
+    step, whole = (KnowledgeBase(spark, str(tmp_path / n)) for n in ("step", "whole"))
+    build(step, raw(spark, {"d/a.ipynb": dated, "d/b.ipynb": other}))
+    build(step, raw(spark, {"d/a.ipynb": other}))
+    build(step, raw(spark, {"d/b.ipynb": dated, "d/c.ipynb": A}))
+    build(whole, raw(spark, {"d/a.ipynb": other, "d/b.ipynb": dated, "d/c.ipynb": A}))
+
+    def shown(df):
+        return sorted(map(tuple, df.select("notebook_path", "cell_index", "pos", "filter").collect()))
+
+    assert shown(step.date_filters()) == shown(whole.date_filters()) == [
+        ("d/a.ipynb", 0, 0, "u.day = 4"), ("d/b.ipynb", 0, 0, "t.day > 1"), ("d/b.ipynb", 0, 2, "year = 3"),
+    ]
+    lines = [sorted(map(tuple, kb.meta_lines("business_patterns").collect())) for kb in (step, whole)]
+    assert lines[0] == lines[1] and any("u.day = 4" in line for _, line in lines[0])
+    plan = step.date_filters(step.next_version())._jdf.queryExecution().executedPlan().toString()
+    assert "date_filters" in plan and "business_context" not in plan and f"{tmp_path}/step/docs" not in plan
+
+
+def test_pieces_filters_and_threshold(spark, tmp_path):
+    long = notebook(("code", "SELECT a FROM harbours WHERE " + " AND ".join(f"k{i} = {i}" for i in range(200)) + " AND lighthouse = 1"))
+    short = notebook(("code", "SELECT lighthouse, tide FROM coast"))
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    build(kb, raw(spark, {"d/a.ipynb": long, "d/b.ipynb": short, "d/c.ipynb": B}), chunk_size=40)
+    pieces = {r["doc_id"]: r["n"] for r in kb.chunks().groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    texts = {r["doc_id"]: r for r in kb.documents().collect()}
+    assert all(0 < n <= -(-len(texts[d]["business_context"]) // 40) for d, n in pieces.items()) and len(pieces) == 3
+    asked = ans.embedded(spark.createDataFrame([(1, "harbours lighthouse"), (2, "coast tide")], "qid int, question string"))
+
+    # Best piece of every document by brute force.
+    questions = {r["qid"]: r["embedding"] for r in asked.collect()}
+    best = {}
+    for r in kb.chunks().collect():
+        for q, v in questions.items():
+            score = sum(x * y for x, y in zip(v, r["embedding"]))
+            best[q, r["doc_id"]] = max(best.get((q, r["doc_id"]), -1), round(score, 6))
+    got = ans.retrieve(kb, asked, size=2, hybrid=False, by_chunks=True).collect()
+    for q in questions:
+        order = sorted((-s, d) for (p, d), s in best.items() if p == q)[:2]
+        mine = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["qid"] == q)
+        assert [(d, s) for _, d, s in mine] == [(d, pytest.approx(-s, abs=2e-6)) for s, d in order]
+
+    only = {"tables_used": ["coast", "nowhere"]}
+    for options in ({}, {"hybrid": False}, {"by_chunks": True}, {"normalize": "minmax"}):
+        hits = ans.retrieve(kb, asked, filters=only, **options).collect()
+        assert {(r["qid"], r["notebook_path"]) for r in hits} == {(1, "d/b.ipynb"), (2, "d/b.ipynb")}, options
+    hits = ans.retrieve(kb, asked).collect()
+    bar = sorted(r["score"] for r in hits)[len(hits) // 2]
+    above = ans.retrieve(kb, asked, threshold=bar).collect()
+    assert {(r["qid"], r["doc_id"]) for r in above} == {(r["qid"], r["doc_id"]) for r in hits if r["score"] >= bar}
+    assert ans.retrieve(kb, asked, filters={"tables_used": ["nowhere"]}).count() == 0
+    with pytest.raises(ValueError):
+        build(kb, raw(spark, {"d/a.ipynb": short}), chunk_size=0)
+
+    # A replaced document takes its pieces along; one loaded without pieces has no vector by pieces.
+    build(kb, raw(spark, {"d/a.ipynb": short}))
+    assert kb.chunks().select("doc_id").distinct().count() == 2
+    assert kb.documents().count() == 3 and ans.retrieve(kb, asked, hybrid=False, by_chunks=True).filter("qid = 1").count() == 2
+
+
+def test_statistics(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "shelf"))
+    assert tuple(kb.stats().drop("index_size").first()) == (0, 0, 0, 0, None, None, "shelf", "healthy")
+    build(kb, raw(spark, {"d/a.ipynb": A, "d/b.ipynb": B}), described(spark), source="night run")
+    build(kb, raw(spark, {"d/a.ipynb": A2}), model="mine")
+    assert tuple(kb.stats().drop("index_size").first()) == (2, 2, 2, 2, "build", "mine", "shelf", "healthy")
+    lost = kb.next_version()
+    kb.commit(lost, "lost", 3)
+    assert kb.stats().first()["status"] == "incomplete"
+
+
+def test_results_have_schema_and_time(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    build(kb, raw(spark, {"d/a.ipynb": A}), described(spark))
+    asked = spark.createDataFrame([(1, "order totals"), (2, "x")], "qid int, question string")
+    replies = spark.createDataFrame([(1, "SQL Query: ```sql\nSELECT 1\n```")], "qid int, reply string")
+    rows = {r["qid"]: r for r in ans.answer(kb, asked, lambda p: replies, filters={"tables_used": ["orders_fact"]}).collect()}
+    assert rows[1]["schema_context"].startswith("\n## Table: sales.orders_fact\nDescription: All orders\nColumns:\n")
+    assert rows[1]["execution_time"] == rows[2]["execution_time"] > 0
+    assert ans.results(ans.embedded(asked), ans.retrieve(kb, ans.embedded(asked)), replies).first()["execution_time"] == 0
