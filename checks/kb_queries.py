@@ -242,7 +242,7 @@ def _after_three_loads(spark, sf_dir):
     at first, which a third load replaces."""
     queries = event_queries(spark, sf_dir).select("event_id", "user_id", "sql_query")
     kb = KnowledgeBase(spark, new_dir(spark, "kb"))
-    older = queries.withColumn("sql_query", F.concat(F.lit("SELECT DATE_SUB(d, 1), MAX(x) FROM old_fact WHERE day = "), "user_id"))
+    older = queries.withColumn("sql_query", F.concat(F.lit("SELECT DATEADD(day, 1, d), MAX(x) FROM old_fact WHERE day = "), "user_id"))
     half = F.pmod(F.xxhash64("user_id"), F.lit(2))
     for part in (older.filter(half == 0), queries.filter(half == 1), queries.filter(half == 0)):
         cell = F.to_json(F.struct(F.lit("code").alias("cell_type"), F.col("sql_query").alias("source")))

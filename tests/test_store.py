@@ -296,7 +296,7 @@ def test_plans(spark, tmp_path):
 def test_date_filters_follow_loads(spark, tmp_path):
     """Date filters are kept per load: the description is that of a full build, and no older document is read for it."""
     dated = notebook(("code", "SELECT DATE_TRUNC('day', t.d) FROM t WHERE t.day > 1 AND x = 2 AND year = 3"))
-    other = notebook(("code", "SELECT DATE_SUB(d, 1) FROM u WHERE u.day = 4"), ("code", "SELECT 1 FROM u WHERE u.day = 5"))
+    other = notebook(("code", "SELECT DATEADD(day, 1, d) FROM u WHERE u.day = 4"), ("code", "SELECT 1 FROM u WHERE u.day = 5"))
     step, whole = (KnowledgeBase(spark, str(tmp_path / n)) for n in ("step", "whole"))
     build(step, raw(spark, {"d/a.ipynb": dated, "d/b.ipynb": other}))
     build(step, raw(spark, {"d/a.ipynb": other}))
