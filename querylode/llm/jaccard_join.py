@@ -12,11 +12,14 @@ meet in a key, all pairs are candidates. Where more meet, each one with the leas
 whole sketches (first in ``SHORT_BITS`` bits, then in over four bits for each element) are too far apart are dropped: no
 linked sets are. Candidates are compared in three rounds: each class with the earlier one that it shares most keys with;
 then those candidates that the links found so far leave in different components. A class with few crowded keys shares a key
-that isn't crowded with every partner; so the third round is for pairs of classes with many crowded keys, of the same least
-class, that are still in different components: their sketches are compared in blocks of bounded size, and what is near
-enough is verified. No link that would join two components is lost.
-
-Keys travel as packed arrays by hash range of the key; texts of candidates travel to the class that they are compared
+that isn't crowded with every partner; so the third round is for classes with more crowded keys than their slack, by as many
+of them as they have too many, the rarest first (``crowded_prefix``), and that are still in different components. Texts of
+one template that aren't linked differ in shingles that nobody else has: so the shingles of these classes are ranked, the
+rarest first, and pairs that share one of the first are candidates where up to ``GROUP`` classes do (``rare_shingles``).
+Only classes with more partners than that are compared by sketches, in blocks of bounded size. What is near enough is
+verified. No link that would join two components is lost.
+
+Keys travel as packed arrays by hash range of the key, whose number grows with the shingles; texts of candidates travel to the class that they are compared
 to, in chunks. Components are found by rounds of joins.
 
 Defined cases: null and blank texts have an empty set and are linked to nothing; rows that repeat are copies; of rows
@@ -47,6 +50,10 @@ SMALL_SETS = 64
 # Classes of one block in the third round.
 BLOCK = 2_048
 SMALL = 8
+# Classes that may meet pair by pair in a shingle, in the third round.
+GROUP = 32
+# Shingles whose keys share a hash range, on average.
+RANGE = 4_000_000
 CHUNK = 256
 # Word hashes that a task remembers.
 REMEMBERED = 300_000
@@ -232,7 +239,7 @@ def met(docs: DataFrame, bands: Bands, parts: int) -> DataFrame:
                         sets.append(s)
                         own.append(c)
                 keys, owner, second, _ = sketch_keys(sets, bands)
-                part = ((keys >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                 order = np.argsort(part, kind="stable")
                 keys, part = keys[order], part[order]
                 owner, second = owner[order], second[order]
@@ -262,7 +269,7 @@ def met(docs: DataFrame, bands: Bands, parts: int) -> DataFrame:
             yield from _meetings(keys, nodes, part)
 
     packed = docs.select("text").mapInArrow(pack, "part int, keys binary, nodes binary")
-    dealt = packed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    dealt = packed.repartitionById(parts, F.col("part"))  # a task for each range
     return dealt.sortWithinPartitions("part").mapInArrow(unpack, "a bigint, b bigint, times bigint, key bigint, second int")
 
 
@@ -379,6 +386,66 @@ def close(pairs: DataFrame, long: DataFrame, numerator: int, denominator: int) -
     return joined.select("a", "b", "times", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint, times bigint")
 
 
+def crowded_prefix(met_keys: DataFrame, slack: DataFrame) -> DataFrame:
+    """pivot, class: the crowded keys, by their least class, under which a class has to be compared.
+
+    In one order of all keys, those that aren't crowded first, then the rarest, two linked classes share a key among the
+    first ones of each, as many as linked sets may differ in and one more. Where ``c`` of a class's keys are crowded, the
+    first ones have ``c`` less the slack of them, and none if that isn't positive. ``slack``: class, second, slack.
+    """
+    crowded = met_keys.where(F.col("key").isNotNull()).select(F.col("a").alias("pivot"), F.col("b").alias("class"), "key", "second")
+    counts = crowded.groupBy("class", "second").agg(F.count(F.lit(1)).alias("crowded")).join(slack, ["class", "second"])
+    needed = counts.select("class", "second", (F.col("crowded") - F.col("slack")).alias("needed")).where("needed > 0")
+    own = crowded.join(needed, ["class", "second"])
+    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("class", "second").orderBy("size", "key")
+    ranked = own.join(sizes, "key").withColumn("__n", F.row_number().over(order))
+    return ranked.where("__n <= needed").select("pivot", "class").distinct()
+
+
+def rare_shingles(texts: DataFrame, classes_of: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """shingle, class, component: the shingles among which a class shares one with each class that it is linked to.
+
+    ``classes_of``: doc_id, class, component, n of the classes to compare. In order of how many of them have a shingle, two
+    linked classes share one among the first of each, as many as a linked set may lack and one more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for whole in batches:
+            for batch in common.slices(whole, "text"):
+                sets = [shingles(t) for t in common.texts(batch.column("text"))]
+                same = [len(s) > 0 and class_of(s) == c for c, s in zip(batch.column("class").to_pylist(), sets, strict=True)]
+                kept = batch.select(["class", "component", "n"]).filter(pa.array(same, pa.bool_()))
+                lists = [s.view(np.int64) for s, good in zip(sets, same, strict=True) if good]
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lists, pa.list_(pa.int64()))], ["class", "component", "n", "shingles"])
+
+    rows = texts.join(classes_of, "doc_id").select("text", "class", "component", "n")
+    id_type = classes_of.schema["component"].dataType.simpleString()
+    sets = rows.mapInArrow(run, f"class bigint, component {id_type}, n bigint, shingles array<bigint>")
+    each = common.stored(sets.select("class", "component", "n", F.explode("shingles").alias("shingle")), "shingles")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Shingles of one class come first and meet nobody: their number is enough.
+    shared = each.join(often, "shingle")
+    alone = shared.groupBy("class").agg(F.count_distinct("shingle").alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * numerator / denominator) + 1 - (F.col("n") - F.col("shared"))
+    needed = each.select("class", "n").distinct().join(alone, "class").select("class", first.alias("needed")).where("needed > 0")
+    order = Window.partitionBy("class").orderBy("often", "shingle")
+    # Equal ranks: a class of several rows with one doc_id comes more than once.
+    ranked = shared.join(needed, "class").withColumn("__n", F.dense_rank().over(order))
+    return ranked.where("__n <= needed").select("shingle", "class", "component").distinct()
+
+
+def apart_pairs(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b: pairs in different components that share a rare shingle of up to ``GROUP`` classes; class: those with others)."""
+    sizes = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
+    met = rare.join(sizes.where("x <> y").select("shingle", "size"), "shingle")
+    members = met.where(F.col("size") <= GROUP).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("class", "component"))).alias("m"))
+    after = lambda x, i: F.filter(F.slice("m", i + 2, GROUP), lambda y: y["component"] != x["component"])
+    pairs = F.transform("m", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b"))))
+    return members.select(F.inline(F.flatten(pairs))).distinct(), met.where(F.col("size") > GROUP).select("class").distinct()
+
+
 def still_apart(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """a, b: pairs of one pivot's members in different components whose sketches a linked pair can have.
 
@@ -485,15 +552,13 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     )
     reps = common.stored(reps, "class-documents")
     ids = reps.select("class", "doc_id")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = reps.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // RANGE))
     met_keys = common.stored(met(docs.where(F.col("doc_id").isNotNull()), bands, parts), "met")
     candidates = met_keys.where("a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"))
     candidates = common.stored(possible(candidates, reps, numerator, denominator), "candidates")
-    # Classes with more crowded keys than they can do without.
-    crowded = met_keys.where(F.col("key").isNotNull()).select(F.col("a").alias("pivot"), F.col("b").alias("class"), "second")
     slack = reps.select("class", F.posexplode(F.array("slack0", "slack1")).alias("second", "slack"))
-    dense = crowded.groupBy("class", "second").count().join(slack, ["class", "second"]).where(F.col("count") > F.col("slack"))
-    dense = common.stored(crowded.join(dense.select("class", "second"), ["class", "second"]).select("pivot", "class").distinct(), "dense")
+    dense = common.stored(crowded_prefix(met_keys, slack), "dense")
     # The texts of candidates, once.
     named = candidates.select(F.explode(F.array("a", "b")).alias("class")).union(dense.select("class")).distinct()
     texts = common.stored(docs.join(named.join(ids, "class").select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
@@ -525,11 +590,17 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
         found = components(links)
     held = dense.join(component_of(found), "class", "left").withColumn("component", F.coalesce("component", F.col("class")))
     apart = held.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot")
-    members = held.join(apart, "pivot").join(long, "class")
-    rest = still_apart(members, numerator, denominator).join(candidates, ["a", "b"], "left_anti")
-    rest = common.stored(rest, "third-round")
-    if not rest.isEmpty():
-        found = components(links.union(linked(rest, texts)))
+    members = common.stored(held.join(apart, "pivot"), "members")
+    if not members.isEmpty():
+        compared = members.select("class", "component").distinct().join(reps.select("class", "doc_id", "n"), "class")
+        rare = common.stored(rare_shingles(texts, compared, numerator, denominator), "rare")
+        pairs, crowds = apart_pairs(rare)
+        near = close(pairs.withColumn("times", F.lit(1).cast("bigint")), long, numerator, denominator).select("a", "b")
+        blocks = still_apart(members.join(crowds, "class", "left_semi").join(long, "class"), numerator, denominator)
+        rest = near.union(blocks).distinct().join(candidates, ["a", "b"], "left_anti")
+        rest = common.stored(rest, "third-round")
+        if not rest.isEmpty():
+            found = components(links.union(linked(rest, texts)))
     of_class = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         F.col("class").alias("__class"), F.coalesce("component", "doc_id").alias("component")
     )

@@ -260,6 +260,43 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert got == plain_components(docs.collect())
 
 
+def from_template(n, seed=4, words=400, share=0.08):
+    """Texts of one template that have too many words of their own to be linked, and close copies of some of them."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    template, texts = [word() for _ in range(words)], []
+    for i in range(n):
+        text = [word() if rnd.random() < share else w for w in template]
+        texts.append(" ".join(text))
+        if i % 7 == 0:
+            text[rnd.randrange(words)] = word()
+            texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("block, group", [(2_048, 32), (5, 1)])
+def test_texts_of_one_template(spark, block, group, monkeypatch):
+    """Texts of a template that aren't linked meet nowhere; where all must be compared, blocks find the same links."""
+    met, rare = [], jaccard_join.rare_shingles
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "RANGE", 3_000)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+
+    def counted(*arguments):
+        rows = rare(*arguments)
+        met.append(rows.groupBy("shingle").count().where("count > 1").count())
+        return rows
+
+    monkeypatch.setattr(jaccard_join, "rare_shingles", counted)
+    if group > 1:  # some of the links are left to the third round
+        monkeypatch.setattr(jaccard_join, "possible", lambda pairs, *_: pairs.select("a", "b", "times").where("a % 3 = 0"))
+    docs = spark.createDataFrame(list(enumerate(from_template(60))), "doc_id bigint, text string")
+    got = Counter(map(tuple, jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == plain_components(docs.collect())
+    assert len({c for _, _, c in got}) > 50 and met
+
+
 def test_sketches_bound_the_difference():
     rnd, bands = np.random.default_rng(5), jaccard_join.Bands()
     edges = bands.edges(5000)
