@@ -12,8 +12,7 @@ meet in a key, all pairs are candidates. Where more meet, each one with the leas
 whole sketches (first in ``SHORT_BITS`` bits, then in over four bits for each element) are too far apart are dropped: no
 linked sets are. Candidates are compared in three rounds: each class with the earlier one that it shares most keys with;
 then those candidates that the links found so far leave in different components. A class with few crowded keys shares a key
-that isn't crowded with every partner; so the third round is for classes with more crowded keys than their slack, by as many
-of them as they have too many, the rarest first (``crowded_prefix``), and that are still in different components. Texts of
+that isn't crowded with every partner; so the third round is for classes with many crowded keys that meet others of different components. Texts of
 one template that aren't linked differ in shingles that nobody else has: so the shingles of these classes are ranked, the
 rarest first, and pairs that share one of the first are candidates where up to ``GROUP`` classes do (``rare_shingles``).
 Only classes with more partners than that are compared by sketches, in blocks of bounded size. What is near enough is
@@ -35,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylode.llm import common
@@ -339,14 +338,19 @@ def _meetings(keys: list[bytes], nodes: list[bytes], part: int) -> Iterator[pa.R
         )
 
 
+def near_sketches(x: Column, y: Column, total: Column, numerator: int, denominator: int) -> Column:
+    """Whether two short sketches can be of linked sets that have ``total`` elements together."""
+    bits = F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    differ = F.aggregate(bits, F.lit(0), lambda so_far, b: so_far + b)
+    return (denominator + numerator) * differ <= (denominator - numerator) * total
+
+
 def possible(pairs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs whose sizes and short sketches a linked pair can have."""
     of = lambda x: reps.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    bits = F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-    near = (denominator + numerator) * differ <= (denominator - numerator) * (F.col("n_a") + F.col("n_b"))
+    near = near_sketches(F.col("s_a"), F.col("s_b"), F.col("n_a") + F.col("n_b"), numerator, denominator)
     return joined.where((denominator * least >= numerator * most) & near).drop("n_a", "n_b", "s_a", "s_b")
 
 
@@ -386,23 +390,6 @@ def close(pairs: DataFrame, long: DataFrame, numerator: int, denominator: int) -
     return joined.select("a", "b", "times", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint, times bigint")
 
 
-def crowded_prefix(met_keys: DataFrame, slack: DataFrame) -> DataFrame:
-    """pivot, class: the crowded keys, by their least class, under which a class has to be compared.
-
-    In one order of all keys, those that aren't crowded first, then the rarest, two linked classes share a key among the
-    first ones of each, as many as linked sets may differ in and one more. Where ``c`` of a class's keys are crowded, the
-    first ones have ``c`` less the slack of them, and none if that isn't positive. ``slack``: class, second, slack.
-    """
-    crowded = met_keys.where(F.col("key").isNotNull()).select(F.col("a").alias("pivot"), F.col("b").alias("class"), "key", "second")
-    counts = crowded.groupBy("class", "second").agg(F.count(F.lit(1)).alias("crowded")).join(slack, ["class", "second"])
-    needed = counts.select("class", "second", (F.col("crowded") - F.col("slack")).alias("needed")).where("needed > 0")
-    own = crowded.join(needed, ["class", "second"])
-    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy("class", "second").orderBy("size", "key")
-    ranked = own.join(sizes, "key").withColumn("__n", F.row_number().over(order))
-    return ranked.where("__n <= needed").select("pivot", "class").distinct()
-
-
 def rare_shingles(texts: DataFrame, classes_of: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """shingle, class, component: the shingles among which a class shares one with each class that it is linked to.
 
@@ -436,12 +423,20 @@ def rare_shingles(texts: DataFrame, classes_of: DataFrame, numerator: int, denom
     return ranked.where("__n <= needed").select("shingle", "class", "component").distinct()
 
 
-def apart_pairs(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b: pairs in different components that share a rare shingle of up to ``GROUP`` classes; class: those with others)."""
+def apart_pairs(rare: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b: pairs in different components, whose sizes and short sketches a linked pair can have, that share a rare
+    shingle of up to ``GROUP`` classes; class: those with a shingle of more)."""
     sizes = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
     met = rare.join(sizes.where("x <> y").select("shingle", "size"), "shingle")
-    members = met.where(F.col("size") <= GROUP).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("class", "component"))).alias("m"))
-    after = lambda x, i: F.filter(F.slice("m", i + 2, GROUP), lambda y: y["component"] != x["component"])
+    few = met.where(F.col("size") <= GROUP).join(reps.select("class", "n", "sketch"), "class")
+    members = few.groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("class", "component", "n", "sketch"))).alias("m"))
+
+    def can_link(x, y):
+        least, most = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+        apart = (x["component"] != y["component"]) & (denominator * least >= numerator * most)
+        return apart & near_sketches(x["sketch"], y["sketch"], x["n"] + y["n"], numerator, denominator)
+
+    after = lambda x, i: F.filter(F.slice("m", i + 2, GROUP), lambda y: can_link(x, y))
     pairs = F.transform("m", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b"))))
     return members.select(F.inline(F.flatten(pairs))).distinct(), met.where(F.col("size") > GROUP).select("class").distinct()
 
@@ -557,8 +552,11 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     met_keys = common.stored(met(docs.where(F.col("doc_id").isNotNull()), bands, parts), "met")
     candidates = met_keys.where("a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"))
     candidates = common.stored(possible(candidates, reps, numerator, denominator), "candidates")
+    # Classes with more crowded keys than they can do without.
+    crowded = met_keys.where(F.col("key").isNotNull()).select(F.col("a").alias("pivot"), F.col("b").alias("class"), "second")
     slack = reps.select("class", F.posexplode(F.array("slack0", "slack1")).alias("second", "slack"))
-    dense = common.stored(crowded_prefix(met_keys, slack), "dense")
+    dense = crowded.groupBy("class", "second").count().join(slack, ["class", "second"]).where(F.col("count") > F.col("slack"))
+    dense = common.stored(crowded.join(dense.select("class", "second"), ["class", "second"]).select("pivot", "class").distinct(), "dense")
     # The texts of candidates, once.
     named = candidates.select(F.explode(F.array("a", "b")).alias("class")).union(dense.select("class")).distinct()
     texts = common.stored(docs.join(named.join(ids, "class").select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
@@ -594,7 +592,7 @@ def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR, denominator: in
     if not members.isEmpty():
         compared = members.select("class", "component").distinct().join(reps.select("class", "doc_id", "n"), "class")
         rare = common.stored(rare_shingles(texts, compared, numerator, denominator), "rare")
-        pairs, crowds = apart_pairs(rare)
+        pairs, crowds = apart_pairs(rare, reps, numerator, denominator)
         near = close(pairs.withColumn("times", F.lit(1).cast("bigint")), long, numerator, denominator).select("a", "b")
         blocks = still_apart(members.join(crowds, "class", "left_semi").join(long, "class"), numerator, denominator)
         rest = near.union(blocks).distinct().join(candidates, ["a", "b"], "left_anti")
