@@ -74,6 +74,69 @@ def kb_upsert(spark, sf_dir):
     )
 
 
+@register(
+    "kb_upsert_unchanged",
+    """SELECT doc_id, CASE WHEN edited THEN 2 ELSE 1 END::BIGINT AS load,
+  CASE WHEN edited THEN source || '/edited' ELSE source END AS source, n_chars
+FROM (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS edited FROM documents)""",
+)
+def kb_upsert_unchanged(spark, sf_dir):
+    """All documents come twice, some of them edited: the second load writes only these."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit("/edited").alias("edit")).distinct()
+    again = docs.join(labels, "doc_id", "left").withColumn("source", F.concat("source", F.coalesce("edit", F.lit(""))))
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
+    for load in (docs, again):
+        kb.index(
+            _as_documents(
+                load,
+                doc_id=F.col("doc_id").cast("string"),
+                notebook_path=F.col("source"),
+                cell_index=F.col("n_chars").cast("int"),
+            ),
+            skip_unchanged=True,
+        )
+    first = kb.commits()[0]["version"]
+    return kb.documents().select(
+        F.col("doc_id").cast(L).alias("doc_id"),
+        F.when(F.col("version") == first, 1).otherwise(2).cast(L).alias("load"),
+        F.col("notebook_path").alias("source"),
+        F.col("cell_index").cast(L).alias("n_chars"),
+    )
+
+
+@register(
+    "kb_compact",
+    """SELECT d.doc_id, CASE WHEN b.doc_id IS NOT NULL THEN 'benchmark' WHEN l.doc_id IS NOT NULL THEN source || '/edited'
+  ELSE source END AS source, (SELECT count(*) FROM benchmark) AS newest_load
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+LEFT JOIN (SELECT item_id AS doc_id FROM benchmark) b USING (doc_id)
+UNION ALL SELECT item_id, 'benchmark', (SELECT count(*) FROM benchmark) FROM benchmark
+WHERE item_id NOT IN (SELECT doc_id FROM documents)""",
+)
+def kb_compact(spark, sf_dir):
+    """Two loads, a compaction, and a third load that replaces documents of the compacted base."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    edits = docs.join(labels, "doc_id", "left_semi").withColumn("source", F.concat("source", F.lit("/edited")))
+    third = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("benchmark").alias("source"))
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"))
+
+    def index(load):
+        kb.index(_as_documents(load, doc_id=F.col("doc_id").cast("string"), notebook_path=F.col("source")))
+
+    index(docs)
+    index(edits)
+    kb.compact()
+    index(third)
+    newest = kb.commits()[1]["documents"]
+    return kb.documents().select(
+        F.col("doc_id").cast(L).alias("doc_id"),
+        F.col("notebook_path").alias("source"),
+        F.lit(newest).cast(L).alias("newest_load"),
+    )
+
+
 def _as_documents(df, **columns):
     """Rows as documents of a knowledge base; other fields are null."""
     fields = tables.schema(tables.DOCS).fields

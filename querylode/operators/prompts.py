@@ -45,7 +45,7 @@ def rag_context(
 ) -> DataFrame:
     """qid, rag_context: schema, patterns and examples of each question.
 
-    The two texts are the same for all questions: pass literals or scalar subqueries.
+    The two texts are columns of ``examples``, or, where all questions have the same, literals or scalar subqueries.
     """
 
     def headed(heading, text):

@@ -1,7 +1,7 @@
 """Rendered descriptions of the catalog and of the mined patterns.
 
-A description is a table of lines with a sort key, however large it is. A prompt gets the schema lines of the tables
-that its own hits use (``schema_of``); ``as_text`` makes one string of the pattern lines.
+A description is a table of lines with a sort key, however large it is. A prompt gets the lines of the tables that its
+own hits use (``schema_of``, ``patterns_of``); ``as_text`` makes one string of few lines.
 """
 
 from __future__ import annotations
@@ -142,6 +142,27 @@ def schema_of(hits: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def patterns_of(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """qid, patterns_text: the pattern lines of the tables that a question's hits use, and the date filters.
+
+    ``hits``: qid, tables_used. ``lines``: ord (section, key) and line of the stored description. A section without such
+    lines has no heading. The date filters belong to no table; there are at most ``RENDERED_DATE_FILTERS``.
+    """
+    keyed = lines.select(F.col("ord")[0].cast("int").alias("section"), F.col("ord")[1].alias("key"), "line")
+    of_tables, dated = keyed.filter("section < 4"), keyed.filter("section = 4")
+    used = hits.select("qid", F.explode("tables_used").alias("key")).distinct()
+    own = used.filter("key <> ''").join(of_tables, "key").select("qid", "section", "key", "line")
+    heads = own.select("qid", "section").distinct().join(of_tables.filter("key = ''"), "section")
+    ordered = F.sort_array(F.collect_list(F.struct("section", "key", "line")))
+    texts = own.unionByName(heads).groupBy("qid").agg(
+        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("of_tables")
+    )
+    dates = as_text(dated, ["key"]).scalar()
+    both = F.concat_ws("\n", "of_tables", F.when(F.length("dates") > 0, F.col("dates")))
+    asked = hits.select("qid").distinct().join(texts, "qid", "left").withColumn("dates", dates)
+    return asked.select("qid", both.alias("patterns_text"))
+
+
 def as_text(lines: DataFrame, order: list[str]) -> DataFrame:
     """One row ``content`` with all lines in order."""
     keyed = F.sort_array(F.collect_list(F.struct(*order, "line")))

@@ -3,7 +3,8 @@
 Every load writes its own ``version=n`` folder of each table and becomes visible by a last, tiny
 write to ``commits``. A load that died half-way is invisible and is overwritten by its repetition.
 Documents replaced by a load are listed in ``stale`` and are left out when reading, so nothing that
-may be in use is ever rewritten. A load that resets the base hides all older versions.
+may be in use is ever rewritten. A load that resets the base hides all older versions; so does a compaction, which
+writes the current rows of all tables once more.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import random
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
 
 
+def digest(columns: list[str], made_by: str) -> Column:
+    """A digest of the named columns of a document and of what made the rest of it."""
+    return F.sha2(F.to_json(F.struct(F.lit(made_by).alias("made_by"), *columns)), 256)
+
+
+def all_columns() -> list[str]:
+    """What tells two documents apart that are stored as they come."""
+    return [f.name for f in tables.schema(tables.DOCS).fields if f.name != "updated_at"]
+
+
 def usage_of(docs: DataFrame) -> DataFrame:
     """The usage counts of stored documents."""
     return patterns.usage_counts(docs.withColumnRenamed("tables_used", "tables"))
@@ -59,12 +70,17 @@ class KnowledgeBase:
             f"{self.root}/{name}/version={version}"
         )
 
-    def commits(self) -> list:
-        """Committed loads by version, from the last reset on; one row per load."""
+    def _since_reset(self) -> list:
         rows = sorted(self._read("commits", tables.COMMITS).collect(), key=lambda r: r["version"])
         last_reset = max((r["version"] for r in rows if r["resets"]), default=0)
         return [r for r in rows if r["version"] >= last_reset]
 
+    def commits(self) -> list:
+        """Committed loads by version, from the last reset or compaction on; one row per load."""
+        rows = self._since_reset()
+        start = max((r["version"] for r in rows if r["compacts"]), default=0)
+        return [r for r in rows if r["version"] >= start]
+
     def next_version(self) -> int:
         """A number that no other load takes, above all committed ones: its start in microseconds, and chance."""
         newest = self._read("commits", tables.COMMITS).agg(F.max("version")).first()[0] or 0
@@ -76,15 +92,16 @@ class KnowledgeBase:
         return self._read(name, ddl).filter(F.col("version").isin(versions))
 
     def is_committed(self, source: str) -> bool:
-        return any(r["source"] == source for r in self.commits())
+        return any(r["source"] == source for r in self._since_reset())
 
     def commit(self, version: int, source: str, documents: int, resets: bool = False,
                modified=None, described: list[str] | None = None, model: str | None = None,
-               chunk_size: int | None = None) -> None:
+               chunk_size: int | None = None, compacts: bool = False) -> None:
         """Make load ``version`` visible. ``modified``: when the newest file in it was written;
         ``described``: the descriptions that it wrote, with or without lines; ``model``: what made its vectors;
-        ``chunk_size``: the length of the pieces that have vectors of their own, if any."""
-        values = [(source, resets, documents, modified, described or [], model, chunk_size)]
+        ``chunk_size``: the length of the pieces that have vectors of their own, if any; ``compacts``: it holds all
+        that was current, and takes the place of the loads before it."""
+        values = [(source, resets, documents, modified, described or [], model, chunk_size, compacts)]
         row = self.spark.createDataFrame(values, tables.COMMITS)
         self._write(row.coalesce(1), "commits", tables.COMMITS, version)
 
@@ -103,6 +120,38 @@ class KnowledgeBase:
         if self.exists():
             self.commit(self.next_version(), "drop", 0, resets=True)
 
+    def compact(self) -> None:
+        """Write the current rows of all tables as one load that takes the place of those before it.
+
+        Sources stay known, so no stream applies a batch twice. Not to be run beside a load, which it would hide.
+        """
+        commits = self.commits()
+        if len(commits) < 2:
+            return
+        version, docs = self.next_version(), self.documents()
+        context = self.schema_context().join(docs.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+        by_term = self._current("postings", tables.POSTINGS).repartitionByRange("field", "term", "level", "doc_id")
+        for name, rows, ddl in (
+            ("digests", self.digests(), tables.DIGESTS),
+            ("date_filters", self.date_filters(), tables.DATE_FILTERS),
+            ("chunks", self.chunks(), tables.CHUNKS),
+            ("term_counts", self.counts(), tables.COUNTS),
+            ("usage", self.usage(), tables.USAGE),
+            ("files", self.files(), tables.FILES),
+            ("schema_context", context, tables.SCHEMA_CONTEXT),
+            ("postings", by_term.sortWithinPartitions("field", "term", "level"), tables.POSTINGS),
+        ):
+            self._write(rows, name, ddl, version)
+        written = self._read("postings", tables.POSTINGS).filter(F.col("version") == version)
+        self._write(text_index.blocks(written), "posting_blocks", tables.BLOCKS, version)
+        described = sorted({ident for r in commits for ident in r["described"] or []})
+        for ident in described:
+            self._write(self._meta(ident), f"meta_{ident}", tables.META, version)
+        n = self.write_documents(docs, version)
+        newest = next((r for r in reversed(commits) if r["documents"]), commits[-1])
+        modified = max((r["modified"] for r in commits if r["modified"]), default=None)
+        self.commit(version, newest["source"], n, False, modified, described, newest["model"], newest["chunk_size"], True)
+
     # Documents.
 
     def documents(self) -> DataFrame:
@@ -138,11 +187,25 @@ class KnowledgeBase:
         """The documents that one load wrote, committed or not."""
         return self._read("docs", tables.DOCS).filter(F.col("version") == version)
 
-    def mark_stale(self, version: int, notebooks: DataFrame | None = None) -> None:
+    def write_digests(self, version: int, columns: list[str], made_by: str) -> None:
+        """Store a digest of each of the load's documents."""
+        rows = self.written(version).select("doc_id", digest(columns, made_by).alias("digest"))
+        self._write(rows, "digests", tables.DIGESTS, version)
+
+    def digests(self) -> DataFrame:
+        """doc_id, digest, version of the current documents."""
+        return self._current("digests", tables.DIGESTS)
+
+    def compared(self, docs: DataFrame, columns: list[str], made_by: str, how: str) -> DataFrame:
+        """The rows of ``docs`` that are stored as they are (``how`` 'left_semi'), or that aren't ('left_anti')."""
+        known = self.digests().select("doc_id", F.col("digest").alias("__digest"))
+        return docs.withColumn("__digest", digest(columns, made_by)).join(known, ["doc_id", "__digest"], how).drop("__digest")
+
+    def mark_stale(self, version: int, notebooks: DataFrame | None = None, kept: DataFrame | None = None) -> None:
         """List the current documents that load ``version`` replaces.
 
-        These are the older documents of the given notebooks, or, without ``notebooks``, those with
-        the same ids.
+        These are the older documents of the given notebooks but for those with an id in ``kept``, or, without
+        ``notebooks``, those with the ids that the load wrote.
         """
         old = self.documents().select("doc_id", "version", "notebook_path")
         if notebooks is None:
@@ -151,6 +214,8 @@ class KnowledgeBase:
         else:
             named = notebooks.select("notebook_path").distinct()
             replaced = old.join(named, "notebook_path", "left_semi")
+            if kept is not None:
+                replaced = replaced.join(kept, "doc_id", "left_anti")
         rows = replaced.select("doc_id", F.col("version").alias("doc_version"))
         self._write(rows, "stale", tables.STALE, version)
 
@@ -231,15 +296,21 @@ class KnowledgeBase:
         )
         return text_index.TextIndex(found.drop("version"), blocks, self.counts())
 
-    def index(self, docs: DataFrame, source: str = "index") -> int:
-        """Insert or replace documents by id; returns how many were written."""
+    def index(self, docs: DataFrame, source: str = "index", skip_unchanged: bool = False) -> int:
+        """Insert or replace documents by id; returns how many were written.
+
+        With ``skip_unchanged`` documents that are stored as they are, but for ``updated_at``, aren't written again.
+        """
         version = self.next_version()
+        if skip_unchanged:
+            docs = self.compared(tables.conform(docs, tables.DOCS), all_columns(), "index", "left_anti")
         written = self.write_documents(docs, version)
         self.mark_stale(version)
         self.write_counts(version, list(fv.FIELD_BOOSTS))
         self.write_postings(version, list(fv.FIELD_BOOSTS))
         self.write_usage(usage_of(self.written(version)), usage_of(self.replaced(version)), version)
         self.write_date_filters(version)
+        self.write_digests(version, all_columns(), "index")
         self.commit(version, source, written)
         return written
 
@@ -259,10 +330,13 @@ class KnowledgeBase:
 
     def meta_lines(self, ident: str) -> DataFrame:
         """ord, line of the newest stored description, which may be empty."""
+        return self._meta(ident).select("ord", "line")
+
+    def _meta(self, ident: str) -> DataFrame:
         wrote = [r["version"] for r in self.commits() if ident in (r["described"] or [])]
         newest = F.lit(max(wrote, default=None)).cast("long")
         rows = self._read(f"meta_{ident}", tables.META)
-        return rows.filter(F.col("version") == newest).select("ord", "line")
+        return rows.filter(F.col("version") == newest)
 
     def replaced(self, version: int) -> DataFrame:
         """The documents that load ``version`` replaces."""
@@ -301,6 +375,18 @@ class KnowledgeBase:
         """doc_id, version, schema_context of the documents whose tables are in the catalog."""
         return self._visible("schema_context", tables.SCHEMA_CONTEXT)
 
+    def log(self, answers: DataFrame) -> None:
+        """Add answered questions (question, sql_query, confidence) to the query log, with the time of this call.
+
+        The log is no part of the index: neither a reset nor a compaction touches it.
+        """
+        rows = answers.withColumn("asked_at", F.current_timestamp())
+        tables.conform(rows, tables.QUERY_LOG).write.mode("append").parquet(f"{self.root}/query_log")
+
+    def query_log(self) -> DataFrame:
+        """asked_at, question, sql_query, confidence of all that was logged."""
+        return self._read("query_log", tables.QUERY_LOG).drop("version")
+
     def stats(self) -> DataFrame:
         """One row about the base: documents, stored bytes, descriptions, catalog, newest load.
 

@@ -60,9 +60,9 @@ def schemas_for(kb: KnowledgeBase, hits: DataFrame) -> DataFrame:
 def prompts_for(kb: KnowledgeBase, questions: DataFrame, hits: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """qid, question, system_prompt, prompt for every question with hits."""
     schemas = schemas_for(kb, hits) if schemas is None else schemas
-    found = prompts.examples(hits).join(schemas, "qid", "left")
-    patterns = render.as_text(kb.meta_lines(fv.PATTERNS_DOC[0]), ["ord"]).scalar()
-    context = prompts.rag_context(found, F.col("schema_text"), patterns)
+    patterns = render.patterns_of(hits, kb.meta_lines(fv.PATTERNS_DOC[0]))
+    found = prompts.examples(hits).join(schemas, "qid", "left").join(patterns, "qid", "left")
+    context = prompts.rag_context(found, F.col("schema_text"), F.col("patterns_text"))
     return questions.select("qid", "question").join(context, "qid").select(
         "qid",
         "question",

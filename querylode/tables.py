@@ -28,10 +28,16 @@ SCHEMA_CONTEXT = "doc_id string, schema_context string"
 FILES = "notebook_path string, modified timestamp"
 COMMITS = (
     "source string, resets boolean, documents bigint, modified timestamp, described array<string>, model string, "
-    "chunk_size int"
+    "chunk_size int, compacts boolean"
 )
 CHUNKS = "doc_id string, chunk int, embedding array<float>"
 DATE_FILTERS = "doc_id string, notebook_path string, cell_index int, pos int, filter string"
+DIGESTS = "doc_id string, digest string"
+# What a document is made of when it comes from a notebook; all else follows from it.
+CONTENT = [
+    "notebook_path", "notebook_type", "cell_index", "execution_count", "sql_query", "context_before", "context_after",
+    "cell_metadata",
+]
 QUERY_LOG = "asked_at timestamp, question string, sql_query string, confidence double"
 
 

@@ -376,3 +376,98 @@ def test_results_have_schema_and_time(spark, tmp_path):
     assert rows[1]["schema_context"].startswith("\n## Table: sales.orders_fact\nDescription: All orders\nColumns:\n")
     assert rows[1]["execution_time"] == rows[2]["execution_time"] > 0
     assert ans.results(ans.embedded(asked), ans.retrieve(kb, ans.embedded(asked)), replies).first()["execution_time"] == 0
+
+
+def test_unchanged_cells_stay(spark, tmp_path):
+    """Cells that are as they were are neither embedded nor written; the base is that of a full build."""
+    longer = notebook(("code", "SELECT 7 FROM users_dim"), ("code", "SELECT 8 FROM ports"), ("code", "SELECT 9 FROM ports"))
+    edited = notebook(("code", "SELECT 7 FROM users_dim"), ("code", "SELECT 88 FROM ports"))
+    step, whole = (KnowledgeBase(spark, str(tmp_path / n)) for n in ("step", "whole"))
+    build(step, raw(spark, {"d/a.ipynb": A, "d/b.ipynb": longer}))
+    first = step.commits()[-1]["version"]
+    new = raw(spark, {"d/a.ipynb": A, "d/b.ipynb": edited, "d/c.ipynb": B})
+    report = build(step, new, skip_unchanged=True)
+    assert (report.ok, report.extracts, report.indexed, report.kept) == (True, 5, 2, 3)
+    assert step.documents().filter(F.col("version") == first).count() == 3
+    build(whole, new)
+    lines = [sorted(map(tuple, kb.meta_lines("business_patterns").collect())) for kb in (step, whole)]
+    assert content(step) == content(whole) and counts(step) == counts(whole) and lines[0] == lines[1]
+    asked = ans.embedded(spark.createDataFrame([(1, "users ports orders")], "qid int, question string"))
+    hits = [sorted((r["doc_id"], r["rank"], r["score"]) for r in ans.retrieve(kb, asked).collect()) for kb in (step, whole)]
+    assert hits[0] == hits[1]
+    again = build(step, new, skip_unchanged=True)
+    assert (again.ok, again.indexed, again.kept) == (True, 0, 5) and content(step) == content(whole)
+    other = build(step, new, skip_unchanged=True, model="another")
+    assert (other.indexed, other.kept) == (5, 0) and content(step) == content(whole)
+    docs = step.documents().drop("version")
+    assert step.index(docs) == 5 and step.index(docs.withColumn("updated_at", F.current_timestamp()), skip_unchanged=True) == 0
+    edit = docs.withColumn("query_type", F.when(F.col("notebook_path") == "d/c.ipynb", "X").otherwise(F.col("query_type")))
+    assert step.index(edit, skip_unchanged=True) == 1 and step.documents().count() == 5
+
+
+def test_compaction(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    build(kb, raw(spark, {"d/a.ipynb": A, "d/b.ipynb": B}), described(spark), source="one", chunk_size=50)
+    build(kb, raw(spark, {"d/a.ipynb": A2}), source="two", chunk_size=50)
+    asked = ans.embedded(spark.createDataFrame([(1, "order totals"), (2, "users")], "qid int, question string"))
+
+    def seen():
+        rows = lambda df: sorted(json.dumps(r.asDict(recursive=True), sort_keys=True, default=str) for r in df.collect())
+        return (
+            content(kb), counts(kb), rows(kb.usage()), rows(kb.files()), rows(kb.date_filters().drop("version")),
+            rows(kb.chunks().drop("version")), rows(kb.digests().drop("version")), rows(kb.meta_lines("business_patterns")),
+            rows(kb.meta_lines("schema_metadata")), rows(kb.schema_context().join(kb.documents(), ["doc_id", "version"]).select("doc_id", "schema_context")),
+            rows(kb.text_index().postings), rows(ans.retrieve(kb, asked).select("qid", "doc_id", "rank", "score")),
+            rows(kb.stats().drop("index_size")),
+        )
+
+    before = seen()
+    kb.compact()
+    assert len(kb.commits()) == 1 and seen() == before
+    assert kb.is_committed("one") and kb.is_committed("two")
+    kb.compact()
+    assert len(kb.commits()) == 1
+    build(kb, raw(spark, {"d/b.ipynb": A}))
+    whole = KnowledgeBase(spark, str(tmp_path / "whole"))
+    build(whole, raw(spark, {"d/a.ipynb": A2, "d/b.ipynb": A}))
+    assert content(kb) == content(whole) and counts(kb) == counts(whole)
+    kb.create(force=True)
+    assert not kb.is_committed("one") and kb.documents().count() == 0
+
+
+def test_catch_up_by_batches(spark, tmp_path):
+    kb, files = KnowledgeBase(spark, str(tmp_path / "kb")), tmp_path / "files"
+    files.mkdir()
+    for i in range(5):
+        (files / f"{i}.ipynb").write_text(A)
+    report = ingest.catch_up(kb, str(files), files_per_batch=2)
+    assert (report.ok, report.notebooks, report.indexed) == (True, 5, 10) and kb.documents().count() == 10
+    (files / "3.ipynb").write_text(A.replace("SELECT 2", "SELECT 3"))
+    later = time.time() + 5
+    os.utime(files / "3.ipynb", (later, later))
+    report = ingest.catch_up(kb, str(files), files_per_batch=2)
+    assert (report.notebooks, report.indexed, report.kept) == (1, 1, 1) and kb.documents().count() == 10
+    assert kb.documents().filter("sql_query LIKE 'SELECT 3%'").count() == 1
+
+
+def test_patterns_of_the_tables_in_use(spark):
+    lines = [(["1", ""], "H1"), (["1", "a"], "a with b"), (["1", "z"], "z with b"), (["2", ""], "H2"), (["2", "z"], "z: f"),
+             (["3", ""], "H3"), (["3", "a"], "a: SUM"), (["4", ""], "H4"), (["4", "d > 1"], "- d > 1")]
+    stored = spark.createDataFrame(lines, "ord array<string>, line string")
+    hits = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (2, ["z"]), (3, []), (4, None), (5, [""])], "qid int, tables_used array<string>")
+    from querylode.operators import render
+
+    got = {r["qid"]: r["patterns_text"] for r in render.patterns_of(hits, stored).collect()}
+    dates = "H4\n- d > 1"
+    assert got == {1: f"H1\na with b\nH3\na: SUM\n{dates}", 2: f"H1\nz with b\nH2\nz: f\n{dates}", 3: dates, 4: dates, 5: dates}
+    none = render.patterns_of(hits, stored.limit(0)).collect()
+    assert {r["patterns_text"] for r in none} == {""}
+
+
+def test_query_log(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    assert kb.query_log().count() == 0
+    for i in (1, 2):
+        kb.log(spark.createDataFrame([(f"q{i}", "SELECT 1", 0.5, "x")], "question string, sql_query string, confidence double, other string"))
+    kb.create(force=True)
+    assert [r["question"] for r in kb.query_log().orderBy("asked_at").collect()] == ["q1", "q2"]
