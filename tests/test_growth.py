@@ -12,6 +12,20 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_are_counted_without_a_shuffle_of_words(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, "A"), (3, " "), (4, None)], "doc_id long, text string")
+    found = text_index.postings(docs, ["text"])
+    assert "hashpartitioning" not in re.sub("hashpartitioning\\(doc_id", "", _plan(found))
+    rows = {tuple(r) for r in found.select("doc_id", "term", "tf", "dl").collect()}
+    assert rows == {(1, "", 1, 3), (1, "a", 1, 3), (1, "b", 2, 3), (2, "", 1, 1), (2, "a", 1, 1)}
+
+
+def test_postings_of_a_repeated_id_are_one_documents(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b"), (2, "a"), (None, "c"), (None, "c")], "doc_id long, text string")
+    rows = text_index.postings(docs, ["text"]).filter("term <> ''").select("doc_id", "term", "tf").collect()
+    assert {tuple(r) for r in rows} == {(1, "a", 1), (1, "b", 2), (2, "a", 1), (None, "c", 2)} and len(rows) == 4
+
+
 def test_vectors_of_pieces_are_made_once(spark):
     docs = spark.createDataFrame([("d", "one two"), ("e", "!!")], "doc_id string, business_context string")
     made = build.chunk_vectors(docs, 4)
