@@ -26,6 +26,16 @@ def test_postings_of_a_repeated_id_are_one_documents(spark):
     assert {tuple(r) for r in rows} == {(1, "a", 1), (1, "b", 2), (2, "a", 1), (None, "c", 2)} and len(rows) == 4
 
 
+def test_hybrid_queries_index_texts_as_they_are_read(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(text_index, "write", lambda docs, *_: seen.append(_plan(docs)) or 1 / 0)
+    try:
+        search_queries.hybrid_hits(spark, "/root/testdata/sf0.001")
+    except ZeroDivisionError:
+        pass
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
 def test_vectors_of_pieces_are_made_once(spark):
     docs = spark.createDataFrame([("d", "one two"), ("e", "!!")], "doc_id string, business_context string")
     made = build.chunk_vectors(docs, 4)
