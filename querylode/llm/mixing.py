@@ -182,9 +182,13 @@ def take(docs: DataFrame, weights: list[int], share: float = 1.5, repeats: int =
     more = F.when(F.size("pieces") > 0, F.array(F.struct(F.col("pieces").alias("p")))).otherwise(F.slice(whole, 1, 0))
     copies = mixed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.concat(whole, more).alias("__c"))
     copies = copies.groupBy("__id", "__key", "__size").agg(F.flatten(F.collect_list("__c")).alias("__c"))
-    once = Window.partitionBy("doc_id", "__k").orderBy(F.lit(0))
-    own = docs.withColumn("__k", F.xxhash64("text")).withColumn("__n", F.row_number().over(once)).where(F.col("__n") == 1)
-    joined = own.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")))
+    # Null ids as a key of their own, so that one shuffle of the texts serves the window and the join.
+    named = lambda c: F.concat(F.when(F.col(c).isNull(), "").otherwise("="), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    once = Window.partitionBy("__own", "__k").orderBy(F.lit(0))
+    own = docs.withColumn("__own", named("doc_id")).withColumn("__k", F.xxhash64("text"))
+    own = own.withColumn("__n", F.row_number().over(once)).where(F.col("__n") == 1)
+    copies = copies.withColumn("__id", named("__id"))
+    joined = own.join(copies, (F.col("__own") == F.col("__id")) & (F.col("__k") == F.col("__key")))
     words = F.regexp_extract_all("text", F.lit(f"{common.WORD}{common.SPACE}*"), F.lit(0))
     parts = F.transform("__p.p", lambda x: F.array_join(F.slice(words, x["from"].cast("int") + 1, x["words"].cast("int")), ""))
     in_all = F.aggregate("__p.p", F.lit(0).cast("bigint"), lambda n, x: n + x["words"])

@@ -184,3 +184,11 @@ def test_take_holds_what_the_mix_says(odd, some):
         for r in mixing.mix(docs, [5, 2, 1]).collect():
             want[r.doc_id] += r.taken
         assert +by_doc == +want
+
+
+def test_take_deals_texts_once(some, capsys):
+    """The window over equal rows and the join with the mix share one shuffle, null ids and all."""
+    mixing.take(some.repartition(3), [5, 2, 1]).explain()
+    plan = capsys.readouterr().out
+    with_text = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "__k#" in line]
+    assert len(with_text) == 1

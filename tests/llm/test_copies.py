@@ -372,3 +372,24 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, name):
         assert not texts - Counter((r.doc_id, r.text) for r in odd.collect())
     if name == "near_duplicates":
         assert given[5] == 2 and ids == given - Counter({5: 1})
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    import glob
+    import os
+    import tempfile
+
+    roots = {tempfile.gettempdir(), *os.environ.get("SPARK_LOCAL_DIRS", "/tmp").split(","), "/tmp"}
+    files = lambda: {f for r in roots for f in glob.glob(f"{r}/blockmgr-*/*/shuffle_*") + glob.glob(f"{r}/spark-*/blockmgr-*/*/shuffle_*")}
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counted, before = spark.range(10_000).groupBy((F.col("id") % 10).alias("k")).count(), files()
+    rows = corpus_pipeline.common.stored(counted, "counted")
+    assert not files() - before
+    assert rows.count() == 10 and counted.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_near_duplicates_stage_deals_texts_once(spark, capsys):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus_pipeline.near_duplicates(spark, docs, "/root/testdata/sf0.001").explain()
+    assert capsys.readouterr().out.count("documents.parquet") == 1
