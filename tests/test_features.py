@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +224,34 @@ def test_aliases_of_very_deep_texts(spark):
     df = spark.createDataFrame([(sql,)], "clean string")
     row = df.select(sf.qualified_columns(F.col("clean"), F.array().cast("array<string>")).alias("c")).first()
     assert {tuple(c) for c in row["c"]} == {("t", "x"), ("t", "z")} | {("t", f"c{i}") for i in range(n)} | {(f"u{i}", "k") for i in range(n)}
+
+
+def test_texts_of_one_shape_are_walked_once(monkeypatch):
+    """Names, literals and blanks tell no shapes apart, but quoted names, keywords and equal names do."""
+    import pyarrow as pa
+
+    from querylode.functions import scopes
+
+    walks = []
+    walk = scopes._qualified
+    monkeypatch.setattr(scopes, "_qualified", lambda tokens: walks.append(1) or walk(tokens))
+    text = "SELECT {0}.x FROM {1} {2} WHERE {0}.y = 'l{1}'"
+    cut = lambda *names: re.findall(r"'[^']*'|\"[^\"]*\"|\w+|\s+|.", text.format(*names))
+    rows = [cut("t", "a", "T"), cut("u", "b", "U"), cut("t", "a", "s"), cut('"t"', "a", "T"), cut("x0aaaaaa", "x1aaaaaa", "X0AAAAAA"), None, []]
+    got = [r and [(c["table_name"], c["column_name"]) for c in r] for r in scopes._distinct(pa.array(rows, pa.list_(pa.string()))).to_pylist()]
+    assert got == [
+        [("a", "x"), ("a", "y")], [("b", "x"), ("b", "y")], [(None, "x"), (None, "y")], [("a", "x"), ("a", "y")],
+        [("x1aaaaaa", "x"), ("x1aaaaaa", "y")], None, [],
+    ]
+    assert len(walks) == 4  # one for three texts, one for each other shape, the empty one's too
+
+
+def test_aliases_of_events_are_resolved_once(spark, capsys):
+    """In as many tasks as a shuffle has, and not before it as well, to drop texts without any."""
+    from checks.corpus_queries import sql_columns_scoped
+
+    sql_columns_scoped(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "Exchange RoundRobinPartitioning" in plan
+    below = plan[plan.index("Exchange RoundRobinPartitioning"):]
+    assert "EvalPython" in plan and "EvalPython" not in below
