@@ -471,3 +471,20 @@ def test_query_log(spark, tmp_path):
         kb.log(spark.createDataFrame([(f"q{i}", "SELECT 1", 0.5, "x")], "question string, sql_query string, confidence double, other string"))
     kb.create(force=True)
     assert [r["question"] for r in kb.query_log().orderBy("asked_at").collect()] == ["q1", "q2"]
+
+
+def test_counts_come_from_postings(spark, tmp_path):
+    """Rows that share an id are one document in both; replacing them leaves nothing of their words."""
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    build(kb, raw(spark, {"d/a.ipynb": A}))
+    kept = {(r.field, r.term): (r.df, r.total) for r in kb.counts().collect()}
+    doc = kb.documents().drop("version").limit(1)
+    twice = doc.withColumn("doc_id", F.lit("same")).withColumn("sql_query", F.explode(F.array(F.lit("zig zag"), F.lit("zig zug"))))
+    kb.index(twice)
+    counts = {r.term: r.df for r in kb.counts().filter("field = 'sql_query'").collect()}
+    postings = {r.term: r["count"] for r in kb.text_index().postings.filter("field = 'sql_query'").groupBy("term").count().collect()}
+    assert counts == postings and counts["zig"] == counts["zag"] == 1
+    kb.index(twice.withColumn("sql_query", F.lit("other")).limit(1))
+    left = {r.term for r in kb.counts().collect()}
+    assert "other" in left and not left & {"zig", "zag", "zug"}
+    assert {k[1] for k in kept} <= left
