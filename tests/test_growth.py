@@ -4,6 +4,7 @@ import re
 
 from checks import search_queries
 from querylode.functions import sqlfeatures as sf
+from querylode import session
 from querylode.operators import text_index
 from querylode.plans import build
 
@@ -49,3 +50,77 @@ def test_texts_without_a_join_or_a_qualifier_are_not_walked(spark):
     assert len(re.findall(r"run\(CASE WHEN", plan)) >= 3
     row = sf.with_features(docs).first()
     assert (row["joins"], row["subqueries"], row["qualified_columns"], row["filters"]) == ([], [], [], ["b = 1"])
+
+
+def test_postings_lie_as_their_documents_do(spark, tmp_path):
+    """Nothing is sorted to write them, and a document's are in one place."""
+    docs = spark.createDataFrame([(i, f"a b word{i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    index = text_index.write(docs, ["text"], str(tmp_path))
+    ids = [r["doc_id"] for r in index.postings.coalesce(1).collect()]
+    assert len(ids) == 200 and sum(a != b for a, b in zip(ids, ids[1:])) == 49
+
+
+def test_a_larger_input_means_more_tasks(spark, tmp_path):
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in settings]
+    spark.range(40_000, numPartitions=1).write.option("parquet.block.size", "20000").parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.slice(0, 0) if batch.num_rows <= 1_000 else batch
+
+    with session.small_tasks(spark, 20_000):
+        assert spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions() > 4
+        assert rows.mapInArrow(sizes, "id long").count() == 0
+    assert [spark.conf.get(k) for k in settings] == before
+    spark.conf.set(settings[0], "4k")
+    try:
+        with session.small_tasks(spark, 20_000):
+            assert spark.conf.get(settings[0]) == "4096"
+    finally:
+        spark.conf.set(settings[0], before[0])
+
+
+def _seen(monkeypatch, module):
+    seen, stored = {}, session.stored
+
+    def noted(df, name):
+        conf = df.sparkSession.conf
+        seen[name] = (_plan(df), conf.get("spark.sql.files.maxPartitionBytes"), conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return stored(df, name)
+
+    monkeypatch.setattr(module, "stored", noted)
+    return seen
+
+
+def test_postings_are_not_shuffled_to_look_up_a_few_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, "common " * (1 + i % 3) + ("often " if i % 3 == 0 else "") + f"rare{i // 4}") for i in range(400)]
+    index = text_index.write(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], str(tmp_path))
+    questions = spark.createDataFrame([(i, f"common often rare{i}") for i in range(20)], "qid int, question string")
+    seen, before = _seen(monkeypatch, text_index), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(text_index, "LOOK_UP", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert text_index.best_by_text(index, questions, {"text": 1.0}, 3).select("qid").distinct().count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "wanted" in seen
+    for name in ("promising", "hopeful", "text-hits"):
+        assert "SortMergeJoin" not in seen[name][0] and "hashpartitioning(field" not in seen[name][0], name
+    assert int(seen["hopeful"][1]) == text_index.SPLIT
+
+
+def test_words_of_many_documents_are_read_not_looked_up(spark, tmp_path, monkeypatch):
+    words = [f"w{j}" for j in range(12)]
+    rows = [(i, " ".join(w for j, w in enumerate(words) if i * (j + 3) % 7 < 4) + " x" * (i % 5)) for i in range(600)]
+    index = text_index.write(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], str(tmp_path))
+    questions = spark.createDataFrame([(i, " ".join(words[i : i + 6]) + " x") for i in range(6)], "qid int, question string")
+    seen = _seen(monkeypatch, text_index)
+    read = {tuple(r) for r in text_index.best_by_text(index, questions, {"text": 1.0}, 2).collect()}
+    assert "wanted" not in seen
+    monkeypatch.setattr(text_index, "LOOK_UP", 0)
+    looked_up = {tuple(r) for r in text_index.best_by_text(index, questions, {"text": 1.0}, 2).collect()}
+    best = lambda found: {(q, d, round(s, 9)) for q, d, s in found if sum(t > s for p, _, t in found if p == q) < 2}
+    assert best(read) == best(looked_up) and len(read) >= 12
