@@ -5,7 +5,7 @@ import re
 from checks import search_queries
 from querylode.functions import sqlfeatures as sf
 from querylode import session
-from querylode.operators import text_index
+from querylode.operators import search, text_index
 from querylode.plans import build
 
 
@@ -124,3 +124,11 @@ def test_words_of_many_documents_are_read_not_looked_up(spark, tmp_path, monkeyp
     looked_up = {tuple(r) for r in text_index.best_by_text(index, questions, {"text": 1.0}, 2).collect()}
     best = lambda found: {(q, d, round(s, 9)) for q, d, s in found if sum(t > s for p, _, t in found if p == q) < 2}
     assert best(read) == best(looked_up) and len(read) >= 12
+
+
+def test_few_vectors_go_to_python_at_once(spark, monkeypatch):
+    seen = _seen(monkeypatch, search)
+    docs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "doc_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0])], "qid int, embedding array<float>")
+    assert [r["doc_id"] for r in search.vector_search(docs, asked, size=2).orderBy("rank").collect()] == [8, 7]
+    assert int(seen["nearest"][2]) <= session.ARROW_ROWS
