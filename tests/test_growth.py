@@ -112,6 +112,41 @@ def test_postings_are_not_shuffled_to_look_up_a_few_documents(spark, tmp_path, m
     assert int(seen["hopeful"][1]) == text_index.SPLIT
 
 
+def test_few_shuffle_partitions_mean_no_large_sums(spark, tmp_path, monkeypatch):
+    """The sums of questions and documents are dealt by their number, whatever the session's partitions."""
+    rows = [(i, "a b" + " c" * (i % 4)) for i in range(300)]
+    questions = spark.createDataFrame([(i, "a b c") for i in range(10)], "qid int, question string")
+    seen = {}
+    for task_rows in (10_000_000, 100):
+        monkeypatch.setattr(session, "TASK_ROWS", task_rows)
+        noted, stored = {}, session.stored
+        monkeypatch.setattr(text_index, "stored", lambda df, name: noted.setdefault(name, _partitions(df)) and stored(df, name))  # noqa: B023
+        index = text_index.write(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], str(tmp_path / str(task_rows)))
+        hits = {tuple(r) for r in text_index.best_by_text(index, questions, {"text": 1.0}, 3).collect()}
+        seen[task_rows] = noted["hopeful"], {(q, d, round(s, 9)) for q, d, s in hits}
+    assert seen[100][0] == 30 and seen[10_000_000][0] == 4 == _partitions(None, spark)
+    assert seen[100][1] == seen[10_000_000][1]
+
+
+def _partitions(df, spark=None):
+    return int((spark or df.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_many_candidates_set_a_higher_bar(spark, tmp_path, monkeypatch):
+    """The bar of the first few blocks lets nearly all documents through; of these only the best and their equals are ranked."""
+    rows = [(i, "a " * (1 + i % 7) + "b " * (i % 5) + "x " * (i % 97)) for i in range(2_000)]
+    index = text_index.write(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], str(tmp_path))
+    questions = spark.createDataFrame([(1, "a b"), (2, "b"), (3, "nothing")], "qid int, question string")
+    monkeypatch.setattr(text_index, "SEEDS", 1)
+    every = {tuple(r) for r in text_index.best_by_text(index, questions, {"text": 1.0}, 5).collect()}
+    monkeypatch.setattr(text_index, "SHIPPED", 10)
+    monkeypatch.setattr(text_index, "LOOK_UP", 0)
+    few = {tuple(r) for r in text_index.best_by_text(index, questions, {"text": 1.0}, 5).collect()}
+    best = lambda found: {(q, d, round(s, 9)) for q, d, s in found if sum(t > s + 1e-9 for p, _, t in found if p == q) < 5}
+    assert best(few) == best(every) and {q for q, _, _ in few} == {1, 2}
+    assert len(few) < len(every)
+
+
 def test_words_of_many_documents_are_read_not_looked_up(spark, tmp_path, monkeypatch):
     words = [f"w{j}" for j in range(12)]
     rows = [(i, " ".join(w for j, w in enumerate(words) if i * (j + 3) % 7 < 4) + " x" * (i % 5)) for i in range(600)]
