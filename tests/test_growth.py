@@ -5,7 +5,7 @@ import re
 from checks import search_queries
 from querylode.functions import sqlfeatures as sf
 from querylode import session
-from querylode.operators import search, text_index
+from querylode.operators import render, schema_match, search, text_index
 from querylode.plans import build
 
 
@@ -167,3 +167,50 @@ def test_few_vectors_go_to_python_at_once(spark, monkeypatch):
     asked = spark.createDataFrame([(1, [0.0, 1.0])], "qid int, embedding array<float>")
     assert [r["doc_id"] for r in search.vector_search(docs, asked, size=2).orderBy("rank").collect()] == [8, 7]
     assert int(seen["nearest"][2]) <= session.ARROW_ROWS
+
+
+def _shipped(df):
+    """What a plan sends to all tasks, by way of the driver: the lines below each broadcast."""
+    lines, found = _plan(df).splitlines(), []
+    indent = lambda line: len(re.match(r"[\s:|]*", line.replace("+-", "  ")).group())
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for other in lines[i + 1 :]:
+                if indent(other) <= indent(line):
+                    break
+                below.append(other)
+            found.append("\n".join(below))
+    return found
+
+
+def test_a_catalog_of_lines_that_are_alike_is_not_sent_to_the_driver(spark, tmp_path):
+    """Its file is small, its rows are many: the tables that hits use go to the lines, not the lines to the hits."""
+    catalog = [([f"db.t{i}_fact", f"3-{j}"], f"  - c{j} (string)") for i in range(500) for j in range(4)]
+    used = [(["2", f"t{i}_fact"], "- often") for i in range(500)]
+    hits = spark.createDataFrame([(1, ["t7_fact"]), (2, ["T8_FACT", "none"]), (3, [])], "qid int, tables_used array<string>")
+    texts = []
+    for name, rows, of in (("catalog", catalog, render.schema_of), ("used", used, render.patterns_of)):
+        spark.createDataFrame(rows, "ord array<string>, line string").write.parquet(f"{tmp_path}/{name}")
+        found = of(hits, spark.read.parquet(f"{tmp_path}/{name}"))
+        # What lines are headings, and how many date filters there are, is known beforehand.
+        assert not [p for p in _shipped(found) if "line#" in p and not re.search(r"= \)|= 4\)", p)]
+        texts.append({tuple(r) for r in found.collect()})
+    columns = "\n".join(f"  - c{j} (string)" for j in range(4))
+    assert texts[0] == {(1, columns), (2, columns)}
+    assert texts[1] == {(1, "- often"), (2, ""), (3, "")}
+
+
+def test_pieces_of_a_catalogs_names_are_not_sent_to_the_driver(spark, tmp_path):
+    spark.range(2_000).selectExpr("concat('db.t', id, '_v') AS table_key", "0 AS n_columns").write.parquet(f"{tmp_path}/keys")
+    names = spark.createDataFrame([("T12_V",), ("1999",), ("nowhere",), ("",)], "table_name string")
+    found = schema_match.name_lookup(names, spark.read.parquet(f"{tmp_path}/keys"))
+    assert not any("explode(flatten" in part for part in _shipped(found))
+    assert {tuple(r)[:2] for r in found.collect()} == {("t12_v", "db.t12_v"), ("1999", "db.t1999_v")}
+
+
+def test_too_many_rows_are_shuffled_whatever_their_files_take(spark, tmp_path):
+    spark.range(50).write.parquet(f"{tmp_path}/few")
+    few, many = spark.read.parquet(f"{tmp_path}/few"), spark.range(1_000)
+    assert "BroadcastHashJoin" in _plan(many.join(session.shipped(few), "id"))
+    assert "SortMergeJoin" in _plan(many.join(session.shipped(few, 10), "id"))
