@@ -2,10 +2,14 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from checks import search_queries
+from querylode import tables
 from querylode.functions import sqlfeatures as sf
 from querylode import session
 from querylode.operators import render, schema_match, search, text_index
+from querylode.operators.store import KnowledgeBase
 from querylode.plans import build
 
 
@@ -214,3 +218,39 @@ def test_too_many_rows_are_shuffled_whatever_their_files_take(spark, tmp_path):
     few, many = spark.read.parquet(f"{tmp_path}/few"), spark.range(1_000)
     assert "BroadcastHashJoin" in _plan(many.join(session.shipped(few), "id"))
     assert "SortMergeJoin" in _plan(many.join(session.shipped(few, 10), "id"))
+
+
+def _documents(rows, **columns):
+    return rows.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tables.schema(tables.DOCS).fields])
+
+
+def test_documents_are_made_on_all_cores_however_few_bytes_they_come_from(spark, tmp_path):
+    """Under a megabyte is shuffled, which Spark would give to one task."""
+    text = F.concat(*[F.sha2(F.concat("id", F.lit(f"/{i}")), 256) for i in range(32)])
+    rows = spark.range(400).groupBy((F.col("id") * 3).alias("id")).agg(F.max(text).alias("text"))
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    least = spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert kb.write_documents(_documents(rows, doc_id=F.col("id"), sql_query=F.col("text")), 1) == 400
+    assert len(list((tmp_path / "kb/docs/version=1").glob("part-*.parquet"))) == 4
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize") == least
+
+
+def test_a_load_reads_no_words_of_loads_that_it_replaces_nothing_of(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.create()
+
+    def index(ident, text):
+        kb.index(_documents(spark.createDataFrame([(ident, text)], "id string, text string"), doc_id=F.col("id"), sql_query=F.col("text")))
+        return max(r["version"] for r in kb.commits())
+
+    index("one", "old words")
+    other = index("two", "more words")
+    (tmp_path / f"kb/postings/version={other}/part-unreadable.parquet").write_bytes(b"no Parquet file")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where many documents are replaced
+    try:
+        index("one", "new words")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counts = {(r["field"], r["term"]): r["df"] for r in kb.counts().filter("term <> ''").collect()}
+    assert counts == {("sql_query", "words"): 2, ("sql_query", "more"): 1, ("sql_query", "new"): 1}
